@@ -6,8 +6,6 @@ that results compare by value.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -28,6 +26,7 @@ from tidemark.operators import (
     splits,
     vocab,
 )
+from tidemark.operators.storage import shared_folder
 from tidemark.plans import derived_inputs as inputs
 from tidemark.plans import examples, item2vec, training
 from tidemark.sources import bundle, impressions, sinks
@@ -61,11 +60,8 @@ def by_position(df: DataFrame, key: list[str], array: str, name: str = "value")
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder; a local one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or (
-        spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    )
-    return os.path.join(shared or tempfile.mkdtemp(prefix="run-"), uuid.uuid4().hex)
+    """A new folder for what a query writes and reads back."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -536,11 +532,10 @@ def transform_mask(spark, sf):
 
 @query
 def zscore_apply(spark, sf):
-    scaled = dense.zscore_apply(
-        F.col("values"), F.col("presence"), _dense_stats(spark, sf), excluded=SCALED_OUT
+    df = dense.zscore_apply(
+        _dense_rows(spark, sf), "values", "presence", _dense_stats(spark, sf), excluded=SCALED_OUT
     )
-    df = _dense_rows(spark, sf).select("vec_id", scaled.alias("v"))
-    return by_position(df, ["vec_id"], "v")
+    return by_position(df, ["vec_id"], "values")
 
 
 @query

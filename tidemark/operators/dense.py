@@ -50,18 +50,20 @@ def stats_array(stats: DataFrame) -> Column:
 
 
 def zscore_apply(
-    values: Column,
-    presence: Column,
+    df: DataFrame,
+    values: str,
+    presence: str,
     stats: DataFrame,
     log1p: bool = True,
     excluded: Sequence[tuple[int, int]] = UNSCALED_RANGES,
-) -> Column:
-    """Scale the masked-in positions; absent positions go back to 0."""
+) -> DataFrame:
+    """``df`` with the masked-in positions of ``values`` scaled and absent ones back at 0."""
 
     def scale(x: Column, s: Column) -> Column:
         y = signed_log1p(x) if log1p else x
         z = (y - s["mean"]) / F.greatest(s["std"], F.lit(DENSE_STD_FLOOR))
         return F.when(transform_mask(s["pos"], excluded), z).otherwise(x)
 
-    scaled = F.zip_with(values, stats_array(stats), scale)
-    return F.zip_with(scaled, presence, lambda z, p: F.when(p > 0, z).otherwise(F.lit(0.0)))
+    scaled = F.zip_with(values, "_stats", scale)
+    kept = F.zip_with(scaled, presence, lambda z, p: F.when(p > 0, z).otherwise(F.lit(0.0)))
+    return df.withColumn("_stats", stats_array(stats)).withColumn(values, kept).drop("_stats")

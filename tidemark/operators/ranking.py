@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,32 +16,44 @@ ROW_SHIFTS = (20, 0)
 
 
 def value_at_rank(
-    df: DataFrame, value: str, rank: Column, shifts: Sequence[int]
+    df: DataFrame,
+    value: str,
+    rank: Column,
+    shifts: Sequence[int],
+    carry: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """One row holding the ``rank``-th smallest (from 0) value of a long column.
 
     Counts per leading digit come first (combined map-side), then only the cell that
     holds the rank is looked at again, one digit finer. Each window runs over the cells
     of one level, never over rows. No row comes out when the rank is past the end.
+
+    ``rank`` and the ``carry`` columns are the same on every row of ``df``; the latter are
+    handed on to the result.
     """
     cells = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    scope, rest, hit = df, rank, None
+    carry = dict(carry or {})
+    scope, hit = df, None
     for level, shift in enumerate(shifts):
         if level:
-            found = hit.select(F.struct("cell", "rest").alias("s")).scalar()
-            scope = df.where(
-                F.shiftright(F.col(value), shifts[level - 1]) == found.getField("cell")
+            # One row, found by the level before.
+            scope = df.join(
+                F.broadcast(hit.select("_rest", F.col("cell").alias("_cell"))),
+                F.shiftright(F.col(value), shifts[level - 1]) == F.col("_cell"),
             )
-            rest = found.getField("rest")
-        # The wanted rank goes through the aggregation so that it is evaluated once.
+            rank = F.col("_rest")
         hit = (
             scope.groupBy(F.shiftright(F.col(value), shift).alias("cell"))
-            .agg(F.count("*").alias("n"), F.max(rest).alias("k"))
+            .agg(
+                F.count("*").alias("n"),
+                F.max(rank).alias("k"),
+                *[F.max(c).alias(name) for name, c in carry.items()],
+            )
             .withColumn("before", F.coalesce(F.sum("n").over(cells), F.lit(0)))
             .where((F.col("before") <= F.col("k")) & (F.col("k") < F.col("before") + F.col("n")))
-            .select("cell", (F.col("k") - F.col("before")).alias("rest"))
+            .select("cell", (F.col("k") - F.col("before")).alias("_rest"), *carry)
         )
-    return hit.select(F.col("cell").alias("value"))
+    return hit.select(F.col("cell").alias("value"), *carry)
 
 
 def first_rows_bound(
@@ -53,21 +65,13 @@ def first_rows_bound(
     No row comes out when ``df`` has fewer than ``n`` rows.
     """
     files = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
-    per_file = (
+    cut = (
         df.groupBy(file)
         .agg(F.count("*").alias("n"))
         .withColumn("before", F.coalesce(F.sum("n").over(files), F.lit(0)))
         .where((F.col("before") < n) & (F.col("before") + F.col("n") >= n))
-        .select(F.struct(file, (F.lit(n - 1) - F.col("before")).alias("rest")).alias("s"))
-    )
-    cut = per_file.scalar()
-    in_file = df.where(F.col(file) == cut.getField(file))
-    row_cut = value_at_rank(in_file, row, cut.getField("rest"), ROW_SHIFTS)
-    return row_cut.select(
-        cut.getField(file).alias("cut_file"), F.col("value").alias("cut_row")
+        .select(file, (F.lit(n - 1) - F.col("before")).alias("_k"))
     )
-
-
-def at_or_before(file: Column, row: Column, cut_file: Column, cut_row: Column) -> Column:
-    """Scan-order comparison of positions."""
-    return (file < cut_file) | ((file == cut_file) & (row <= cut_row))
+    in_file = df.select(file, row).join(F.broadcast(cut), file)
+    found = value_at_rank(in_file, row, F.col("_k"), ROW_SHIFTS, {"cut_file": F.col(file)})
+    return found.select("cut_file", F.col("value").alias("cut_row"))

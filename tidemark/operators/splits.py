@@ -99,19 +99,22 @@ def time_cutoff(df: DataFrame, valid_ratio: float, column: str = "timestamp") ->
     Exact at any size: ranks are found through counts per cell, not by sorting.
     """
     ts = df.select(F.col(column).alias("ts"))
-    q = (1.0 - valid_ratio) * 100 / 100
-    n = ts.agg(F.count("ts").alias("n")).scalar()
-    index = (n - 1) * F.lit(q)
-    low_rank = F.floor(index)
-    low = value_at_rank(ts, "ts", low_rank, SECOND_SHIFTS).scalar()
-    beyond = ts.agg(
-        F.count_if(F.col("ts") <= low).alias("upto"),
-        F.min(F.when(F.col("ts") > low, F.col("ts"))).alias("next"),
+    q = F.lit((1.0 - valid_ratio) * 100 / 100)
+    n = ts.agg(F.count("ts")).scalar()
+    low = value_at_rank(ts, "ts", F.floor((n - 1) * q), SECOND_SHIFTS).scalar()
+    around = ts.withColumn("low", low).agg(
+        F.max("low").alias("low"),
+        F.count_if(F.col("ts") <= F.col("low")).alias("upto"),
+        F.min(F.when(F.col("ts") > F.col("low"), F.col("ts"))).alias("next"),
+        ((F.count("ts") - 1) * q).alias("index"),
     )
-    high = F.when(F.col("upto") > low_rank + 1, low).otherwise(F.coalesce(F.col("next"), low))
-    step, t = (high - low).cast("double"), index - low_rank
+    low, t = F.col("low"), F.col("index") - F.floor("index")
+    # The value one rank further: still the same one when it occurs often enough.
+    repeated = F.col("upto") > F.floor("index") + 1
+    high = F.when(repeated, low).otherwise(F.coalesce(F.col("next"), low))
+    step = (high - low).cast("double")
     value = F.when(t < 0.5, low + step * t).otherwise(high - step * (F.lit(1.0) - t))
-    return beyond.select(value.cast("long").alias("cutoff"))
+    return around.select(value.cast("long").alias("cutoff"))
 
 
 def split_by_time(

@@ -10,12 +10,8 @@ from pyspark.sql import types as T
 
 from tidemark.functions.arrays import valid_tokens
 from tidemark.operators.lookups import left_lookup
-from tidemark.operators.ranking import (
-    ID_SHIFTS,
-    at_or_before,
-    first_rows_bound,
-    value_at_rank,
-)
+from tidemark.operators.ranking import ID_SHIFTS, first_rows_bound, value_at_rank
+from tidemark.operators.storage import stored
 
 
 def sentences(df: DataFrame, column: str, max_len: int = 200) -> DataFrame:
@@ -38,11 +34,9 @@ def limit_sentences(df: DataFrame, n: int) -> DataFrame:
     The position of the n-th row is looked up first; the rows are then filtered in
     place instead of being sorted into one task.
     """
-    cut = first_rows_bound(df, n).select(F.struct("cut_file", "cut_row").alias("c")).scalar()
-    inside = at_or_before(
-        F.col("src_file"), F.col("src_row"), cut.getField("cut_file"), cut.getField("cut_row")
-    )
-    return df.where(cut.isNull() | inside)
+    cut = first_rows_bound(df, n).select(F.struct("cut_file", "cut_row")).scalar()
+    # Structs compare field by field; there is no cut when the rows are fewer than n.
+    return df.where(F.coalesce(F.struct("src_file", "src_row") <= cut, F.lit(True)))
 
 
 def token_frequency(df: DataFrame, min_count: int = 5) -> DataFrame:
@@ -59,24 +53,23 @@ def top_k_vocab(freq: DataFrame, k: int) -> DataFrame:
     """The ``k`` most frequent tokens (ties: smaller id) with ids 1..K in id order.
 
     The cut is found on the histogram of counts, and within the tied count by rank, so
-    no task sorts more than the ``k`` kept rows.
+    no task sorts more than the ``k`` kept rows. The counts are stored first: the cut
+    reads them several times, the sentences are read once.
     """
+    freq = stored(freq)
     by_count = Window.orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, -1)
     cut = (
         freq.groupBy("cnt")
         .agg(F.count("*").alias("n"))
         .withColumn("before", F.coalesce(F.sum("n").over(by_count), F.lit(0)))
         .where((F.col("before") < k) & (F.col("before") + F.col("n") >= k))
-        .select(F.struct("cnt", (F.lit(k - 1) - F.col("before")).alias("rest")).alias("c"))
-        .scalar()
-    )
-    tied = freq.where(F.col("cnt") == cut.getField("cnt"))
-    last_id = value_at_rank(tied, "token", cut.getField("rest"), ID_SHIFTS).scalar()
-    kept = freq.where(
-        cut.isNull()
-        | (F.col("cnt") > cut.getField("cnt"))
-        | ((F.col("cnt") == cut.getField("cnt")) & (F.col("token") <= last_id))
+        .select("cnt", (F.lit(k - 1) - F.col("before")).alias("_k"))
     )
+    tied = freq.join(F.broadcast(cut), "cnt")
+    last = value_at_rank(tied, "token", F.col("_k"), ID_SHIFTS, {"cut_cnt": F.col("cnt")})
+    bound = last.select(F.struct(-F.col("cut_cnt"), "value")).scalar()
+    # In the order "count down, id up"; there is no bound when tokens are fewer than k.
+    kept = freq.where(F.coalesce(F.struct(-F.col("cnt"), "token") <= bound, F.lit(True)))
     return kept.select(
         F.col("token").alias("raw_id"),
         F.row_number().over(Window.orderBy("token")).cast("long").alias("compact_id"),
