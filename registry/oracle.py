@@ -209,7 +209,8 @@ TS = '"timestamp"'
 def _calendar(zone: int) -> str:
     return with_(
         "impressions",
-        f"SELECT event_id, {hour(TS, zone)} AS hour, {weekday(TS, zone)} AS weekday,"
+        f"SELECT event_id, CAST({hour(TS, zone)} AS INTEGER) AS hour,"
+        f" CAST({weekday(TS, zone)} AS INTEGER) AS weekday,"
         f" {period(TS, zone)} AS period FROM impressions",
     )
 
@@ -615,7 +616,7 @@ def build() -> dict[str, str]:
         sql[name] = with_("scored", f"SELECT event_id, {n(f)} AS y FROM scored")
     sql["safe_ratio"] = with_(
         imp,
-        f"""SELECT event_id, CASE WHEN item_id > 50 THEN {n('value / (item_id - 50)')} ELSE 0e0 END AS y
+        f"""SELECT event_id, CASE WHEN item_id > 50 THEN value / (item_id - 50) ELSE 0e0 END AS y
             FROM impressions""",
     )
     sql["transform_mask"] = with_sizes(
@@ -777,7 +778,7 @@ def build() -> dict[str, str]:
     )
     sql["range_lookup"] = with_(
         imp,
-        f"""SELECT event_id, {recency('m', TS)} AS age_bin, {period(TS, ZONE)} - 1 AS day_part
+        f"""SELECT event_id, CAST({recency('m', TS)} AS INTEGER) AS age_bin, {period(TS, ZONE)} - 1 AS day_part
             FROM impressions, (SELECT max({TS}) AS m FROM impressions)""",
     )
 

@@ -438,32 +438,32 @@ def calendar_ids_half_hour_zone(spark, sf):
 def day_type(spark, sf):
     d = timefeat.day_type(F.col("timestamp") + YEAR)
     return inputs.impressions(spark, sf).select(
-        "event_id", d.getField("weekend").alias("weekend"), d.getField("holiday").alias("holiday")
+        "event_id", *[d.getField(n).alias(n) for n in ("weekend", "holiday")]
     )
 
 
 def _times(spark, sf) -> DataFrame:
     return inputs.histories(spark, sf).select(
-        "event_id", "timestamp", assemble.build_sequence_times(inputs.SEQ_A).alias("times")
+        "event_id", "timestamp", assemble.sequence_times(inputs.SEQ_A).alias("times")
     )
 
 
 @query
 def calendar_ids_seq(spark, sf):
-    df = _times(spark, sf).select("event_id", timefeat.calendar_ids_seq(F.col("times")).alias("c"))
+    df = _times(spark, sf).select("event_id", timefeat.calendar_ids_seq(F.col("times"), pad_to=256).alias("c"))
     return df.select("event_id", *[text(f"c.{n}").alias(n) for n in ("hour", "weekday", "period")])
 
 
 @query
 def day_type_seq(spark, sf):
     shifted = F.transform("times", lambda t: F.when(t > 0, t + YEAR).otherwise(t))
-    df = _times(spark, sf).select("event_id", timefeat.day_type_seq(shifted).alias("d"))
+    df = _times(spark, sf).select("event_id", timefeat.day_type_seq(shifted, pad_to=256).alias("d"))
     return df.select("event_id", text("d.weekend").alias("weekend"), text("d.holiday").alias("holiday"))
 
 
 @query
 def recency_bucket(spark, sf):
-    b = timefeat.recency_bucket_seq(F.col("timestamp"), F.col("times"))
+    b = timefeat.recency_bucket_seq(F.col("timestamp"), F.col("times"), pad_to=256)
     return _times(spark, sf).select("event_id", text(b).alias("buckets"))
 
 
@@ -518,7 +518,7 @@ def sigmoid(spark, sf):
 @query
 def safe_ratio(spark, sf):
     ratio = maths.safe_ratio(F.col("value"), F.col("item_id") - 50)
-    return inputs.impressions(spark, sf).select("event_id", num(ratio).alias("y"))
+    return inputs.impressions(spark, sf).select("event_id", ratio.alias("y"))
 
 
 @query
@@ -757,7 +757,7 @@ def embed_mean_pool(spark, sf):
 
 
 def _pool_input(spark, sf) -> DataFrame:
-    times = assemble.build_sequence_times(inputs.SEQ_A)
+    times = assemble.sequence_times(inputs.SEQ_A)
     return inputs.histories(spark, sf).select(
         *inputs.HISTORY_KEY,
         F.slice("seq_a_38", 1, inputs.SEQ_A.max_len).alias("ids"),
@@ -799,11 +799,11 @@ def holiday_lookup(spark, sf):
 def range_lookup(spark, sf):
     imp = inputs.impressions(spark, sf)
     newest = item_history.last_timestamp(imp)
-    c = timefeat.hour_id(F.col("timestamp"))
+    hour = timefeat.calendar_ids(F.col("timestamp")).getField("hour") - 1
     return imp.select(
         "event_id",
         timefeat.recency_bucket(newest, F.col("timestamp")).alias("age_bin"),
-        timefeat.bin_index(c - 1, fixed.DAY_PERIOD_EDGES, closed="left").alias("day_part"),
+        timefeat.bin_index(hour, fixed.DAY_PERIOD_EDGES, closed="left").alias("day_part"),
     )
 
 
@@ -926,9 +926,7 @@ def evaluate(spark, sf):
 
 @query
 def build_examples(spark, sf):
-    imp = inputs.impressions(spark, sf).select("event_id", "label_type", "item_id")
-    # The raw columns of every group for one row per impression.
-    raw = inputs.ids(spark, sf).drop("item_id").join(imp, "event_id")
+    raw = inputs.ids(spark, sf)
     layout = sch.FeatureLayout(
         tuple(f for f in inputs.LAYOUT.features if f.group.endswith("_int"))
     )

@@ -18,22 +18,26 @@ def _head(values: Column, n: int, element: str) -> Column:
     return F.slice(F.coalesce(values, F.array().cast(f"array<{element}>")), 1, n)
 
 
-def _fill(values: Column, n: int, filler: Column) -> Column:
-    return F.concat(values, F.array_repeat(filler, F.lit(n) - F.size(values)))
-
-
 def list_length(values: Column, n: int) -> Column:
     """Raw entries kept after truncation to ``n``, counting entries later zeroed."""
     return F.least(F.greatest(F.coalesce(F.size(values), F.lit(0)), F.lit(0)), F.lit(n))
 
 
+def fill_to(values: Column, n: int, filler: Column, length: Column) -> Column:
+    """``values``, known to hold ``length`` entries, followed by ``filler`` up to ``n``.
+
+    The length comes from the raw list, so that ``values`` is evaluated once.
+    """
+    return F.concat(values, F.array_repeat(filler, F.lit(n) - length))
+
+
 def pad_int_list(values: Column, n: int) -> Column:
     """First ``n`` ids, nulls and non-positive ids as 0, padded with 0 on the right."""
     zero = F.lit(0).cast("long")
     head = F.transform(
         _head(values, n, "bigint"), lambda x: F.greatest(F.coalesce(x, zero), zero)
     )
-    return _fill(head, n, zero)
+    return fill_to(head, n, zero, list_length(values, n))
 
 
 def pad_id_list(values: Column, n: int, vocab: int) -> Column:
@@ -41,14 +45,25 @@ def pad_id_list(values: Column, n: int, vocab: int) -> Column:
     zero = F.lit(0).cast("long")
     if vocab <= 0:
         return F.array_repeat(zero, n)
-    return _fill(
-        F.transform(_head(values, n, "bigint"), lambda x: clean_id(x, vocab)), n, zero
-    )
+    head = F.transform(_head(values, n, "bigint"), lambda x: clean_id(x, vocab))
+    return fill_to(head, n, zero, list_length(values, n))
+
+
+def pad_time_list(values: Column, n: int) -> Column:
+    """First ``n`` timestamps, null as 0, padded with 0; negative ones are kept."""
+    zero = F.lit(0).cast("long")
+    return fill_to(time_list(values, n), n, zero, list_length(values, n))
+
+
+def time_list(values: Column, n: int) -> Column:
+    """First ``n`` timestamps, null as 0, without padding."""
+    zero = F.lit(0).cast("long")
+    return F.transform(_head(values, n, "bigint"), lambda t: F.coalesce(t, zero))
 
 
 def pad_float_list(values: Column, n: int) -> Column:
     """First ``n`` values, padded with 0.0 on the right."""
-    return _fill(_head(values, n, "double"), n, F.lit(0.0))
+    return fill_to(_head(values, n, "double"), n, F.lit(0.0), list_length(values, n))
 
 
 def _finite(x: Column) -> Column:
@@ -57,10 +72,11 @@ def _finite(x: Column) -> Column:
 
 def pad_float_list_with_presence(values: Column, n: int) -> tuple[Column, Column]:
     """Padded values and a 0/1 mask; null, NaN and infinite entries count as absent."""
-    head = _head(values, n, "double")
+    head, length = _head(values, n, "double"), list_length(values, n)
     cleaned = F.transform(head, lambda x: F.when(_finite(x), x).otherwise(F.lit(0.0)))
     present = F.transform(head, lambda x: _finite(x).cast("double"))
-    return _fill(cleaned, n, F.lit(0.0)), _fill(present, n, F.lit(0.0))
+    zero = F.lit(0.0)
+    return fill_to(cleaned, n, zero, length), fill_to(present, n, zero, length)
 
 
 def segment_presence(presence: Column) -> Column:
@@ -85,19 +101,14 @@ def take_range(vector: Column, start: int, end: int) -> Column:
 
 def padding_mask(length: Column, n: int) -> Column:
     """True at the positions past ``length``."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i >= length)
+    kept = F.least(length, F.lit(n))
+    return fill_to(F.array_repeat(F.lit(False), kept), n, F.lit(True), kept)
 
 
 def most_recent_k(values: Column, length: Column, k: int) -> Column:
     """The ``k`` newest entries of a newest-first sequence, zeros past its length."""
-    zero = F.lit(0).cast("long")
-    return _fill(
-        F.transform(
-            F.slice(values, 1, k), lambda x, i: F.when(i < length, x).otherwise(zero)
-        ),
-        k,
-        zero,
-    )
+    kept = F.least(length, F.lit(k))
+    return fill_to(F.slice(values, F.lit(1), kept), k, F.lit(0).cast("long"), kept)
 
 
 def most_recent_k_mask(length: Column, k: int) -> Column:

@@ -16,7 +16,9 @@ from tidemark.functions.arrays import (
     pad_float_list_with_presence,
     pad_id_list,
     pad_int_list,
+    pad_time_list,
     sequence_length,
+    time_list,
 )
 from tidemark.functions.ids import clean_id
 from tidemark.functions.maths import TRANSFORMS, transform_array
@@ -170,20 +172,18 @@ def build_sequence(domain: SequenceDomain) -> Column:
     )
 
 
+def sequence_times(domain: SequenceDomain) -> Column:
+    """Timestamps of a domain, truncated, not padded; negative ones are kept."""
+    if domain.ts_column is None:
+        return F.array().cast("array<bigint>")
+    return time_list(F.col(domain.ts_column), domain.max_len)
+
+
 def build_sequence_times(domain: SequenceDomain) -> Column:
-    """Timestamps of a domain, truncated and padded with 0; negative ones are kept."""
-    zero = F.lit(0).cast("long")
+    """Timestamps of a domain, truncated and padded with 0."""
     if domain.ts_column is None:
-        return F.array_repeat(zero, domain.max_len)
-    head = F.slice(
-        F.coalesce(F.col(domain.ts_column), F.array().cast("array<bigint>")),
-        1,
-        domain.max_len,
-    )
-    return F.concat(
-        F.transform(head, lambda t: F.coalesce(t, zero)),
-        F.array_repeat(zero, F.lit(domain.max_len) - F.size(head)),
-    )
+        return F.array_repeat(F.lit(0).cast("long"), domain.max_len)
+    return pad_time_list(F.col(domain.ts_column), domain.max_len)
 
 
 def build_sequence_length(domain: SequenceDomain) -> Column:

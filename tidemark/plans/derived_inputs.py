@@ -85,6 +85,7 @@ def ids(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id",
         "item_id",
         "timestamp",
+        "label_type",
         F.when(event % 7 != 0, whole % 50 - 5).alias("user_int_feats_1"),
         k.alias("user_int_feats_2"),
         F.when(event % 11 == 0, None)

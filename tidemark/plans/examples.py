@@ -21,7 +21,7 @@ from tidemark.operators.assemble import (
     assemble_vector,
     build_sequence,
     build_sequence_length,
-    build_sequence_times,
+    sequence_times,
 )
 from tidemark.operators.item_history import attach_item_history, history_vector
 from tidemark.schema import FeatureLayout, SequenceDomain
@@ -34,14 +34,13 @@ def sequence_features(
     holidays: Sequence[str] = HOLIDAYS,
 ) -> list[Column]:
     """Ids, length, recency, calendar and day-type ids of one domain."""
-    times = build_sequence_times(domain)
-    d = domain.name
+    times, d, n = sequence_times(domain), domain.name, domain.max_len
     return [
         build_sequence(domain).alias(d),
         build_sequence_length(domain).alias(f"{d}_len"),
-        recency_bucket_seq(now, times).alias(f"{d}_time_bucket"),
-        calendar_ids_seq(times, tz_hours).alias(f"{d}_time_feats"),
-        day_type_seq(times, tz_hours, holidays).alias(f"{d}_day_type_feats"),
+        recency_bucket_seq(now, times, n).alias(f"{d}_time_bucket"),
+        calendar_ids_seq(times, tz_hours, n).alias(f"{d}_time_feats"),
+        day_type_seq(times, tz_hours, holidays, n).alias(f"{d}_day_type_feats"),
     ]
 
 

@@ -49,22 +49,29 @@ def build_histories(
     # Every event goes to its own run and, without its own columns, to the run after it.
     run = F.call_function("div", F.col("_rank"), F.lit(max_len).cast("long"))
     copies = ranked.select(
-        user, "_rank", "_seen", "_own", run.alias("_at"), F.explode(F.array(run, run + 1)).alias("_run")
+        user,
+        "_rank",
+        "_seen",
+        "_own",
+        run.alias("_at"),
+        F.explode(F.array(run, run + 1)).alias("_run"),
     )
     is_own = F.col("_run") == F.col("_at")
     entry = F.struct("_rank", "_seen", F.when(is_own, F.col("_own")).alias("_own"))
-    runs = copies.groupBy(user, "_run").agg(
+    # The number of partitions is given: narrow events unfold into long lists here, so
+    # partitions merged by the size of their input would make overlong tasks.
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = copies.repartition(parts, user, "_run").groupBy(user, "_run").agg(
         F.sort_array(F.collect_list(entry), asc=False).alias("_entries"),
         F.count_if(is_own).cast("int").alias("_n"),
     )
-    rows = runs.select(
+    # The lists of a run are taken apart once, before its rows are unfolded from it.
+    lists = [F.col(f"_entries._seen.{n}").alias(f"_all_{n}") for n in fields]
+    packed = runs.select(user, "_run", *lists, F.slice("_entries", 1, F.col("_n")).alias("_rows"))
+    rows = packed.select("*", F.posexplode("_rows").alias("_i", "_e"))
+    return rows.select(
         user,
-        "_run",
-        F.transform("_entries", lambda e: e["_seen"]).alias("_all"),
-        F.posexplode(F.slice("_entries", 1, F.col("_n"))).alias("_i", "_e"),
-    )
-    history = F.slice("_all", F.col("_i") + 2, F.lit(max_len))
-    own = [F.col(f"_e._own.{c}").alias(c) for c in keep]
-    return rows.select(user, F.col("_run").alias("run"), *own, history.alias("_h")).select(
-        user, "run", *keep, *[F.col(f"_h.{n}").alias(n) for n in fields]
+        F.col("_run").alias("run"),
+        *[F.col(f"_e._own.{c}").alias(c) for c in keep],
+        *[F.slice(F.col(f"_all_{n}"), F.col("_i") + 2, F.lit(max_len)).alias(n) for n in fields],
     )
