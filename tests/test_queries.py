@@ -90,3 +90,11 @@ def test_entry(spark):
     assert df.count() == 1000
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"fit_item2vec", "fit_item2vec_many"}))
+def test_no_cross_join(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    # Only tables with a stated bound are broadcast by hint; see operators/lookups.py.
+    assert "PythonUDF" not in plan and "BatchEvalPython" not in plan

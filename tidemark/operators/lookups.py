@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 # A lookup side is broadcast only when its row count is proven not to exceed this.
 BROADCAST_ROWS = 2_000_000
-# A broadcast of vectors is also bounded in bytes.
-BROADCAST_BYTES = 512 * 1024 * 1024
+# A broadcast is also bounded in bytes; two million vectors of 64 floats stay below.
+BROADCAST_BYTES = 1024 * 1024 * 1024
 
 # A key is heavy when it holds more than this share of all rows, so there are
 # at most 1 / HEAVY_SHARE = 1000 of them, whatever the data size.

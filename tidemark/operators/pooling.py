@@ -30,7 +30,7 @@ def _pool(
         "raw_id",
         {"vector": F.lit(None).cast(vectors.schema["vector"].dataType)},
         max_rows=max_rows,
-        row_bytes=64 + 8 * dim,
+        row_bytes=64 + 4 * dim,
     )
     total = F.greatest(F.sum("w"), F.lit(float(floor)))
     sums = [

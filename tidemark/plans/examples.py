@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.fixed_values import DEFAULT_TZ_HOURS, HOLIDAYS
 from tidemark.functions.ids import derive_label
@@ -44,6 +45,19 @@ def sequence_features(
     ]
 
 
+def _kept_entries(df: DataFrame, layout: FeatureLayout) -> list[Column]:
+    """The raw columns of the layout, lists cut to the entries that are used."""
+    limits = {f.column: f.length for f in layout.features}
+    for d in layout.domains:
+        limits.update({d.column(fid): d.max_len for fid, _ in d.fields})
+        if d.ts_column:
+            limits[d.ts_column] = d.max_len
+    is_list = {f.name: isinstance(f.dataType, T.ArrayType) for f in df.schema.fields}
+    return [
+        F.slice(c, 1, n).alias(c) if is_list[c] else F.col(c) for c, n in limits.items()
+    ]
+
+
 def build_examples(
     df: DataFrame,
     layout: FeatureLayout,
@@ -57,29 +71,28 @@ def build_examples(
 ) -> DataFrame:
     """Label, flat vectors and sequences of every impression.
 
-    The features are computed below the item lookup, so long histories are cut to their
-    maximum length before any row can be shuffled for it.
+    Lists are cut to their kept length before the item lookup, which may shuffle the
+    rows, and padded and unfolded into features only after it.
     """
-    ts = F.col("timestamp")
+    label_type = ["label_type"] if training else []
+    needed = dict.fromkeys([*keep, "item_id", "timestamp", *label_type])
+    rows = df.select(*needed, *_kept_entries(df, layout))
     groups = ("user_int", "item_int", "user_dense", "item_dense")
     vectors = {g: assemble_vector(layout, g) for g in groups}
+    if history is not None:
+        rows = attach_item_history(rows, history, max_rows=history_rows)
+        vectors["item_dense"] = F.concat(vectors["item_dense"], history_vector())
+    ts = F.col("timestamp")
+    now = calendar_ids(ts, tz_hours)
     if calendar:
-        now = calendar_ids(ts, tz_hours)
         for g in ("user_int", "item_int"):
             vectors[g] = append_calendar_ids(vectors[g], now)
         vectors["user_dense"] = append_calendar_dense(vectors["user_dense"], now)
     label = derive_label(F.col("label_type") if training else F.lit(None), training)
-    out = df.select(
+    return rows.select(
         *keep,
         label.alias("label"),
         *[vectors[g].alias(f"{g}_feats") for g in groups],
-        calendar_ids(ts, tz_hours).alias("time_feats"),
+        now.alias("time_feats"),
         *[c for d in layout.domains for c in sequence_features(d, ts, tz_hours, holidays)],
     )
-    if history is None:
-        return out
-    joined = attach_item_history(out, history, max_rows=history_rows)
-    wide = F.concat("item_dense_feats", history_vector())
-    return joined.select(
-        *[wide.alias(c) if c == "item_dense_feats" else F.col(c) for c in out.columns]
-    )

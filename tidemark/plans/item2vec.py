@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.storage import stored
 from tidemark.operators.vocab import (
     compact_ids,
     limit_sentences,
@@ -41,14 +42,14 @@ def fit_item2vec(
     """
     rows = limit_sentences(sentences(df, column, max_len), max_sentences)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    vocab = top_k_vocab(token_frequency(rows, min_count), top_k)
-    vocab = vocab.persist(StorageLevel.MEMORY_AND_DISK)
+    vocab = stored(top_k_vocab(token_frequency(rows, min_count), top_k))
     zero = df.sparkSession.range(1).select(
         F.lit(0).cast("long").alias("raw_id"),
         F.lit(0).cast("long").alias("compact_id"),
         F.array_repeat(F.lit(0.0).cast("float"), dim).alias("vector"),
     )
     if vocab.isEmpty():
+        rows.unpersist()
         return zero
     known = compact_ids(rows, ["src_file", "src_row"], "tokens", vocab, max_rows=top_k)
     words = known.select(
@@ -65,6 +66,7 @@ def fit_item2vec(
         inputCol="words",
         outputCol="vector",
     ).fit(words)
+    rows.unpersist()
     fitted = model.getVectors().select(
         F.col("word").cast("long").alias("compact_id"),
         vector_to_array("vector", "float32").alias("vector"),
