@@ -28,7 +28,7 @@ from tidemark.operators import (
 )
 from tidemark.operators.storage import shared_folder
 from tidemark.plans import derived_inputs as inputs
-from tidemark.plans import examples, item2vec, training
+from tidemark.plans import examples, item2vec, lifecycle, training
 from tidemark.sources import bundle, impressions, sinks
 
 YEAR = 366 * 86400
@@ -918,6 +918,15 @@ def fit_and_score(spark, sf):
     return rounded(scored.select("event_id", "label", "prob", "logit"), "prob", "logit")
 
 
+@query
+def train_and_evaluate(spark, sf):
+    layout = sch.FeatureLayout(
+        tuple(f for f in inputs.LAYOUT.features if f.group.endswith("_int"))
+    )
+    _, result = lifecycle.train(inputs.ids(spark, sf), layout, valid_ratio=0.2, maxIter=5)
+    return rounded(result, "auc", "logloss")
+
+
 @query
 def evaluate(spark, sf):
     df = metrics.evaluate(inputs.scored(spark, sf, with_nan=True))

@@ -80,6 +80,23 @@ def test_left_lookup_with_hot_keys(spark, max_rows):
     assert got == {i: (k, known.get(k, -1.0)) for i, k in enumerate(keys)}
 
 
+def test_hot_rows_are_spread(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(2000).select("id", F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id")).alias("k"))
+        table = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+        out = lookups.left_lookup(df, table, "k", {"v": F.lit(-1)}, share=0.1)
+        hot = out.where("k = 1").groupBy(F.spark_partition_id().alias("p")).agg(
+            F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
+        ).collect()
+        assert len(hot) == 8 and max(r.n for r in hot) < 2 * min(r.n for r in hot)
+        assert {(r.lo, r.hi) for r in hot} == {(2, 2)}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_heavy_keys_are_few(spark):
     df = spark.createDataFrame([(1,)] * 50 + [(2,)] * 30 + [(i,) for i in range(3, 23)], "k int")
     assert {r.k for r in lookups.heavy_keys(df, "k", 0.25).collect()} == {1, 2}

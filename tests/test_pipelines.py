@@ -9,6 +9,7 @@ from tidemark.operators.item_history import item_history
 from tidemark.plans import derived_inputs as inputs
 from tidemark.plans.examples import build_examples
 from tidemark.plans.item2vec import fit_item2vec
+from tidemark.plans.lifecycle import predict, train
 from tidemark.plans.training import fit_classifier, score
 from tidemark.schema import FeatureLayout, SequenceDomain
 from tidemark.sources import bundle, sinks
@@ -110,3 +111,29 @@ def test_classifier_learns(spark, kind):
     assert out[0].p < 0.3 < 0.6 < out[1].p
     with pytest.raises(ValueError):
         fit_classifier(df, "f", "y", "svm")
+
+
+def test_train_then_predict_with_the_bundle(spark, tmp_path):
+    layout = FeatureLayout(()).with_features("user_dense", [(61, 2, 0)])
+    log = spark.range(600).select(
+        F.concat(F.lit("u"), F.col("id") % 50).alias("user_id"),
+        (F.col("id") % 7).alias("item_id"),
+        (F.lit(1_700_000_000) + F.col("id") * 60).alias("timestamp"),
+        F.when(F.col("id") % 4 == 0, 2).alias("label_type"),
+        F.array((F.col("id") % 4).cast("float"), F.lit(None).cast("float")).alias("user_dense_feats_61"),
+        F.lit("f").alias("src_file"),
+        F.col("id").alias("src_row"),
+    )
+    model, result = train(log, layout, 0.25, maxIter=20)
+    row = result.first()
+    assert row.auc > 0.95 and row.logloss < 0.4
+    path = str(tmp_path / "bundle")
+    bundle.save_bundle(spark, path, '{"user_dense": [[61, 2]]}', model=model)
+    loaded = bundle.load_bundle(spark, path)
+    assert loaded.layout == layout
+    scored = predict(log.drop("label_type"), loaded)
+    assert scored.count() == 600
+    low = scored.where("src_row % 4 = 3").agg(F.max("prob")).first()[0]
+    high = scored.where("src_row % 4 = 0").agg(F.min("prob")).first()[0]
+    assert low < 0.5 < high
+    assert sinks.latest_predictions(scored).count() == 50

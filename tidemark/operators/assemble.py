@@ -62,8 +62,10 @@ def dense_vector_with_presence(layout: FeatureLayout, group: str) -> tuple[Colum
 
 
 def assemble_vector(layout: FeatureLayout, group: str) -> Column:
-    """Flat vector of any group."""
-    return int_vector(layout, group) if group.endswith("_int") else dense_vector(layout, group)
+    """Flat vector of any group; absent and non-finite dense values are 0."""
+    if group.endswith("_int"):
+        return int_vector(layout, group)
+    return dense_vector_with_presence(layout, group)[0]
 
 
 def plan_branches(

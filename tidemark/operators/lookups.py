@@ -66,7 +66,9 @@ def left_lookup(
     are spread over all tasks by a salt instead of meeting in one.
     """
     names = list(fills)
-    table = table.select(key, *names)
+    # Null keys never match. Saying so here keeps both uses of the table below the same
+    # plan, so that its shuffles are reused.
+    table = table.select(key, *names).where(F.col(key).isNotNull())
     if fits_broadcast(max_rows, row_bytes):
         joined = df.join(F.broadcast(table.withColumn("_hit", F.lit(True))), key, "left")
         return joined.select(
@@ -78,9 +80,10 @@ def left_lookup(
         )
 
     heavy = heavy_keys(df, key, share)
-    heavy_rows = heavy.join(
-        F.broadcast(table.join(F.broadcast(heavy), key, "left_semi")), key, "left"
-    ).select(
+    # An inner join: a semi join would be pushed below the aggregations the table comes
+    # from, and the table would be computed twice instead of its last shuffle being reused.
+    heavy_hits = table.join(F.broadcast(heavy), key)
+    heavy_rows = heavy.join(F.broadcast(heavy_hits), key, "left").select(
         key,
         F.lit(True).alias("_heavy"),
         *[F.col(n).alias(f"_heavy_{n}") for n in names],
@@ -91,7 +94,10 @@ def left_lookup(
             F.col("_heavy") | F.col(key).isNull(), row_salt(df, HEAVY_SALTS) + 1
         ).otherwise(F.lit(0).cast("long")),
     )
-    plain = table.withColumn("_salt", F.lit(0).cast("long"))
+    # Zero, but not a literal: a constant join key would be taken out of the shuffle, and
+    # the salted rows would meet in one task after all. A hash is never null, so no null
+    # check of it is pushed into the plan of the table.
+    plain = table.withColumn("_salt", F.xxhash64(key).bitwiseAND(F.lit(0).cast("long")))
     joined = spread.join(plain, [key, "_salt"], "left")
     return joined.select(
         *df.columns,

@@ -33,6 +33,8 @@ def score(df: DataFrame, model: PipelineModel, features: str) -> DataFrame:
     """Add ``prob`` and ``logit`` to every row; a map over the rows, nothing is reordered."""
     scored = model.transform(df.withColumn("_features", array_to_vector(features)))
     prob = vector_to_array("probability")[1]
+    # A probability may round to exactly 0 or 1, which has no finite logit.
+    inner = F.least(F.greatest(F.col("prob"), F.lit(1e-15)), F.lit(1.0 - 1e-15))
     return scored.select(*df.columns, prob.alias("prob")).withColumn(
-        "logit", F.ln(F.col("prob") / (F.lit(1.0) - F.col("prob")))
+        "logit", F.ln(inner) - F.log1p(-inner)
     )

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,12 +58,13 @@ def load_dense_stats(
 
 @dataclass
 class Bundle:
-    """Everything but the model that scoring needs."""
+    """Everything that scoring needs."""
 
     layout: FeatureLayout
     stats: DataFrame | None
     groups: dict[str, dict[str, list[int]]] | None
     vocab: DataFrame | None
+    model: PipelineModel | None
 
 
 def save_bundle(
@@ -72,8 +74,9 @@ def save_bundle(
     stats: DataFrame | None = None,
     groups: Mapping[str, Mapping[str, Sequence[int]]] | None = None,
     vocab: DataFrame | None = None,
+    model: PipelineModel | None = None,
 ) -> None:
-    """Write schema, statistics, groups and vocabularies beside the model."""
+    """Write schema, statistics, groups, vocabularies and the model side by side."""
 
     def put(text: str, name: str) -> None:
         one = spark.createDataFrame([(text,)], "value string").coalesce(1)
@@ -87,6 +90,8 @@ def save_bundle(
         save_dense_stats(stats, f"{path}/dense_stats")
     if vocab is not None:
         vocab.write.mode("overwrite").parquet(f"{path}/vocab")
+    if model is not None:
+        model.write().overwrite().save(f"{path}/model")
 
 
 def load_bundle(
@@ -103,6 +108,10 @@ def load_bundle(
         except AnalysisException:
             return None
 
+    def load_model():
+        spark.read.text(f"{path}/model/metadata")  # tells a missing model from a broken one
+        return PipelineModel.load(f"{path}/model")
+
     layout = optional(lambda: load_feature_schema(spark, f"{path}/schema", max_lens=max_lens))
     if layout is None:
         if fallback_schema is None:
@@ -114,4 +123,5 @@ def load_bundle(
         optional(lambda: load_dense_stats(spark, f"{path}/dense_stats", dim)),
         optional(lambda: load_groups(spark, f"{path}/groups")),
         optional(lambda: spark.read.parquet(f"{path}/vocab")),
+        optional(load_model),
     )
