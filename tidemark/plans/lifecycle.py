@@ -6,9 +6,10 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.filters import filter_time_range
 from tidemark.operators.item_history import item_history
 from tidemark.operators.metrics import evaluate
-from tidemark.operators.splits import split_by_time
+from tidemark.operators.splits import time_cutoff
 from tidemark.plans.examples import build_examples
 from tidemark.plans.training import fit_classifier, score
 from tidemark.schema import FeatureLayout
@@ -34,10 +35,11 @@ def train(
     **options,
 ) -> tuple[PipelineModel, DataFrame]:
     """Fit on the earlier part of the log; the second result is AUC and log loss on the rest."""
-    parts = split_by_time(log, valid_ratio)
+    # One number comes to the driver, so that both time ranges reach the scans.
+    cutoff = time_cutoff(log, valid_ratio).first()["cutoff"]
     fit_on, held_out = (
-        _examples(parts.where(F.col("split") == s), layout, ("user_id",), True)
-        for s in ("train", "valid")
+        _examples(filter_time_range(log, *ends), layout, ("user_id",), True)
+        for ends in ((None, cutoff), (cutoff, None))
     )
     model = fit_classifier(fit_on, "features", "label", kind, **options)
     return model, evaluate(score(held_out, model, "features"))
