@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import near_dedup, toxicity
+from tidemark.llm import mixing, near_dedup, packing, pii, toxicity
 from tidemark.llm.common import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -23,9 +23,27 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return near_dedup.keep_one_of_each_group(docs)
 
 
+def with_pii_redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents; personal data in their texts gives way to its kind in brackets."""
+    return pii.redact(docs, pii.fit_pii(docs))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document once at least; those of small sources up to twice, as the mix reads them."""
+    return mixing.mixed_documents(docs, mixing.Mixture(max_repeats=2.0))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, each with its place in a training sequence."""
+    return packing.pack_documents(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", without_toxic),
     ("near_dedup", without_near_copies),
+    ("pii", with_pii_redacted),
+    ("mixing", mixed),
+    ("packing", packed),
 ]
 
 #: No SQL: the stages rest on a fitted classifier and on hashed sketches.
