@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, near_dedup, packing, pii, toxicity
+from tidemark.llm import mixing, near_dedup, packing, pii, substring_dedup, toxicity
 from tidemark.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeated_passages(documents(spark, sf_dir))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return pii.find_pii(docs, pii.fit_pii(docs))
@@ -34,6 +38,6 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_source_mixing, op4_pii, op5_toxicity, op8_best_fit_packing, op10_minhash_near_dedup)
+    f.__name__: f for f in (op1_source_mixing, op2_substring_dedup, op4_pii, op5_toxicity, op8_best_fit_packing, op10_minhash_near_dedup)
 }
 ORACLE_SQL: dict[str, str] = {}
