@@ -19,14 +19,14 @@ class Similarity:
     """What counts as near: shingles of `words` words, a Jaccard similarity of `percent` or more.
 
     `sketch` smallest hashes of a set are kept. A list of up to `list_rows` documents is paired
-    directly; longer ones are compared with one leader per round, for `rounds` rounds.
+    directly; in a longer one a leader comes first, then `steps` many members, then the rare shingles.
     """
 
     words: int = 5
     percent: int = 80
-    sketch: int = 32
+    sketch: int = 48
     list_rows: int = 64
-    rounds: int = 4
+    steps: tuple[int, ...] = (16,)
 
 
 def shingle_set(text: bytes, words: int, hashes: WordHashes) -> np.ndarray:
@@ -104,10 +104,10 @@ def similar_links(documents: DataFrame, classes: DataFrame, how: Similarity) ->
 
     Documents meet in the inverted list of a pair of neighbouring sketch values. Of two sets at
     least 80 percent alike, four in five of the smallest values of their union are shared, so a
-    run of two shared neighbours is missing in 32 of them about once in 10^9 pairs; where a sketch
+    run of two shared neighbours is missing in 48 of them about once in 10^13 pairs; where a sketch
     holds the whole set, never. Short lists give all their pairs. In a long list, a document of
     whose lists at least three quarters are short stays out, because its links show in those.
-    The others are compared with a leader; see `_leader_rounds`.
+    The others are treated by `_long_lists`.
     """
     reps = classes.where(F.col("n") * (100 - how.percent) >= how.percent)  # smaller ones need equal sets
     entries = reps.select("rep", "n", "sketch").mapInArrow(_entry_rows, "key long, rep long, n long")
@@ -120,13 +120,13 @@ def similar_links(documents: DataFrame, classes: DataFrame, how: Similarity) ->
     long = shared.where(F.col("rows") > how.list_rows)
     if long.isEmpty():
         return found.select("a", "b")
-    usual = F.col("lists") * 4 <= F.least(F.col("n"), F.lit(how.sketch)) - 1
+    usual = F.size("keys") * 4 <= F.least(F.col("n"), F.lit(how.sketch)) - 1
     dense = (
-        long.groupBy("rep").agg(F.count("*").alias("lists"), F.first("n").alias("n"))
-        .where(~((F.col("n") >= how.sketch) & usual)).select("rep")
+        long.groupBy("rep").agg(F.collect_list("key").alias("keys"), F.first("n").alias("n"))
+        .where(~((F.col("n") >= how.sketch) & usual)).select("rep", "keys")
     )
-    long = stored(long.join(dense, "rep").select("key", "rep", "n"))
-    return found.select("a", "b").unionByName(_leader_rounds(documents, classes, long, how)).distinct()
+    long = stored(long.join(dense, "rep").select("key", "rep", "n", "keys"))
+    return found.select("a", "b").unionByName(_long_lists(documents, classes, long, how)).distinct()
 
 
 def _all_pairs(entries: DataFrame, percent: int) -> DataFrame:
@@ -187,44 +187,94 @@ def _full_sets(words: int):
     return rows
 
 
-def _leader_rounds(documents: DataFrame, classes: DataFrame, entries: DataFrame, how: Similarity) -> DataFrame:
-    """Links among the members of long lists, without all their pairs.
+def _long_lists(documents: DataFrame, classes: DataFrame, entries: DataFrame, how: Similarity) -> DataFrame:
+    """Links that connect the members of long lists as all their links would, without all pairs.
 
-    In each round the smallest member of a list leads: it is compared with all others. Jaccard
-    distance is a metric, and r = 1 - percent / 100 is the reach of a link: a member at distance d <= r from
-    the leader can only link with members within d + r of the leader. It is linked with the
-    leader, and if no other member is farther than r from the leader but within d + r, all its
-    links inside the list are within one component and it leaves the list together with the leader. What is
-    left after the last round, or in lists that became short, is paired directly.
+    The member in most long lists leads: it is compared with all others, and those linked with
+    it are the main part of the list, connected already. Every other member is compared with a few
+    members, then with more; once it links with one of the main part it belongs there and
+    stops. A pair meets in one list alone, the first of those that both are in. Those still outside
+    a main part look for their partners by rare shingles (`_by_rare_shingles`). Two members stay
+    uncompared only if both are in the main part of one list.
     """
-    reach, links, rest = 1 - how.percent / 100, None, entries
-    for _ in range(how.rounds):
-        leaders = rest.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("rows")).where(
-            F.col("rows") > how.list_rows
-        )
-        led = stored(rest.join(leaders.drop("rows"), "key", "left"))
-        if led.where("lead is not null").isEmpty():
+    central = F.max_by("rep", F.struct(F.size("keys"), -F.col("rep")))
+    leaders = entries.groupBy("key").agg(central.alias("lead"), F.count("*").alias("rows"))
+    led = stored(entries.join(leaders, "key"))
+    pairs = led.where("rep <> lead").select(
+        F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")
+    ).distinct()
+    links = stored(_verified(documents, classes, pairs, how, how.percent).select("a", "b"))
+    near_lead = links.select(F.col("a").alias("lead"), F.col("b").alias("rep")).unionByName(
+        links.select(F.col("b").alias("lead"), F.col("a").alias("rep"))
+    ).withColumn("linked", F.lit(True))
+    main = F.coalesce("linked", F.col("rep") == F.col("lead"))
+    state = stored(
+        led.join(near_lead, ["lead", "rep"], "left").select("key", "rep", "n", "keys", "rows", main.alias("main"))
+    )
+
+    slot = F.pmod(F.xxhash64("rep"), F.lit(1 << 40)) * F.col("rows") / F.lit(float(1 << 40))
+    low = 0
+    for high in how.steps:
+        if state.where("not main").isEmpty():
             break
-        pairs = led.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-        close = stored(_verified(documents, classes, pairs, how, 2 * how.percent - 100))
-        close = close.select("a", "b", (1 - F.col("near") / F.col("union")).alias("d"))
-        new = close.where(F.col("d") <= reach + 1e-12).select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        known = led.join(close, (F.col("lead") == F.col("a")) & (F.col("rep") == F.col("b")), "left").select(
-            "key", "rep", "n", "lead", "d"
+        known = state.join(_main_lists(state), "rep", "left").withColumn("mains", F.coalesce("mains", F.array().cast("array<long>")))
+        rest = known.where("not main")
+        tried = known.where((slot >= low) & (slot < high)).select(
+            "key", *(F.col(c).alias(f"{c}_t") for c in ("rep", "n", "keys", "main", "mains"))
         )
-        ring = known.where(F.col("d") > reach + 1e-12).groupBy("key").agg(F.min("d").alias("ring"))
-        out = (F.col("rep") == F.col("lead")) | (
-            (F.col("d") <= reach + 1e-12) & (F.coalesce(F.col("ring"), F.lit(2.0)) > F.col("d") + reach + 1e-9)
+        once = F.array_min(F.array_intersect("keys", "keys_t")) == rest["key"]
+        apart = (F.col("rep") != F.col("rep_t")) & ~F.arrays_overlap("mains", "mains_t")
+        met = stored(
+            rest.join(tried, (rest["key"] == tried["key"]) & apart & _in_reach(F.col("n"), F.col("n_t"), how.percent) & once)
+            .select(rest["key"], "rep", "main_t", F.least("rep", "rep_t").alias("a"), F.greatest("rep", "rep_t").alias("b"))
         )
-        left = known.join(ring, "key", "left").where(~F.coalesce(out, F.lit(False)))
-        rest = stored(left.select("key", "rep", "n"))
-    direct = rest.join(rest.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b")), "key").where(
-        (F.col("rep") < F.col("b")) & _in_reach(F.col("n"), F.col("n_b"), how.percent)
+        new = stored(_verified(documents, classes, met.select("a", "b").distinct(), how, how.percent).select("a", "b"))
+        links = links.unionByName(new)
+        joined = met.where("main_t").join(new, ["a", "b"]).select("key", "rep").distinct().withColumn("joined", F.lit(True))
+        state = stored(
+            state.join(joined, ["key", "rep"], "left").withColumn("main", F.col("main") | F.coalesce("joined", F.lit(False))).drop("joined")
+        )
+        low = high
+    return links.unionByName(_by_rare_shingles(documents, classes, state, how))
+
+
+def _main_lists(state: DataFrame) -> DataFrame:
+    """(rep, mains): the lists in whose main part a member is; at most one per sketch value."""
+    return state.where("main").groupBy("rep").agg(F.collect_list("key").alias("mains"))
+
+
+def _by_rare_shingles(documents: DataFrame, classes: DataFrame, state: DataFrame, how: Similarity) -> DataFrame:
+    """Links of members outside a main part with members of long lists, but for those in one main part.
+
+    With the shingles of each set in one order, rarest first, two sets at least p alike share one
+    of the first n - ceil(p n) + 1 of each. At the first one shared, what is left of both bounds
+    what they can have in common. A passage that all hold comes last, so sets that only
+    have it in common do not meet.
+    """
+    outside = state.where("not main").select("key", "rep")
+    members = state.join(outside.select("key").distinct(), "key", "left_semi").select("rep").distinct()
+    texts = documents.select("doc_id", "text").join(members.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_full_sets(how.words), "rep long, s array<long>").dropDuplicates(["rep"])
+    each = stored(sets.select("rep", F.explode("s").alias("x")))
+    uses = each.groupBy("x").agg(F.count("*").alias("uses")).where("uses > 1")
+    ordered = each.join(uses, "x", "left").groupBy("rep").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("uses", F.lit(1)).alias("uses"), "x"))).alias("s")
+    )
+    n = F.size("s")
+    first = F.slice("s", 1, n - F.ceil(n * F.lit(how.percent) / 100).cast("int") + 1)
+    heads = ordered.select("rep", n.alias("n"), F.posexplode(first).alias("pos", "e")).where("e.uses > 1")
+    heads = heads.join(_main_lists(state), "rep", "left").select(
+        "rep", (F.col("n") - F.col("pos")).alias("left"), "n", "e.x", F.coalesce("mains", F.array().cast("array<long>")).alias("mains")
     )
-    direct = direct.select(F.col("rep").alias("a"), "b").distinct()
-    last = _verified(documents, classes, direct, how, how.percent).select("a", "b")
-    return last if links is None else links.unionByName(last)
+    heads = stored(heads)
+    open_ = heads.join(outside.select("rep").distinct(), "rep", "left_semi")
+    other = heads.select("x", *(F.col(c).alias(f"{c}_t") for c in ("rep", "n", "left", "mains")))
+    apart = (F.col("rep") != F.col("rep_t")) & ~F.arrays_overlap("mains", "mains_t")
+    enough = F.least("left", "left_t") * (100 + how.percent) >= (F.col("n") + F.col("n_t")) * how.percent
+    met = open_.join(
+        other, (open_["x"] == other["x"]) & apart & _in_reach(F.col("n"), F.col("n_t"), how.percent) & enough
+    ).select(F.least("rep", "rep_t").alias("a"), F.greatest("rep", "rep_t").alias("b")).distinct()
+    return _verified(documents, classes, met, how, how.percent).select("a", "b")
 
 
 def near_duplicates(documents: DataFrame, how: Similarity = Similarity()) -> DataFrame:
