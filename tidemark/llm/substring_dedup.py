@@ -14,6 +14,7 @@ from tidemark.llm.common import U64, Batches, WordHashes, as_binary, mixed, tabl
 
 #: A perfect difference set, so every difference modulo 31 is one of two residues of the set.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
+_IN_COVER = np.isin(np.arange(PERIOD), COVER)
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -57,8 +58,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def anchor_places(n_words: int, width: int) -> np.ndarray:
     """Starts of anchors in a text: the places whose residue is in the cover."""
-    at = np.arange(max(0, n_words - width + 1))
-    return at[np.isin(at % PERIOD, COVER)]
+    return np.flatnonzero(np.resize(_IN_COVER, max(0, n_words - width + 1)))
 
 
 def _anchor_rows(how: Passage):
@@ -199,8 +199,11 @@ def remove_repeated_passages(documents: DataFrame, how: Passage = Passage()) ->
     firsts = windows.groupBy("hash").agg(F.min("id").alias("head"))
     first = firsts.groupBy("head").agg(F.collect_list("hash").alias("first"))
 
+    # One row per k, so that the texts, dealt by k already, are not dealt again.
     heads = texts.groupBy("k", "digest").agg(F.min("id").alias("head"))
-    facts = heads.join(first, "head", "left").join(alone, "k", "left").withColumnRenamed("digest", "same")
-    rows = texts.join(facts, "k").where(F.col("digest") == F.col("same"))
-    rows = rows.withColumn("copy", F.col("id") > F.col("head"))
+    same = heads.join(first, "head", "left").groupBy("k").agg(F.collect_list(F.struct("digest", "head", "first")).alias("same"))
+    rows = texts.join(same.join(alone, "k", "left"), "k", "left")
+    rows = rows.withColumn("own", F.filter("same", lambda h: h["digest"] == F.col("digest"))[0]).select(
+        "doc_id", "text", (F.col("id") > F.col("own.head")).alias("copy"), "alone", F.col("own.first").alias("first")
+    )
     return rows.mapInArrow(_result_rows(how), "doc_id long, n_words long, n_removed long, kept_sha256 string")
