@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, near_dedup, packing, pii, substring_dedup, toxicity
+from tidemark.llm import fingerprints, mixing, near_dedup, packing, pii, quality, substring_dedup, toxicity
 from tidemark.llm.common import documents
 
 
@@ -29,15 +29,23 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(documents(spark, sf_dir))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(documents(spark, sf_dir))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), near_dedup.Similarity(words=2))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_source_mixing, op2_substring_dedup, op4_pii, op5_toxicity, op8_best_fit_packing, op10_minhash_near_dedup)
+    f.__name__: f for f in (op1_source_mixing, op2_substring_dedup, op4_pii, op5_toxicity, op6_fingerprints, op8_best_fit_packing, op9_quality_rules, op10_minhash_near_dedup)
 }
 ORACLE_SQL: dict[str, str] = {}
