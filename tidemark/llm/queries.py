@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import fingerprints, mixing, near_dedup, packing, pii, quality, substring_dedup, toxicity
+from tidemark.llm import fingerprints, html_text, mixing, near_dedup, packing, pii, quality, substring_dedup, toxicity
 from tidemark.llm.common import documents
 
 
@@ -33,6 +33,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(documents(spark, sf_dir))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
@@ -46,6 +50,6 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_source_mixing, op2_substring_dedup, op4_pii, op5_toxicity, op6_fingerprints, op8_best_fit_packing, op9_quality_rules, op10_minhash_near_dedup)
+    f.__name__: f for f in (op1_source_mixing, op2_substring_dedup, op4_pii, op5_toxicity, op6_fingerprints, op7_html_extraction, op8_best_fit_packing, op9_quality_rules, op10_minhash_near_dedup)
 }
 ORACLE_SQL: dict[str, str] = {}
