@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import fingerprints, html_text, mixing, near_dedup, packing, pii, quality, substring_dedup, toxicity
+from tidemark.llm import fingerprints, html_text, lm_score, mixing, near_dedup, packing, pii, quality, substring_dedup, toxicity
 from tidemark.llm.common import documents
 
 
@@ -18,6 +18,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated_passages(documents(spark, sf_dir))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(documents(spark, sf_dir))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return pii.find_pii(docs, pii.fit_pii(docs))
@@ -50,6 +54,6 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_source_mixing, op2_substring_dedup, op4_pii, op5_toxicity, op6_fingerprints, op7_html_extraction, op8_best_fit_packing, op9_quality_rules, op10_minhash_near_dedup)
+    f.__name__: f for f in (op1_source_mixing, op2_substring_dedup, op3_lm_scoring, op4_pii, op5_toxicity, op6_fingerprints, op7_html_extraction, op8_best_fit_packing, op9_quality_rules, op10_minhash_near_dedup)
 }
 ORACLE_SQL: dict[str, str] = {}
