@@ -115,18 +115,23 @@ def similar_links(documents: DataFrame, classes: DataFrame, how: Similarity) ->
     shared = stored(entries.join(counts, "key"))
 
     short = shared.where(F.col("rows") <= how.list_rows)
-    found = _verified(documents, classes, _all_pairs(short, how.percent).distinct(), how, how.percent)
+    likely = stored(_likely(classes, _all_pairs(short, how.percent).distinct(), how))
 
-    long = shared.where(F.col("rows") > how.list_rows)
-    if long.isEmpty():
-        return found.select("a", "b")
     usual = F.size("keys") * 4 <= F.least(F.col("n"), F.lit(how.sketch)) - 1
+    long = shared.where(F.col("rows") > how.list_rows)
     dense = (
         long.groupBy("rep").agg(F.collect_list("key").alias("keys"), F.first("n").alias("n"))
         .where(~((F.col("n") >= how.sketch) & usual)).select("rep", "keys")
     )
     long = stored(long.join(dense, "rep").select("key", "rep", "n", "keys"))
-    return found.select("a", "b").unionByName(_long_lists(documents, classes, long, how)).distinct()
+
+    # The full sets of all that may be compared are made again from the texts, in one pass.
+    needed = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(long.select(F.col("rep").alias("doc_id")))
+    texts = documents.select("doc_id", "text").join(needed.distinct(), "doc_id", "left_semi")
+    sets = stored(texts.mapInArrow(_full_sets(how.words), "rep long, s array<long>").dropDuplicates(["rep"]))
+
+    found = _confirmed(likely, sets, how)
+    return found.unionByName(_long_lists(classes, sets, long, how)).distinct()
 
 
 def _all_pairs(entries: DataFrame, percent: int) -> DataFrame:
@@ -139,35 +144,31 @@ def _all_pairs(entries: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame, how: Similarity, percent: int) -> DataFrame:
-    """(a, b, near, union): of the pairs (a, b), those with 100 * near >= percent * union on full sets.
+def _likely(classes: DataFrame, pairs: DataFrame, how: Similarity) -> DataFrame:
+    """Of the pairs (a, b), those whose sketches do not rule them out.
 
-    First the sketches of both give an estimate from the smallest values of their union;
-    pairs five standard errors below `percent` go. The full sets of the others are made again
-    from their texts.
+    The smallest values of the union of both sketches estimate the similarity; pairs five standard errors
+    below the limit go. Where the sketches hold both whole sets, the estimate is exact.
     """
-    sketch = classes.select("rep", "sketch", "n")
-    a, b = (sketch.select(*(F.col(c).alias(f"{c}_{s}") for c in ("rep", "sketch", "n"))) for s in "ab")
+    sketch = classes.select("rep", "sketch")
+    a, b = (sketch.select(*(F.col(c).alias(f"{c}_{s}") for c in sketch.columns)) for s in "ab")
     both = pairs.join(a, F.col("a") == F.col("rep_a")).join(b, F.col("b") == F.col("rep_b"))
-    size = F.least(
-        F.size(F.array_union("sketch_a", "sketch_b")), F.greatest(F.size("sketch_a"), F.size("sketch_b"))
-    )
-    merged = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b"), _unsigned_order), 1, size)
+    union = F.array_union("sketch_a", "sketch_b")
+    size = F.least(F.size(union), F.greatest(F.size("sketch_a"), F.size("sketch_b")))
+    merged = F.slice(F.array_sort(union, _unsigned_order), 1, size)
     overlap = F.size(F.array_intersect(F.array_intersect(merged, "sketch_a"), F.col("sketch_b")))
-    p = percent / 100
+    p = how.percent / 100
     floor = p * F.col("size") - 5 * F.sqrt(p * (1 - p) * F.col("size"))
-    likely = stored(
-        both.select("a", "b", size.alias("size"), overlap.alias("overlap"))
-        .where(F.col("overlap") >= floor).select("a", "b")
-    )
-    needed = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = documents.select("doc_id", "text").join(needed, "doc_id", "left_semi")
-    sets = stored(texts.mapInArrow(_full_sets(how.words), "rep long, s array<long>").dropDuplicates(["rep"]))
+    sized = both.select("a", "b", size.alias("size"), overlap.alias("overlap"))
+    return sized.where(F.col("overlap") >= floor).select("a", "b")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
+    """Of the pairs (a, b), those whose full sets are similar enough."""
     sa, sb = (sets.select(F.col("rep").alias(f"rep_{s}"), F.col("s").alias(f"s_{s}")) for s in "ab")
-    full = likely.join(sa, F.col("a") == F.col("rep_a")).join(sb, F.col("b") == F.col("rep_b"))
-    near = F.size(F.array_intersect("s_a", "s_b"))
-    counted = full.select("a", "b", near.alias("near"), (F.size("s_a") + F.size("s_b") - near).alias("union"))
-    return counted.where(F.col("near") * 100 >= F.col("union") * percent)
+    full = pairs.join(sa, F.col("a") == F.col("rep_a")).join(sb, F.col("b") == F.col("rep_b"))
+    counted = full.select("a", "b", F.size(F.array_intersect("s_a", "s_b")).alias("near"), (F.size("s_a") + F.size("s_b")).alias("n"))
+    return counted.where(F.col("near") * 100 >= (F.col("n") - F.col("near")) * how.percent).select("a", "b")
 
 
 def _unsigned_order(x: Column, y: Column) -> Column:
@@ -187,7 +188,7 @@ def _full_sets(words: int):
     return rows
 
 
-def _long_lists(documents: DataFrame, classes: DataFrame, entries: DataFrame, how: Similarity) -> DataFrame:
+def _long_lists(classes: DataFrame, sets: DataFrame, entries: DataFrame, how: Similarity) -> DataFrame:
     """Links that connect the members of long lists as all their links would, without all pairs.
 
     The member in most long lists leads: it is compared with all others, and those linked with
@@ -203,7 +204,7 @@ def _long_lists(documents: DataFrame, classes: DataFrame, entries: DataFrame, ho
     pairs = led.where("rep <> lead").select(
         F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")
     ).distinct()
-    links = stored(_verified(documents, classes, pairs, how, how.percent).select("a", "b"))
+    links = stored(_confirmed(_likely(classes, pairs, how), sets, how))
     near_lead = links.select(F.col("a").alias("lead"), F.col("b").alias("rep")).unionByName(
         links.select(F.col("b").alias("lead"), F.col("a").alias("rep"))
     ).withColumn("linked", F.lit(True))
@@ -228,14 +229,14 @@ def _long_lists(documents: DataFrame, classes: DataFrame, entries: DataFrame, ho
             rest.join(tried, (rest["key"] == tried["key"]) & apart & _in_reach(F.col("n"), F.col("n_t"), how.percent) & once)
             .select(rest["key"], "rep", "main_t", F.least("rep", "rep_t").alias("a"), F.greatest("rep", "rep_t").alias("b"))
         )
-        new = stored(_verified(documents, classes, met.select("a", "b").distinct(), how, how.percent).select("a", "b"))
+        new = stored(_confirmed(_likely(classes, met.select("a", "b").distinct(), how), sets, how))
         links = links.unionByName(new)
         joined = met.where("main_t").join(new, ["a", "b"]).select("key", "rep").distinct().withColumn("joined", F.lit(True))
         state = stored(
             state.join(joined, ["key", "rep"], "left").withColumn("main", F.col("main") | F.coalesce("joined", F.lit(False))).drop("joined")
         )
         low = high
-    return links.unionByName(_by_rare_shingles(documents, classes, state, how))
+    return links.unionByName(_by_rare_shingles(classes, sets, state, how))
 
 
 def _main_lists(state: DataFrame) -> DataFrame:
@@ -243,7 +244,7 @@ def _main_lists(state: DataFrame) -> DataFrame:
     return state.where("main").groupBy("rep").agg(F.collect_list("key").alias("mains"))
 
 
-def _by_rare_shingles(documents: DataFrame, classes: DataFrame, state: DataFrame, how: Similarity) -> DataFrame:
+def _by_rare_shingles(classes: DataFrame, sets: DataFrame, state: DataFrame, how: Similarity) -> DataFrame:
     """Links of members outside a main part with members of long lists, but for those in one main part.
 
     With the shingles of each set in one order, rarest first, two sets at least p alike share one
@@ -253,9 +254,7 @@ def _by_rare_shingles(documents: DataFrame, classes: DataFrame, state: DataFrame
     """
     outside = state.where("not main").select("key", "rep")
     members = state.join(outside.select("key").distinct(), "key", "left_semi").select("rep").distinct()
-    texts = documents.select("doc_id", "text").join(members.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_full_sets(how.words), "rep long, s array<long>").dropDuplicates(["rep"])
-    each = stored(sets.select("rep", F.explode("s").alias("x")))
+    each = sets.join(members, "rep", "left_semi").select("rep", F.explode("s").alias("x"))
     uses = each.groupBy("x").agg(F.count("*").alias("uses")).where("uses > 1")
     ordered = each.join(uses, "x", "left").groupBy("rep").agg(
         F.sort_array(F.collect_list(F.struct(F.coalesce("uses", F.lit(1)).alias("uses"), "x"))).alias("s")
@@ -274,7 +273,7 @@ def _by_rare_shingles(documents: DataFrame, classes: DataFrame, state: DataFrame
     met = open_.join(
         other, (open_["x"] == other["x"]) & apart & _in_reach(F.col("n"), F.col("n_t"), how.percent) & enough
     ).select(F.least("rep", "rep_t").alias("a"), F.greatest("rep", "rep_t").alias("b")).distinct()
-    return _verified(documents, classes, met, how, how.percent).select("a", "b")
+    return _confirmed(_likely(classes, met, how), sets, how)
 
 
 def near_duplicates(documents: DataFrame, how: Similarity = Similarity()) -> DataFrame:
