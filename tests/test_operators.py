@@ -68,13 +68,20 @@ def test_item_history_range_and_empty(spark):
     assert item_history.item_history(df, (100, None)).count() == 0
 
 
-@pytest.mark.parametrize("max_rows", [None, 10])
-def test_left_lookup_with_hot_keys(spark, max_rows):
+def test_left_lookup_keeps_nulls_of_the_table(spark):
+    table = spark.createDataFrame([(1, None), (2, 2.0)], "k long, v double")
+    df = spark.createDataFrame([(1,)] * 20 + [(2,), (3,), (None,)], "k long")
+    for share in (0.1, 1.0):
+        out = lookups.left_lookup(df, table, "k", {"v": F.lit(-1.0)}, share=share).distinct().collect()
+        assert {(r["k"], r["v"]) for r in out} == {(1, None), (2, 2.0), (3, -1.0), (None, -1.0)}
+
+
+def test_left_lookup_with_hot_keys(spark):
     # Key 1 holds a third of the rows, key 2 (absent from the table) another third.
     keys = [1] * 400 + [2] * 400 + [None] * 50 + list(range(3, 353))
     df = spark.createDataFrame(list(enumerate(keys)), "row int, k bigint")
     table = spark.createDataFrame([(1, 10.0), (5, 50.0), (999, 1.0)], "k bigint, v double")
-    out = lookups.left_lookup(df, table, "k", {"v": F.lit(-1.0)}, max_rows=max_rows, share=0.1)
+    out = lookups.left_lookup(df, table, "k", {"v": F.lit(-1.0)}, share=0.1)
     got = {r["row"]: (r["k"], r["v"]) for r in out.collect()}
     known = {1: 10.0, 5: 50.0}
     assert got == {i: (k, known.get(k, -1.0)) for i, k in enumerate(keys)}
@@ -248,8 +255,7 @@ def test_dense_stats_and_scaling(spark):
     ]
 
 
-@pytest.mark.parametrize("max_rows", [None, 3])
-def test_pooling_and_compact_ids(spark, max_rows):
+def test_pooling_and_compact_ids(spark):
     rows = [
         (1, [7, 7, 0, 5], [1, 1, 2, 3], 3),
         (2, [], [], 0),
@@ -265,18 +271,18 @@ def test_pooling_and_compact_ids(spark, max_rows):
     def values(out):
         return {r.r: r[1] for r in out.collect()}
 
-    mean = values(pooling.embed_mean_pool(df, ["r"], "ids", vectors, 2, max_rows))
+    mean = values(pooling.embed_mean_pool(df, ["r"], "ids", vectors, 2))
     assert mean[1] == pytest.approx([2 / 3, 4 / 3]) and mean[5] == [4.0, 0.0]
     assert mean[2] == mean[3] == mean[4] == [0.0, 0.0]
-    seq = values(pooling.sequence_mean_pool(df, ["r"], "ids", "n", vectors, 2, max_rows))
+    seq = values(pooling.sequence_mean_pool(df, ["r"], "ids", "n", vectors, 2))
     assert seq[1] == pytest.approx([2 / 3, 4 / 3]) and seq[3] == [0.0, 0.0]
-    decayed = values(pooling.time_decay_pool(df, ["r"], "ids", "b", "n", vectors, 2, 0.5, max_rows))
+    decayed = values(pooling.time_decay_pool(df, ["r"], "ids", "b", "n", vectors, 2, 0.5))
     w = math.exp(-0.5)
     assert decayed[1] == pytest.approx([2 / (2 + w), 4 / (2 + w)])
     # A weight below the floor of the denominator no longer cancels.
     assert decayed[5] == pytest.approx([4.0 * math.exp(-0.5 * 69) / 1e-6, 0.0])
     words = spark.createDataFrame([(5, 1), (7, 2), (9, 3)], "raw_id bigint, compact_id bigint")
-    ids = values(vocab.compact_ids(df, ["r"], "ids", words, max_rows))
+    ids = values(vocab.compact_ids(df, ["r"], "ids", words))
     assert ids == {1: [2, 2, 0, 1], 2: [], 3: [], 4: [0, 0], 5: [0]}
 
 

@@ -11,7 +11,7 @@ from tidemark.plans.examples import build_examples
 from tidemark.plans.item2vec import fit_item2vec
 from tidemark.plans.lifecycle import predict, train
 from tidemark.plans.training import fit_classifier, score
-from tidemark.schema import FeatureLayout, SequenceDomain
+from tidemark.schema import FeatureLayout, SequenceDomain, load_feature_schema
 from tidemark.sources import bundle, sinks
 
 SF = "/root/testdata/sf0.001"
@@ -34,6 +34,14 @@ def test_bundle_round_trip(spark, tmp_path):
         bundle.load_dense_stats(spark, f"{path}/dense_stats", 3)
 
 
+def test_bundle_keeps_the_layout_of_training(spark, tmp_path):
+    document = {"user_int": [[1, 40, 1]], "user_dense": [[130, 64]], "seq": {"seq_a": {"prefix": "a", "ts_fid": 9, "features": [[38, 101], [9, 0]]}}}
+    (tmp_path / "schema.json").write_text(json.dumps(document))
+    layout = load_feature_schema(spark, str(tmp_path / "schema.json"), {130: 30}, {"seq_a": 128}).with_item_history()
+    bundle.save_bundle(spark, str(tmp_path / "b"), json.dumps(document), layout=layout)
+    assert bundle.load_bundle(spark, str(tmp_path / "b")).layout == layout
+
+
 def test_bundle_falls_back_to_the_schema_of_the_data(spark, tmp_path):
     (tmp_path / "schema.json").write_text('{"user_int": [[1, 4, 1]]}')
     b = bundle.load_bundle(spark, str(tmp_path / "none"), str(tmp_path / "schema.json"))

@@ -20,7 +20,7 @@ DOCUMENT = {
 def layout(spark, tmp_path):
     (tmp_path / "schema.json").write_text(json.dumps(DOCUMENT, indent=2))
     return sch.load_feature_schema(
-        spark, str(tmp_path / "schema.json"), max_lens=sch.parse_max_lens(" seq_a:16 ,")
+        spark, str(tmp_path / "schema.json"), {130: 259}, max_lens=sch.parse_max_lens(" seq_a:16 ,")
     )
 
 
@@ -38,6 +38,12 @@ def test_layout(layout):
     assert layout.with_item_history().total_dim("item_dense") == 12
 
 
+def test_no_length_is_cut_unasked(spark, tmp_path):
+    (tmp_path / "schema.json").write_text(json.dumps(DOCUMENT))
+    found = sch.load_feature_schema(spark, str(tmp_path / "schema.json"))
+    assert [f.length for f in found.group("user_dense")] == [4, 3, 500]
+
+
 def test_validate_columns(spark, layout):
     have = [c for c in sch.declared_columns(layout) if c not in ("user_int_feats_2", "a_39")]
     df = spark.createDataFrame([], ", ".join(f"{c} int" for c in have))

@@ -61,9 +61,6 @@ TRAILING_HOURS = (1, 6, 24)
 CALENDAR_VOCABS = (24, 7, 6)
 CALENDAR_DENSE_FIDS = (990000, 990001, 990002, 990003)
 
-# Effective length of a user_dense feature whose declared tail is not used.
-USER_DENSE_DIM_OVERRIDES = {130: 259}
-
 # Blocks of the user_dense vector, half-open; embedding blocks are never rescaled.
 USER_DENSE_BLOCKS = {
     "sum_embedding": (0, 256),

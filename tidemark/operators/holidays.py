@@ -23,7 +23,7 @@ def holiday_lookup(
     """Add ``holiday``: 2 on a day listed in ``holidays(day date)``, 1 otherwise, 0 without time.
 
     The calendar is cut to ``first_day .. last_day`` and made distinct, so it has at most
-    one row per day of that span and may be broadcast.
+    one row per day of that span.
     """
     lo, hi = dt.date.fromisoformat(first_day), dt.date.fromisoformat(last_day)
     days = (
@@ -33,7 +33,7 @@ def holiday_lookup(
         .withColumn("_listed", F.lit(2))
     )
     keyed = df.withColumn("_day", local_day(F.col(column), tz_hours))
-    found = left_lookup(keyed, days, "_day", {"_listed": F.lit(1)}, max_rows=(hi - lo).days + 1)
+    found = left_lookup(keyed, days, "_day", {"_listed": F.lit(1)})
     return found.select(
         *df.columns, F.when(F.col(column) > 0, F.col("_listed")).otherwise(0).alias("holiday")
     )

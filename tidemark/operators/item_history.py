@@ -87,12 +87,18 @@ def _hours_between(later: Column, earlier: Column) -> Column:
     return F.greatest((later - earlier) / F.lit(3600.0), F.lit(0.0))
 
 
+def _known(time: str) -> Column:
+    """A time of exactly 0 stands for "unknown" and is read as the newest time."""
+    return F.when(F.col(time) == 0, F.col("max_ts")).otherwise(F.col(time))
+
+
 def item_alive_recency(df: DataFrame) -> DataFrame:
     """Hours between first and last row of an item, and since its last row."""
+    first_ts, last_ts = _known("first_ts"), _known("last_ts")
     return item_core_stats(df).select(
         "item_id",
-        _hours_between(F.col("last_ts"), F.col("first_ts")).alias("alive_hours"),
-        _hours_between(F.col("max_ts"), F.col("last_ts")).alias("recency_hours"),
+        _hours_between(last_ts, first_ts).alias("alive_hours"),
+        _hours_between(F.col("max_ts"), last_ts).alias("recency_hours"),
     )
 
 
@@ -126,12 +132,14 @@ def item_history(
     """The twelve-feature table, one row per item; an empty log gives an empty table.
 
     ``as_of`` is the time the trailing windows end at. By default it is the newest
-    timestamp, which costs one more pass over that column.
+    timestamp, taken from the hour counts, whose shuffle both uses share.
     """
     log = df.select("item_id", "timestamp")
     if time_range is not None:
         log = filter_time_range(log, *time_range)
-    hours = _with_last(item_hour_counts(log), last_timestamp(log) if as_of is None else as_of)
+    counts = item_hour_counts(log)
+    newest = counts.agg(F.max("last_ts").alias("t")).scalar()
+    hours = _with_last(counts, newest if as_of is None else as_of)
     days = hours.groupBy("item_id", floor_div(F.col("hour"), 24).alias("day")).agg(
         F.sum("cnt").alias("cnt"),
         F.count("*").alias("hours"),
@@ -155,9 +163,7 @@ def item_history(
         *[F.sum(f"cnt_{w}h").alias(f"cnt_{w}h") for w in TRAILING_HOURS],
     )
     max_ts = F.col("max_ts")
-    # A time of exactly 0 stands for "unknown" and is read as the newest time.
-    first_ts = F.when(F.col("first_raw") == 0, max_ts).otherwise(F.col("first_raw"))
-    last_ts = F.when(F.col("last_raw") == 0, max_ts).otherwise(F.col("last_raw"))
+    first_ts, last_ts = _known("first_raw"), _known("last_raw")
     values = (
         log1p_nonneg(F.col("cnt").cast("double")),
         log1p_nonneg(F.col("hours").cast("double")),
@@ -178,7 +184,7 @@ def item_history(
 
 
 def attach_item_history(
-    df: DataFrame, table: DataFrame, max_rows: int | None = None, matched: str | None = None
+    df: DataFrame, table: DataFrame, matched: str | None = None
 ) -> DataFrame:
     """Add the twelve features by item; items without history get twelve zeros.
 
@@ -189,7 +195,7 @@ def attach_item_history(
     if matched:
         table = table.withColumn(matched, F.lit(1))
         fills[matched] = F.lit(0)
-    return left_lookup(df, table, "item_id", fills, max_rows=max_rows, row_bytes=160)
+    return left_lookup(df, table, "item_id", fills)
 
 
 def history_vector() -> Column:

@@ -8,18 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A lookup side is broadcast only when its row count is proven not to exceed this.
-BROADCAST_ROWS = 2_000_000
-# A broadcast is also bounded in bytes; two million vectors of 64 floats stay below.
-BROADCAST_BYTES = 1024 * 1024 * 1024
+# A key is heavy when it holds more than this fraction of one partition's fair share.
+HEAVY_FRACTION = 0.5
+# So many salts that hashing them to partitions leaves no partition far above the mean.
+SALTS_PER_PARTITION = 32
 
-# A key is heavy when it holds more than this share of all rows, so there are
-# at most 1 / HEAVY_SHARE = 1000 of them, whatever the data size.
-HEAVY_SHARE = 0.001
-HEAVY_SALTS = 256
 
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> DataFrame:
+
+def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     """Keys holding more than ``share`` of the rows; at most ``1/share`` of them.
 
     The counts are combined map-side, so the hot keys cost one row per task.
@@ -39,67 +38,55 @@ def row_salt(df: DataFrame, salts: int) -> Column:
     return F.pmod(F.xxhash64(*scalars), F.lit(salts).cast("long"))
 
 
-def fits_broadcast(max_rows: int | None, row_bytes: int = 64) -> bool:
-    """Whether a table of at most ``max_rows`` rows may be broadcast."""
-    return (
-        max_rows is not None
-        and max_rows <= BROADCAST_ROWS
-        and max_rows * row_bytes <= BROADCAST_BYTES
-    )
-
-
 def left_lookup(
     df: DataFrame,
     table: DataFrame,
     key: str,
     fills: Mapping[str, Column],
-    max_rows: int | None = None,
-    row_bytes: int = 64,
-    share: float = HEAVY_SHARE,
+    share: float | None = None,
 ) -> DataFrame:
     """Add columns of ``table`` (one row per key) to ``df``; unmatched rows get ``fills``.
 
-    ``max_rows`` is a bound the caller can prove (for example the ``k`` of a top-k
-    table). Within the limits the table is broadcast and ``df`` does not move.
-    Otherwise both sides are shuffled on the key, except that the rows of heavy keys
-    take their values from a broadcast of the at most ``1/share`` heavy table rows and
-    are spread over all tasks by a salt instead of meeting in one.
+    A matched row takes the values of the table as they are, nulls included. Both sides are
+    shuffled on the key, except that the rows of heavy keys take their values from a
+    broadcast of the at most ``1/share`` heavy table rows and are spread over all
+    partitions by a salt instead of meeting in one. By default a key is heavy from half a partition's fair
+    share on, so that broadcast is twice as many rows as there are partitions. Adaptive
+    execution makes it a broadcast join where the measured table is small.
     """
     names = list(fills)
+    partitions = shuffle_partitions(df)
     # Null keys never match. Saying so here keeps both uses of the table below the same
     # plan, so that its shuffles are reused.
     table = table.select(key, *names).where(F.col(key).isNotNull())
-    if fits_broadcast(max_rows, row_bytes):
-        joined = df.join(F.broadcast(table.withColumn("_hit", F.lit(True))), key, "left")
-        return joined.select(
-            *df.columns,
-            *[
-                F.when(F.col("_hit"), F.col(n)).otherwise(fills[n]).alias(n)
-                for n in names
-            ],
-        )
-
-    heavy = heavy_keys(df, key, share)
+    heavy = heavy_keys(df, key, share or HEAVY_FRACTION / partitions)
     # An inner join: a semi join would be pushed below the aggregations the table comes
     # from, and the table would be computed twice instead of its last shuffle being reused.
-    heavy_hits = table.join(F.broadcast(heavy), key)
+    heavy_hits = table.join(F.broadcast(heavy), key).withColumn("_heavy_hit", F.lit(True))
     heavy_rows = heavy.join(F.broadcast(heavy_hits), key, "left").select(
         key,
         F.lit(True).alias("_heavy"),
+        "_heavy_hit",
         *[F.col(n).alias(f"_heavy_{n}") for n in names],
     )
     spread = df.join(F.broadcast(heavy_rows), key, "left").withColumn(
         "_salt",
         F.when(
-            F.col("_heavy") | F.col(key).isNull(), row_salt(df, HEAVY_SALTS) + 1
+            F.col("_heavy") | F.col(key).isNull(), row_salt(df, SALTS_PER_PARTITION * partitions) + 1
         ).otherwise(F.lit(0).cast("long")),
     )
     # Zero, but not a literal: a constant join key would be taken out of the shuffle, and
     # the salted rows would meet in one task after all. A hash is never null, so no null
     # check of it is pushed into the plan of the table.
     plain = table.withColumn("_salt", F.xxhash64(key).bitwiseAND(F.lit(0).cast("long")))
-    joined = spread.join(plain, [key, "_salt"], "left")
+    joined = spread.join(plain.withColumn("_hit", F.lit(True)), [key, "_salt"], "left")
     return joined.select(
         *df.columns,
-        *[F.coalesce(F.col(n), F.col(f"_heavy_{n}"), fills[n]).alias(n) for n in names],
+        *[
+            F.when(F.col("_hit"), F.col(n))
+            .when(F.col("_heavy_hit"), F.col(f"_heavy_{n}"))
+            .otherwise(fills[n])
+            .alias(n)
+            for n in names
+        ],
     )

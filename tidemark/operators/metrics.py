@@ -118,6 +118,18 @@ def _check_block(rows: int, limit: int) -> None:
         raise ValueError(f"block of {rows} rows, limit {limit}: positions are not unique")
 
 
+def _strips(values: np.ndarray, rows: int = 256) -> list[np.ndarray]:
+    return [values[k : k + rows] for k in range(0, len(values), rows)]
+
+
+def _log_sum_others(unit: np.ndarray, rows: np.ndarray, temperature: float) -> np.ndarray:
+    """Log of the summed exponentials of each row's similarities to all vectors but its own."""
+    x = unit[rows] @ unit.T / temperature
+    x[np.arange(len(rows)), rows] = -np.inf
+    top = x.max(axis=1)
+    return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+
+
 def pairwise_auc_loss(
     scored: DataFrame,
     position: str,
@@ -127,8 +139,8 @@ def pairwise_auc_loss(
 ) -> DataFrame:
     """Mean softplus(negative - positive) over the pairs of each block.
 
-    A block without both classes gives no row. The pairs exist only as one matrix in the
-    task that holds the block, never as rows.
+    A block without both classes gives no row. The pairs exist only as strips of a matrix
+    in the task that holds the block, never as rows.
     """
 
     def loss(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -140,7 +152,8 @@ def pairwise_auc_loss(
         if len(pos) and len(neg):
             out["block"].append(pdf["block"].iloc[0])
             out["pairs"].append(len(pos) * len(neg))
-            out["loss"].append(np.logaddexp(0.0, neg[None, :] - pos[:, None]).mean())
+            parts = [np.logaddexp(0.0, neg[None, :] - p[:, None]).sum() for p in _strips(pos)]
+            out["loss"].append(sum(parts) / (len(pos) * len(neg)))
         return pd.DataFrame(out)
 
     rows = with_block(
@@ -172,27 +185,31 @@ def contrastive_loss(
     """Supervised contrastive loss per block, with its number of anchors.
 
     Anchors without a partner of their label are left out; a block without any anchor
-    has loss 0. Similarities are one matrix in the task that holds the block.
+    has loss 0. An anchor's loss is the log of the summed exponentials of its similarities to all others,
+    less its mean similarity to its partners. That mean needs no pairs: it is the product with the sum
+    of its label's vectors, less the product with itself. The exponentials are taken in
+    strips of the block.
     """
 
     def loss(pdf: pd.DataFrame) -> pd.DataFrame:
         _check_block(len(pdf), block_rows)
-        z = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-        z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-        y = pdf["label"].to_numpy()
-        sim = z @ z.T / temperature
-        sim -= sim.max(axis=1, keepdims=True)
-        others = ~np.eye(len(y), dtype=bool)
-        spread = np.where(others, np.exp(sim), 0.0).sum(axis=1, keepdims=True)
-        partner = (y[:, None] == y[None, :]) & others
-        n = partner.sum(axis=1)
-        mean = np.where(partner, sim - np.log(spread + 1e-12), 0.0).sum(axis=1) / np.maximum(n, 1)
-        anchor = n > 0
+        unit = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
+        unit = unit / np.maximum(np.sqrt((unit**2).sum(axis=1)), 1e-12)[:, None]
+        names, label = np.unique(pdf["label"].to_numpy(), return_inverse=True)
+        label_sum = np.zeros((len(names), unit.shape[1]))
+        np.add.at(label_sum, label, unit)
+        partners = np.bincount(label)[label] - 1
+        counted = partners > 0
         if positives_only:
-            anchor &= y == pos_label
-        value = -mean[anchor].mean() if anchor.any() else 0.0
+            counted &= names[label] == pos_label
+        at = np.flatnonzero(counted)
+        if not len(at):
+            return pd.DataFrame({"block": [pdf["block"].iloc[0]], "anchors": [0], "loss": [0.0]})
+        own = (unit[at] ** 2).sum(axis=1)
+        towards = ((unit[at] * label_sum[label[at]]).sum(axis=1) - own) / partners[at] / temperature
+        apart = np.concatenate([_log_sum_others(unit, rows, temperature) for rows in _strips(at)])
         return pd.DataFrame(
-            {"block": [pdf["block"].iloc[0]], "anchors": [int(anchor.sum())], "loss": [value]}
+            {"block": [pdf["block"].iloc[0]], "anchors": [len(at)], "loss": [float(np.mean(apart - towards))]}
         )
 
     rows = with_block(

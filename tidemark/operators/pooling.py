@@ -21,7 +21,6 @@ def _pool(
     vectors: DataFrame,
     dim: int,
     floor: float,
-    max_rows: int | None,
 ) -> DataFrame:
     """Weighted mean per key of ``tokens(key, raw_id, w)``; unknown ids are zero vectors."""
     found = left_lookup(
@@ -29,8 +28,6 @@ def _pool(
         vectors,
         "raw_id",
         {"vector": F.lit(None).cast(vectors.schema["vector"].dataType)},
-        max_rows=max_rows,
-        row_bytes=64 + 4 * dim,
     )
     total = F.greatest(F.sum("w"), F.lit(float(floor)))
     sums = [
@@ -46,7 +43,6 @@ def embed_mean_pool(
     column: str,
     vectors: DataFrame,
     dim: int,
-    max_rows: int | None = None,
 ) -> DataFrame:
     """Mean vector over the non-zero ids of a list.
 
@@ -55,7 +51,7 @@ def embed_mean_pool(
     tokens = df.select(*key, F.explode_outer(column).alias("raw_id")).withColumn(
         "w", (F.coalesce(F.col("raw_id"), F.lit(0)) != 0).cast("double")
     )
-    return _pool(tokens, key, vectors, dim, 1.0, max_rows)
+    return _pool(tokens, key, vectors, dim, 1.0)
 
 
 def _positions(
@@ -77,11 +73,10 @@ def sequence_mean_pool(
     length: str,
     vectors: DataFrame,
     dim: int,
-    max_rows: int | None = None,
 ) -> DataFrame:
     """Mean vector over the positions before ``length``; at least 1 in the denominator."""
     tokens = _positions(df, key, column, length).withColumn("w", F.col("_valid").cast("double"))
-    return _pool(tokens.drop("_valid"), key, vectors, dim, 1.0, max_rows)
+    return _pool(tokens.drop("_valid"), key, vectors, dim, 1.0)
 
 
 def decay_weight(bucket: Column, strength: float) -> Column:
@@ -98,11 +93,10 @@ def time_decay_pool(
     vectors: DataFrame,
     dim: int,
     strength: float,
-    max_rows: int | None = None,
 ) -> DataFrame:
     """Mean vector weighted by recency over the positions before ``length``."""
     if strength <= 0:
-        return sequence_mean_pool(df, key, column, length, vectors, dim, max_rows)
+        return sequence_mean_pool(df, key, column, length, vectors, dim)
     weight = F.when(F.col("_valid"), decay_weight(F.col(bucket), strength)).otherwise(F.lit(0.0))
     tokens = _positions(df, key, column, length, [bucket]).withColumn("w", weight)
-    return _pool(tokens.drop("_valid", bucket), key, vectors, dim, 1e-6, max_rows)
+    return _pool(tokens.drop("_valid", bucket), key, vectors, dim, 1e-6)

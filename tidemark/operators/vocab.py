@@ -82,13 +82,11 @@ def compact_ids(
     key: Sequence[str],
     column: str,
     vocab: DataFrame,
-    max_rows: int | None = None,
 ) -> DataFrame:
     """``key`` and the list mapped to ids 1..K by exact match, 0 otherwise.
 
-    ``max_rows`` is the ``k`` the vocabulary was cut with. When ``df`` is already
-    partitioned by a prefix of ``key`` the lists are put together again without a
-    shuffle.
+    When ``df`` is already partitioned by a prefix of ``key`` the lists are put together
+    again without a shuffle.
     """
     tokens = df.select(*key, F.posexplode_outer(column).alias("pos", "raw_id"))
     found = left_lookup(
@@ -96,8 +94,6 @@ def compact_ids(
         vocab,
         "raw_id",
         {"compact_id": F.lit(0).cast("long")},
-        max_rows=max_rows,
-        row_bytes=64,
     )
     pairs = F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "compact_id")))
     return found.groupBy(*key).agg(

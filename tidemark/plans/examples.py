@@ -67,7 +67,6 @@ def build_examples(
     keep: Sequence[str] = ("user_id", "item_id", "timestamp"),
     tz_hours: float = DEFAULT_TZ_HOURS,
     holidays: Sequence[str] = HOLIDAYS,
-    history_rows: int | None = None,
 ) -> DataFrame:
     """Label, flat vectors and sequences of every impression.
 
@@ -80,7 +79,7 @@ def build_examples(
     groups = ("user_int", "item_int", "user_dense", "item_dense")
     vectors = {g: assemble_vector(layout, g) for g in groups}
     if history is not None:
-        rows = attach_item_history(rows, history, max_rows=history_rows)
+        rows = attach_item_history(rows, history)
         vectors["item_dense"] = F.concat(vectors["item_dense"], history_vector())
     ts = F.col("timestamp")
     now = calendar_ids(ts, tz_hours)

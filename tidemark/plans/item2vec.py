@@ -51,7 +51,7 @@ def fit_item2vec(
     if vocab.isEmpty():
         rows.unpersist()
         return zero
-    known = compact_ids(rows, ["src_file", "src_row"], "tokens", vocab, max_rows=top_k)
+    known = compact_ids(rows, ["src_file", "src_row"], "tokens", vocab)
     words = known.select(
         F.transform(F.filter("tokens", lambda x: x > 0), lambda x: x.cast("string")).alias("words")
     ).where(F.size("words") > 0)

@@ -22,7 +22,6 @@ from tidemark.fixed_values import (
     ID_VOCAB_THRESHOLD,
     ITEM_HISTORY_FIDS,
     UNSCALED_RANGES,
-    USER_DENSE_DIM_OVERRIDES,
 )
 
 SCHEMA_TYPE = (
@@ -120,7 +119,7 @@ def _int_map(values: Mapping, key_type: str) -> Column:
 def parse_features(
     texts: DataFrame,
     column: str = "value",
-    dim_overrides: Mapping[int, int] = USER_DENSE_DIM_OVERRIDES,
+    dim_overrides: Mapping[int, int] | None = None,
 ) -> DataFrame:
     """One row per declared feature: group, slot, fid, vocab, length."""
     s = F.from_json(F.col(column), SCHEMA_TYPE)
@@ -243,7 +242,7 @@ def _to_layout(features: DataFrame, sequences: DataFrame) -> FeatureLayout:
 
 def layout_from_text(
     texts: DataFrame,
-    dim_overrides: Mapping[int, int] = USER_DENSE_DIM_OVERRIDES,
+    dim_overrides: Mapping[int, int] | None = None,
     max_lens: Mapping[str, int] | None = None,
 ) -> FeatureLayout:
     """Layout of one schema document held in the ``value`` column of ``texts``."""
@@ -256,7 +255,7 @@ def layout_from_text(
 def load_feature_schema(
     spark: SparkSession,
     path: str,
-    dim_overrides: Mapping[int, int] = USER_DENSE_DIM_OVERRIDES,
+    dim_overrides: Mapping[int, int] | None = None,
     max_lens: Mapping[str, int] | None = None,
 ) -> FeatureLayout:
     """Read ``schema.json`` from any file system Spark reaches."""

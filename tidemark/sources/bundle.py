@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
@@ -12,7 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.fixed_values import UNSCALED_RANGES
-from tidemark.schema import FeatureLayout, load_feature_schema, load_groups
+from tidemark.schema import (
+    Feature,
+    FeatureLayout,
+    SequenceDomain,
+    layout_from_text,
+    load_feature_schema,
+    load_groups,
+)
 
 _STATS_TYPE = (
     "feature string, num_dims long, use_dense_value_log1p boolean, stat_scope string,"
@@ -75,8 +82,13 @@ def save_bundle(
     groups: Mapping[str, Mapping[str, Sequence[int]]] | None = None,
     vocab: DataFrame | None = None,
     model: PipelineModel | None = None,
+    layout: FeatureLayout | None = None,
 ) -> None:
-    """Write schema, statistics, groups, vocabularies and the model side by side."""
+    """Write schema, statistics, groups, vocabularies and the model side by side.
+
+    ``layout`` is the one that training used; without it, that of the schema as it stands.
+    It is saved resolved, so loading does not derive it again.
+    """
 
     def put(text: str, name: str) -> None:
         one = spark.createDataFrame([(text,)], "value string").coalesce(1)
@@ -84,6 +96,9 @@ def save_bundle(
 
     # One document per line, so that reading the directory as text gives it back.
     put(json.dumps(json.loads(schema_text)), "schema")
+    if layout is None:
+        layout = layout_from_text(spark.createDataFrame([(schema_text,)], "value string"))
+    put(json.dumps(asdict(layout)), "layout")
     if groups is not None:
         put(json.dumps({k: dict(v) for k, v in groups.items()}), "groups")
     if stats is not None:
@@ -94,25 +109,42 @@ def save_bundle(
         model.write().overwrite().save(f"{path}/model")
 
 
+def load_layout(spark: SparkSession, path: str) -> FeatureLayout:
+    """The resolved layout that ``save_bundle`` wrote."""
+    saved = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    return FeatureLayout(
+        tuple(Feature(**f) for f in saved["features"]),
+        tuple(
+            SequenceDomain(**{**d, "fields": tuple(tuple(x) for x in d["fields"])})
+            for d in saved["domains"]
+        ),
+    )
+
+
 def load_bundle(
     spark: SparkSession,
     path: str,
     fallback_schema: str | None = None,
     max_lens: Mapping[str, int] | None = None,
 ) -> Bundle:
-    """Read a bundle; its own schema wins over the ``fallback_schema`` of the data."""
+    """Read a bundle; the layout saved in it wins over its schema and the ``fallback_schema`` of the data."""
 
     def optional(read):
+        """None where nothing was saved; every other error goes to the caller."""
         try:
             return read()
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
 
     def load_model():
         spark.read.text(f"{path}/model/metadata")  # tells a missing model from a broken one
         return PipelineModel.load(f"{path}/model")
 
-    layout = optional(lambda: load_feature_schema(spark, f"{path}/schema", max_lens=max_lens))
+    layout = optional(lambda: load_layout(spark, f"{path}/layout"))
+    if layout is None:
+        layout = optional(lambda: load_feature_schema(spark, f"{path}/schema", max_lens=max_lens))
     if layout is None:
         if fallback_schema is None:
             raise FileNotFoundError(f"no schema in {path}")

@@ -28,6 +28,8 @@ def read_impressions(
     try:
         df = spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
     except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         raise FileNotFoundError(f"no Parquet files in {path}") from e
     return _with_position(df) if with_position else df
 
