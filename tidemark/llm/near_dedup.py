@@ -131,7 +131,9 @@ def similar_links(documents: DataFrame, classes: DataFrame, how: Similarity) ->
     sets = stored(texts.mapInArrow(_full_sets(how.words), "rep long, s array<long>").dropDuplicates(["rep"]))
 
     found = _confirmed(likely, sets, how)
-    return found.unionByName(_long_lists(classes, sets, long, how)).distinct()
+    members = long.select("rep").distinct()
+    of_members = stored(classes.select("rep", "sketch").join(members, "rep", "left_semi"))
+    return found.unionByName(_long_lists(of_members, sets, long, how)).distinct()
 
 
 def _all_pairs(entries: DataFrame, percent: int) -> DataFrame:
@@ -144,13 +146,13 @@ def _all_pairs(entries: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _likely(classes: DataFrame, pairs: DataFrame, how: Similarity) -> DataFrame:
+def _likely(sketched: DataFrame, pairs: DataFrame, how: Similarity) -> DataFrame:
     """Of the pairs (a, b), those whose sketches do not rule them out.
 
     The smallest values of the union of both sketches estimate the similarity; pairs five standard errors
     below the limit go. Where the sketches hold both whole sets, the estimate is exact.
     """
-    sketch = classes.select("rep", "sketch")
+    sketch = sketched.select("rep", "sketch")
     a, b = (sketch.select(*(F.col(c).alias(f"{c}_{s}") for c in sketch.columns)) for s in "ab")
     both = pairs.join(a, F.col("a") == F.col("rep_a")).join(b, F.col("b") == F.col("rep_b"))
     union = F.array_union("sketch_a", "sketch_b")
@@ -188,7 +190,7 @@ def _full_sets(words: int):
     return rows
 
 
-def _long_lists(classes: DataFrame, sets: DataFrame, entries: DataFrame, how: Similarity) -> DataFrame:
+def _long_lists(of_members: DataFrame, sets: DataFrame, entries: DataFrame, how: Similarity) -> DataFrame:
     """Links that connect the members of long lists as all their links would, without all pairs.
 
     The member in most long lists leads: it is compared with all others, and those linked with
@@ -204,7 +206,7 @@ def _long_lists(classes: DataFrame, sets: DataFrame, entries: DataFrame, how: Si
     pairs = led.where("rep <> lead").select(
         F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")
     ).distinct()
-    links = stored(_confirmed(_likely(classes, pairs, how), sets, how))
+    links = stored(_confirmed(_likely(of_members, pairs, how), sets, how))
     near_lead = links.select(F.col("a").alias("lead"), F.col("b").alias("rep")).unionByName(
         links.select(F.col("b").alias("lead"), F.col("a").alias("rep"))
     ).withColumn("linked", F.lit(True))
@@ -229,14 +231,14 @@ def _long_lists(classes: DataFrame, sets: DataFrame, entries: DataFrame, how: Si
             rest.join(tried, (rest["key"] == tried["key"]) & apart & _in_reach(F.col("n"), F.col("n_t"), how.percent) & once)
             .select(rest["key"], "rep", "main_t", F.least("rep", "rep_t").alias("a"), F.greatest("rep", "rep_t").alias("b"))
         )
-        new = stored(_confirmed(_likely(classes, met.select("a", "b").distinct(), how), sets, how))
+        new = stored(_confirmed(_likely(of_members, met.select("a", "b").distinct(), how), sets, how))
         links = links.unionByName(new)
         joined = met.where("main_t").join(new, ["a", "b"]).select("key", "rep").distinct().withColumn("joined", F.lit(True))
         state = stored(
             state.join(joined, ["key", "rep"], "left").withColumn("main", F.col("main") | F.coalesce("joined", F.lit(False))).drop("joined")
         )
         low = high
-    return links.unionByName(_by_rare_shingles(classes, sets, state, how))
+    return links.unionByName(_by_rare_shingles(of_members, sets, state, how))
 
 
 def _main_lists(state: DataFrame) -> DataFrame:
@@ -244,7 +246,7 @@ def _main_lists(state: DataFrame) -> DataFrame:
     return state.where("main").groupBy("rep").agg(F.collect_list("key").alias("mains"))
 
 
-def _by_rare_shingles(classes: DataFrame, sets: DataFrame, state: DataFrame, how: Similarity) -> DataFrame:
+def _by_rare_shingles(of_members: DataFrame, sets: DataFrame, state: DataFrame, how: Similarity) -> DataFrame:
     """Links of members outside a main part with members of long lists, but for those in one main part.
 
     With the shingles of each set in one order, rarest first, two sets at least p alike share one
@@ -273,7 +275,7 @@ def _by_rare_shingles(classes: DataFrame, sets: DataFrame, state: DataFrame, how
     met = open_.join(
         other, (open_["x"] == other["x"]) & apart & _in_reach(F.col("n"), F.col("n_t"), how.percent) & enough
     ).select(F.least("rep", "rep_t").alias("a"), F.greatest("rep", "rep_t").alias("b")).distinct()
-    return _confirmed(_likely(classes, met, how), sets, how)
+    return _confirmed(_likely(of_members, met, how), sets, how)
 
 
 def near_duplicates(documents: DataFrame, how: Similarity = Similarity()) -> DataFrame:
