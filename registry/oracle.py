@@ -691,7 +691,7 @@ def build() -> dict[str, str]:
     sql["item_history_in_range"] = item_history(
         imp, f"WHERE {TS} > 1704412800 AND {TS} <= 1705622400"
     )
-    sql["token_frequency"] = with_("freq", "SELECT token, cnt FROM freq WHERE cnt >= 3000")
+    sql["token_frequency"] = with_("freq", "SELECT token, cnt FROM freq WHERE cnt >= 5")
     sql["auc"] = with_("scored", f", {auc_sql('scored').strip()} SELECT {n(AUC)} AS auc FROM a")
     sql["logloss"] = with_("scored", f"SELECT {n(f'avg({BCE})')} AS logloss FROM scored")
     sql["focal_loss"] = with_(
@@ -709,7 +709,9 @@ def build() -> dict[str, str]:
     )
     sql["contrastive_loss"] = contrastive(False)
     sql["contrastive_loss_positives"] = contrastive(True)
-    early = f"WHERE {TS} <= 1704080000"
+    early = (
+        f"WHERE {TS} <= (SELECT min({TS}) + (max({TS}) - min({TS})) * 4 // 5 FROM impressions)"
+    )
     sql["coverage"] = with_history(
         imp,
         early,
@@ -737,7 +739,7 @@ def build() -> dict[str, str]:
     sql["attach_item_history_large"] = with_history(
         "item_log",
         "",
-        f"""SELECT order_id, line_no, i.item_id, {attached((ITEM_HISTORY_NAMES[0], ITEM_HISTORY_NAMES[11]))}
+        f"""SELECT order_id, line_no, i.item_id, {attached(ITEM_HISTORY_NAMES)}
             FROM item_log i LEFT JOIN h_table t USING (item_id)""",
     )
     sql["top_k_vocab"] = with_("vocab", "SELECT raw_id, compact_id, cnt FROM vocab")
@@ -807,15 +809,26 @@ def build() -> dict[str, str]:
     sql["fit_item2vec"] = with_(
         "histories",
         f""", f AS (SELECT token, count(*) AS cnt FROM (
-                 SELECT unnest(list_filter(s38, lambda x: x > 0)[1:20]) AS token FROM histories)
+                 SELECT unnest(list_filter(s38, lambda x: x > 0)[1:200]) AS token FROM histories)
              GROUP BY token HAVING count(*) >= 5 ORDER BY count(*) DESC, token LIMIT {TOKENS})
         SELECT token AS raw_id, row_number() OVER (ORDER BY token) AS compact_id, 8::BIGINT AS dim FROM f
         UNION ALL SELECT 0, 0, 8""",
     )
+    sql["item2vec_pairs"] = with_(
+        "histories",
+        f""", s AS (SELECT row_number() OVER () AS r, list_filter(s38, lambda x: x > 0)[1:200] AS t FROM histories),
+        e AS (SELECT r, unnest(range(len(t))) AS p, unnest(t) AS x FROM s),
+        near AS (SELECT u.x AS a, v.x AS b FROM e u JOIN e v ON u.r = v.r AND v.p > u.p AND v.p <= u.p + 5),
+        pairs AS (SELECT a, b, count(*) AS n FROM (SELECT a, b FROM near UNION ALL SELECT b, a FROM near) GROUP BY a, b),
+        one AS (SELECT a, sum(n)::BIGINT AS k FROM pairs GROUP BY a)
+        SELECT 'seq_a_38' AS feature, p.a, p.b, p.n,
+            {n("greatest(ln(p.n * (SELECT sum(n)::BIGINT FROM pairs) / (CAST(x.k AS DOUBLE) * y.k)) - ln(2e0), 0e0)")} AS pmi
+        FROM pairs p JOIN one x ON x.a = p.a JOIN one y ON y.a = p.b""",
+    )
     sql["fit_item2vec_many"] = with_(
         "histories",
         f""", f AS (SELECT 'seq_a_38' AS feature, token, count(*) AS cnt FROM (
-                 SELECT unnest(list_filter(s38, lambda x: x > 0)[1:10]) AS token FROM histories)
+                 SELECT unnest(list_filter(s38, lambda x: x > 0)[1:200]) AS token FROM histories)
              GROUP BY token HAVING count(*) >= 5 ORDER BY count(*) DESC, token LIMIT {TOKENS}),
         g AS (SELECT 'item_11' AS feature, item_id AS token, count(*) AS cnt FROM histories
              GROUP BY item_id HAVING count(*) >= 5 ORDER BY count(*) DESC, item_id LIMIT {TOKENS})
@@ -828,9 +841,8 @@ def build() -> dict[str, str]:
         f""", k AS (SELECT * FROM scored_nan WHERE NOT isnan(logit)), {auc_sql('k').strip()}
         SELECT {n(AUC)} AS auc, (SELECT {n(f'avg({BCE})')} FROM k) AS logloss FROM a""",
     )
-    h = [ITEM_HISTORY_NAMES[i] for i in (0, 1, 3, 9, 11)]
     hist = ", ".join(
-        f"{n(f'coalesce(t.{c}, 0e0)')} AS h{i}" for c, i in zip(h, (0, 1, 3, 9, 11))
+        f"{n(f'coalesce(t.{c}, 0e0)')} AS h{i}" for i, c in enumerate(ITEM_HISTORY_NAMES)
     )
     views, _ = item_history_sql(imp)
     sql["build_examples"] = (

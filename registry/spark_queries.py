@@ -26,7 +26,7 @@ from tidemark.operators import (
     splits,
     vocab,
 )
-from tidemark.operators.storage import shared_folder
+from tidemark.operators.storage import shared_folder, stored
 from tidemark.plans import derived_inputs as inputs
 from tidemark.plans import examples, item2vec, lifecycle, training
 from tidemark.sources import bundle, impressions, sinks
@@ -633,7 +633,7 @@ def dense_stats(spark, sf):
 @query
 def token_frequency(spark, sf):
     s = vocab.sentences(inputs.histories(spark, sf), "seq_a_38", max_len=200)
-    return vocab.token_frequency(s, min_count=3000)
+    return vocab.token_frequency(s, min_count=5)
 
 
 @query
@@ -678,10 +678,16 @@ def contrastive_loss_positives(spark, sf):
     return rounded(df, "loss")
 
 
+def _training_end(imp) -> int:
+    """Four fifths of the log's time span."""
+    lo, hi = imp.agg(F.min("timestamp"), F.max("timestamp")).first()
+    return lo + (hi - lo) * 4 // 5
+
+
 @query
 def coverage(spark, sf):
     imp = inputs.impressions(spark, sf)
-    known = item_history.item_history(imp, (None, 1704080000))
+    known = item_history.item_history(imp, (None, _training_end(imp)))
     df = item_history.attach_item_history(imp, known, matched="hit")
     return rounded(item_history.coverage(df, "hit"), "coverage")
 
@@ -700,7 +706,7 @@ def split_sizes(spark, sf):
 @query
 def attach_item_history(spark, sf):
     imp = inputs.impressions(spark, sf)
-    known = item_history.item_history(imp, (None, 1704080000))
+    known = item_history.item_history(imp, (None, _training_end(imp)))
     df = item_history.attach_item_history(imp.select("event_id", "item_id"), known)
     return rounded(df, *fixed.ITEM_HISTORY_NAMES)
 
@@ -711,7 +717,7 @@ def attach_item_history_large(spark, sf):
     table = item_history.item_history(log)
     names = fixed.ITEM_HISTORY_NAMES
     df = item_history.attach_item_history(log.select("order_id", "line_no", "item_id"), table)
-    return rounded(df.select("order_id", "line_no", "item_id", names[0], names[11]), names[0], names[11])
+    return rounded(df, *names)
 
 
 def _vocab(spark, sf) -> DataFrame:
@@ -727,7 +733,7 @@ def top_k_vocab(spark, sf):
 @query
 def compact_ids(spark, sf):
     df = vocab.compact_ids(
-        inputs.histories(spark, sf), inputs.HISTORY_KEY, "seq_a_38", _vocab(spark, sf), TOKENS
+        inputs.histories(spark, sf), inputs.HISTORY_KEY, "seq_a_38", _vocab(spark, sf)
     )
     return df.select("event_id", text("seq_a_38").alias("items"))
 
@@ -751,7 +757,7 @@ def embed_mean_pool(spark, sf):
         "event_id", arrays.pad_id_list(F.col("user_int_feats_3"), 4, 60).alias("ids")
     )
     pooled = pooling.embed_mean_pool(
-        df, ["event_id"], "ids", _known_vectors(spark, sf), DIM, TOKENS
+        df, ["event_id"], "ids", _known_vectors(spark, sf), DIM
     )
     return by_position(pooled, ["event_id"], "pooled")
 
@@ -770,7 +776,7 @@ def _pool_input(spark, sf) -> DataFrame:
 def sequence_mean_pool(spark, sf):
     pooled = pooling.sequence_mean_pool(
         _pool_input(spark, sf), inputs.HISTORY_KEY, "ids", "length",
-        _known_vectors(spark, sf), DIM, TOKENS,
+        _known_vectors(spark, sf), DIM,
     )
     return by_position(pooled, ["event_id"], "pooled")
 
@@ -779,7 +785,7 @@ def sequence_mean_pool(spark, sf):
 def time_decay_pool(spark, sf):
     pooled = pooling.time_decay_pool(
         _pool_input(spark, sf), inputs.HISTORY_KEY, "ids", "buckets", "length",
-        _known_vectors(spark, sf), DIM, 0.1, TOKENS,
+        _known_vectors(spark, sf), DIM, 0.1,
     )
     return by_position(pooled, ["event_id"], "pooled")
 
@@ -879,17 +885,25 @@ def histories(spark, sf):
 def fit_item2vec(spark, sf):
     df = item2vec.fit_item2vec(
         inputs.histories(spark, sf, with_position=True), "seq_a_38",
-        dim=8, top_k=TOKENS, epochs=1, max_len=20, partitions=4,
+        dim=8, top_k=TOKENS,
     )
     return df.select("raw_id", "compact_id", F.size("vector").cast("bigint").alias("dim"))
 
 
+@query
+def item2vec_pairs(spark, sf):
+    rows = vocab.sentences(inputs.histories(spark, sf), "seq_a_38")
+    rows = stored(rows.withColumn("feature", F.lit("seq_a_38")))
+    pairs = item2vec.window_pairs(rows, 5)
+    return rounded(item2vec.shifted_pmi(pairs, 2.0), "pmi")
+
+
 @query
 def fit_item2vec_many(spark, sf):
     df = item2vec.fit_item2vec_many(
         inputs.histories(spark, sf, with_position=True),
         [("seq_a", 38, "seq_a_38"), ("item", 11, "item_id")],
-        dim=4, top_k=TOKENS, epochs=1, max_len=10, partitions=4,
+        dim=4, top_k=TOKENS,
     )
     return df.select("feature", "raw_id", "compact_id", F.size("vector").cast("bigint").alias("dim"))
 
@@ -946,5 +960,5 @@ def build_examples(spark, sf):
         "label",
         text("user_int_feats").alias("user_int"),
         text("item_int_feats").alias("item_int"),
-        *[num(F.get("item_dense_feats", F.lit(i))).alias(f"h{i}") for i in (0, 1, 3, 9, 11)],
+        *[num(F.get("item_dense_feats", F.lit(i))).alias(f"h{i}") for i in range(12)],
     )

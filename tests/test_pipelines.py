@@ -1,5 +1,6 @@
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,7 +97,7 @@ def test_item2vec_is_repeatable(spark):
     df = inputs.histories(spark, SF, with_position=True)
 
     def fit():
-        out = fit_item2vec(df, "seq_a_38", dim=4, top_k=20, epochs=1, max_len=8)
+        out = fit_item2vec(df, "seq_a_38", dim=4, top_k=20, max_len=8)
         return {r.raw_id: (r.compact_id, r.vector) for r in out.collect()}
 
     a = fit()
@@ -108,6 +109,23 @@ def test_item2vec_is_repeatable(spark):
     assert [tuple(r) for r in rare] == [(0, 0, [0.0] * 4)]
 
 
+def test_item2vec_factors_rebuild_the_pmi(spark):
+    """Two groups of ids that only meet inside: factors are close within, and products near the pmi."""
+    rng = random.Random(1)
+    rows = [([rng.randrange(lo, lo + 5) for _ in range(8)],) for _ in range(100) for lo in (1, 11)]
+    df = spark.createDataFrame(rows, "xs array<long>")
+    out = {r.raw_id: r.vector for r in fit_item2vec(df, "xs", dim=6, window=8, iterations=15).collect()}
+    assert set(out) == {0, *range(1, 6), *range(11, 16)}
+
+    def cosine(a, b):
+        dot = lambda x, y: sum(p * q for p, q in zip(x, y))
+        return dot(out[a], out[b]) / math.sqrt(dot(out[a], out[a]) * dot(out[b], out[b]))
+
+    within = [cosine(a, b) for lo in (1, 11) for a in range(lo, lo + 5) for b in range(a + 1, lo + 5)]
+    across = [cosine(a, b) for a in range(1, 6) for b in range(11, 16)]
+    assert sum(within) / len(within) > 0.6 > 0.3 > sum(map(abs, across)) / len(across)
+
+
 @pytest.mark.parametrize("kind", ["logistic", "gbt"])
 def test_classifier_learns(spark, kind):
     df = spark.range(400).select(

@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
+from registry import spark_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+QUERIES = {name: driver.queries()[name] for name in spark_queries.QUERIES}
+SQL = {name: sql for name, sql in driver.oracle_sql().items() if name in QUERIES}
 ROWS_ONLY = {"fit_and_score": 1000, "train_and_evaluate": 1}
 SKEWED = [
     "histories", "item_history_features", "item_history_large", "attach_item_history",

@@ -62,11 +62,11 @@ def left_lookup(
     heavy = heavy_keys(df, key, share or HEAVY_FRACTION / partitions)
     # An inner join: a semi join would be pushed below the aggregations the table comes
     # from, and the table would be computed twice instead of its last shuffle being reused.
-    heavy_hits = table.join(F.broadcast(heavy), key).withColumn("_heavy_hit", F.lit(True))
+    heavy_hits = table.join(F.broadcast(heavy), key).withColumn("_found_heavy_", F.lit(True))
     heavy_rows = heavy.join(F.broadcast(heavy_hits), key, "left").select(
         key,
         F.lit(True).alias("_heavy"),
-        "_heavy_hit",
+        "_found_heavy_",
         *[F.col(n).alias(f"_heavy_{n}") for n in names],
     )
     spread = df.join(F.broadcast(heavy_rows), key, "left").withColumn(
@@ -79,12 +79,12 @@ def left_lookup(
     # the salted rows would meet in one task after all. A hash is never null, so no null
     # check of it is pushed into the plan of the table.
     plain = table.withColumn("_salt", F.xxhash64(key).bitwiseAND(F.lit(0).cast("long")))
-    joined = spread.join(plain.withColumn("_hit", F.lit(True)), [key, "_salt"], "left")
+    joined = spread.join(plain.withColumn("_found_", F.lit(True)), [key, "_salt"], "left")
     return joined.select(
         *df.columns,
         *[
-            F.when(F.col("_hit"), F.col(n))
-            .when(F.col("_heavy_hit"), F.col(f"_heavy_{n}"))
+            F.when(F.col("_found_"), F.col(n))
+            .when(F.col("_found_heavy_"), F.col(f"_heavy_{n}"))
             .otherwise(fills[n])
             .alias(n)
             for n in names

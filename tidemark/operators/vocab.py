@@ -52,9 +52,9 @@ def token_frequency(df: DataFrame, min_count: int = 5) -> DataFrame:
 def top_k_vocab(freq: DataFrame, k: int) -> DataFrame:
     """The ``k`` most frequent tokens (ties: smaller id) with ids 1..K in id order.
 
-    The cut is found on the histogram of counts, and within the tied count by rank, so
-    no task sorts more than the ``k`` kept rows. The counts are stored first: the cut
-    reads them several times, the sentences are read once.
+    The cut is found on the histogram of counts, and within the tied count by rank; ids come
+    from range partitions. The counts are stored first: the cut reads them several times,
+    the sentences are read once.
     """
     freq = stored(freq)
     by_count = Window.orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, -1)
@@ -70,11 +70,21 @@ def top_k_vocab(freq: DataFrame, k: int) -> DataFrame:
     bound = last.select(F.struct(-F.col("cut_cnt"), "value")).scalar()
     # In the order "count down, id up"; there is no bound when tokens are fewer than k.
     kept = freq.where(F.coalesce(F.struct(-F.col("cnt"), "token") <= bound, F.lit(True)))
-    return kept.select(
-        F.col("token").alias("raw_id"),
-        F.row_number().over(Window.orderBy("token")).cast("long").alias("compact_id"),
-        "cnt",
-    )
+    return dense_ids(kept.withColumnRenamed("token", "raw_id")).select("raw_id", "compact_id", "cnt")
+
+
+def dense_ids(df: DataFrame, column: str = "raw_id", name: str = "compact_id") -> DataFrame:
+    """``df`` with the rank (from 1) of a unique column, without a sort in one task.
+
+    The rows are dealt out by ranges of the column and stored; a row's rank is its rank in its
+    partition plus the rows of the partitions before, of which there is one row each.
+    """
+    dealt = stored(df.repartitionByRange(column).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(column)) + F.col("_start")
+    return dealt.join(F.broadcast(starts), "_part").withColumn(name, rank.cast("long")).drop("_part", "_start")
 
 
 def compact_ids(
