@@ -35,6 +35,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that may be sent to every executor, some 20 MB; more of them are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def sent_if_few(ids: DataFrame) -> DataFrame:
+    """`ids` (one id column, stored), marked for broadcast if counting shows that they are few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def slot(key: Column, modulus: int) -> Column:
     """crc32 of an id written as text, modulo `modulus`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, Batches, WordHashes, as_binary, lists, mixed, stored, table
+from tidemark.llm.common import U64, Batches, WordHashes, as_binary, lists, mixed, sent_if_few, stored, table
 from tidemark.llm.components import connected_components
 
 
@@ -127,7 +127,8 @@ def similar_links(documents: DataFrame, classes: DataFrame, how: Similarity) ->
 
     # The full sets of all that may be compared are made again from the texts, in one pass.
     needed = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(long.select(F.col("rep").alias("doc_id")))
-    texts = documents.select("doc_id", "text").join(needed.distinct(), "doc_id", "left_semi")
+    needed = sent_if_few(stored(needed.distinct()))
+    texts = documents.select("doc_id", "text").join(needed, "doc_id", "left_semi")
     sets = stored(texts.mapInArrow(_full_sets(how.words), "rep long, s array<long>").dropDuplicates(["rep"]))
 
     found = _confirmed(likely, sets, how)
@@ -316,6 +317,11 @@ def keep_one_of_each_group(documents: DataFrame, how: Similarity = Similarity())
 
     Of rows that repeat an id of a group only one stays; rows without an id all stay.
     """
-    dropped = near_duplicates(documents, how).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    left = documents.join(dropped, F.col("doc_id") == F.col("__gone"), "left_anti")
-    return left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    judged = stored(near_duplicates(documents, how).where("doc_id is not null").select("doc_id", "kept"))
+    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
+    twice = judged.where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n")).where("n > 1").select("__id")
+    aside = stored(gone.withColumn("__gone", F.lit(True)).unionByName(twice.withColumn("__gone", F.lit(False))))
+    same = F.col("doc_id") == F.col("__id")
+    left = documents.join(sent_if_few(aside.select("__id")), same, "left_anti")
+    repeated = documents.join(sent_if_few(aside.where("not __gone").select("__id")), same, "left_semi")
+    return left.unionByName(repeated.dropDuplicates(["doc_id"]))
