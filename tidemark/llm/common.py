@@ -44,6 +44,30 @@ def sent_if_few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def sampled(df: DataFrame, order: Column, most: int) -> DataFrame:
+    """At most `most` rows of `df`: those whose 64-bit hash `order` lies in the lowest slices that fit.
+
+    The range of the hash is cut into 4096 slices, and the lowest one again while it alone is too
+    much; only counts of slices come to the driver. Rows of one hash stay or go together.
+    """
+    low = F.lit(True)
+    for bits in (52, 40, 28, 16, 4):
+        part = F.shiftrightunsigned(order, bits)
+        counts = dict(map(tuple, df.where(low).groupBy(part.alias("__slice")).count().collect()))
+        total, cut = 0, None
+        for at in sorted(counts):
+            total += counts[at]
+            if total > most:
+                cut = at
+                break
+        if cut is None:
+            return df.where(low)
+        if cut > min(counts):
+            return df.where(low & (part < cut))
+        low = low & (part == cut)
+    return df.where(F.lit(False))
+
+
 def slot(key: Column, modulus: int) -> Column:
     """crc32 of an id written as text, modulo `modulus`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -75,6 +75,22 @@ def token_counts(documents: DataFrame) -> DataFrame:
     return each.groupBy("key").agg(F.sum("c").alias("c"))
 
 
+def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """At most `most` of the rows (key, c): those of the highest magnitudes of c that fit together.
+
+    Magnitudes are 64 to a doubling, so a few thousand counts of rows tell where to cut.
+    """
+    magnitude = F.floor(F.log2("c") * 64)
+    sizes = dict(map(tuple, counts.groupBy(magnitude.alias("m")).count().collect()))
+    total, cut = 0, 0
+    for at in sorted(sizes, reverse=True):
+        total += sizes[at]
+        if total > most:
+            cut = at + 1
+            break
+    return counts.where(magnitude >= cut)
+
+
 class _Symbols:
     """The symbol of a key: its rank among the frequent words, or the place of its class; the end comes last."""
 
@@ -175,7 +191,7 @@ def score_texts(documents: DataFrame, training: Column | None = None, how: LogBi
     train = texts.where(training)
 
     counts = stored(token_counts(train))
-    top = counts.orderBy(F.desc("c"), "key").limit(how.known).toPandas()
+    top = _most_frequent(counts, how.known).toPandas().sort_values(["c", "key"], ascending=[False, True])
     top_keys, top_c = top["key"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
     frequent = top_keys[top_keys != END][: how.words]
     row = counts.agg(F.sum("c"), F.count("*")).first()

@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slot
+from tidemark.llm.common import sampled, slot, stored
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -205,7 +205,7 @@ def fit_pii(
     """Boosted trees on a bounded sample of candidates, thresholds on its held-out part.
 
     A candidate is labelled by the base rule of its kind, applied to the candidate alone. The
-    sample has the `max_candidates` candidates with the smallest hashes of text and place. Of
+    sample has at most `max_candidates` candidates, those with the smallest hashes of text and place. Of
     it, one document in five (crc32 of the id) sets the thresholds: per kind the lowest margin, of
     a hundred steps, from which on at least `precision` of the candidates are labelled 1. A kind without ten
     positive held-out candidates, or without such a margin, adds no spans.
@@ -217,16 +217,15 @@ def fit_pii(
     for k, kind in enumerate(KINDS):
         whole = F.col("c.match").rlike(f"^(?:{BASE[kind]})$")
         label = F.when(F.col("c.kind") == k, whole & passes(kind, F.col("c.match"))).otherwise(label)
-    sample = (
+    every = stored(
         rows.select(
             *described(F.col("text"), F.col("c")),
             label.cast("double").alias("label"),
             (slot(F.col("doc_id"), 5) == 1).alias("held_out"),
             F.xxhash64("doc_id", "c.start", "c.kind", "c.match").alias("order"),
         )
-        .orderBy("order", *FEATURES)
-        .limit(max_candidates)
     )
+    sample = sampled(every, F.col("order"), max_candidates)
     sample = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample)
     sample = sample.select("features", "kind", "label", "held_out").cache()
     try:

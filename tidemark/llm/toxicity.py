@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import CACHE_WORDS, slot
+from tidemark.llm.common import CACHE_WORDS, sampled, slot
 
 #: Groups of identity terms; the terms of a group are swapped for one another.
 IDENTITY_TERMS = (
@@ -85,20 +85,19 @@ class _WordWeights(dict):
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """(doc_id, text, toxic) of at most `max_rows` labelled rows, those with the smallest id hashes.
+    """(doc_id, text, toxic) of at most `max_rows` labelled ids, those with the smallest hashes.
 
     Only ids whose crc32 modulo 5 is not 0 are taken. Rows without a label or id are left out;
     an id labelled twice counts as toxic if one label says so. A document id that occurs
     more than once gives one row per text.
     """
-    chosen = (
+    known = (
         labels.where("doc_id is not null and toxic is not null")
         .where(slot(F.col("doc_id"), 5) != 0)
         .groupBy(F.col("doc_id").alias("__id"))
         .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-        .orderBy(F.xxhash64("__id"), "__id")
-        .limit(max_rows)
     )
+    chosen = sampled(known, F.xxhash64("__id"), max_rows)
     # Bounded by max_rows narrow rows, so every executor may hold them.
     return documents.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic"
