@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,54 +9,32 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.maths import bce_with_logit, sigmoid
 from tidemark.operators.filters import drop_nan_scores
-
-# The unit interval in two steps: 2**18 cells, each of 2**17.
-_COARSE, _FINE = 1 << 18, 1 << 17
-
-
-def _fold(df: DataFrame, parent: Sequence[str], order: str) -> DataFrame:
-    """Add up pairs won inside each parent cell and merge its children."""
-    lower = (
-        Window.partitionBy(*parent).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    lower_neg = F.coalesce(F.sum("neg").over(lower), F.lit(0))
-    return (
-        df.withColumn("won", F.col("won") + F.col("pos") * lower_neg)
-        .groupBy(*parent)
-        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("won").alias("won"))
-    )
+from tidemark.operators.storage import stored
 
 
 def auc(scored: DataFrame, score: str, label: str) -> DataFrame:
     """Exact ROC AUC, ties counted half; 0.0 when empty or of a single class.
 
-    Scores are probabilities. Equal scores are merged first; then pairs are counted
-    within fine cells of the score range, between the fine cells of a coarse cell, and
-    between coarse cells. Each window sees one cell, and the last one sees at most 2**18
-    rows, so no step sorts all scores in one task. Scores outside 0..1 are still ranked
-    correctly, within the end cells.
+    Equal scores are merged, and the distinct ones dealt out by ranges drawn from the data,
+    so no task gets more than its share, whatever the scale or crowding of the scores. The negatives
+    below a score are those below it in its partition plus the totals of the partitions before,
+    of which there is one row each.
     """
-    unit = F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)) * F.lit(float(_COARSE))
-    coarse = F.floor(unit)
     positive = F.col(label).cast("long")
-    leaves = (
-        scored.groupBy(F.col(score).alias("score"))
-        .agg(F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"))
-        .select(
-            "score",
-            "pos",
-            "neg",
-            (F.col("pos") * F.col("neg") * F.lit(0.5)).alias("won"),
-            coarse.alias("coarse"),
-            F.floor((unit - coarse) * F.lit(float(_FINE))).alias("fine"),
-        )
+    merged = scored.groupBy(F.col(score).alias("score")).agg(
+        F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg")
     )
-    fine = _fold(leaves, ["coarse", "fine"], "score")
-    total = _fold(_fold(fine, ["coarse"], "fine"), [], "coarse")
-    pairs = F.col("pos").cast("double") * F.col("neg")
-    return total.select(
-        F.when(pairs > 0, F.col("won") / pairs).otherwise(F.lit(0.0)).alias("auc")
+    dealt = stored(merged.repartitionByRange("score").withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("part").agg(F.sum("neg").alias("n")).select(
+        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
     )
+    lower = Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("neg").over(lower), F.lit(0)) + F.col("start")
+    placed = dealt.join(F.broadcast(starts), "part").select("pos", "neg", below.alias("below"))
+    pairs = F.sum("pos").cast("double") * F.sum("neg")
+    won = F.sum(F.col("pos").cast("double") * (F.col("below") + F.col("neg") * 0.5))
+    return placed.agg(F.when(pairs > 0, won / pairs).otherwise(F.lit(0.0)).alias("auc"))
 
 
 def logloss(scored: DataFrame, logit: str, label: str) -> DataFrame:
