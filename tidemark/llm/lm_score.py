@@ -191,8 +191,10 @@ def score_texts(documents: DataFrame, training: Column | None = None, how: LogBi
     train = texts.where(training)
 
     counts = stored(token_counts(train))
-    top = _most_frequent(counts, how.known).toPandas().sort_values(["c", "key"], ascending=[False, True])
-    top_keys, top_c = top["key"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
+    top = _most_frequent(counts, how.known).select("key", "c").toArrow()
+    top_keys, top_c = top["key"].to_numpy(), top["c"].to_numpy()
+    rank = np.lexsort([top_keys, -top_c])
+    top_keys, top_c = top_keys[rank], top_c[rank]
     frequent = top_keys[top_keys != END][: how.words]
     row = counts.agg(F.sum("c"), F.count("*")).first()
     n_all, n_kinds = int(row[0] or 0), int(row[1])
@@ -209,8 +211,8 @@ def score_texts(documents: DataFrame, training: Column | None = None, how: LogBi
     share_log = np.log10(shared[0] + 0.5 * (shared[1] + 1))
     base_log = float(np.log10(n_all + 0.5 * (n_kinds + 1)))
 
-    pairs = pair_counts(train, frequent, how).toPandas()
-    follows = fit_log_bilinear(pairs["pair"].to_numpy(np.int64), pairs["c"].to_numpy(np.float64), how)
+    pairs = pair_counts(train, frequent, how).toArrow()
+    follows = fit_log_bilinear(pairs["pair"].to_numpy(), pairs["c"].to_numpy(), how)
 
     order = np.argsort(top_keys)
     shipped = spark.sparkContext.broadcast((top_keys[order], np.log10(top_c[order] + 0.5), frequent, share_log, follows))

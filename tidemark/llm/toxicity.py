@@ -142,9 +142,9 @@ def fit_toxicity(
     best = [r[0] for r in ranked.orderBy(F.desc("chi"), "feature").limit(max_features).select("feature").collect()]
     index = {f: k for k, f in enumerate(dict.fromkeys([*best, *sorted(terms)]))}
 
-    rows = sample.mapInArrow(_indexed_rows(index), "toxic int, at array<int>, n array<int>").toPandas()
-    rows = rows.iloc[np.lexsort([rows["at"].map(lambda a: hash(tuple(a))), rows["toxic"]])] if len(rows) else rows
-    x = _Sparse(rows["at"].tolist(), rows["n"].tolist(), len(index))
+    rows = sample.mapInArrow(_indexed_rows(index), "toxic int, at array<int>, n array<int>").toArrow()
+    at, n = (rows[c].combine_chunks() for c in ("at", "n"))
+    x = _Sparse(at.value_lengths().to_numpy(), at.flatten().to_numpy(), n.flatten().to_numpy(), len(index))
     y = (rows["toxic"].to_numpy() == 1).astype(float)
     swaps = _swaps(x, index, identity_terms)
     weights, bias = _fit(x, y, swaps, swap_penalty, l1, rounds)
@@ -190,11 +190,9 @@ def _indexed_rows(index: dict[str, int]):
 class _Sparse:
     """Rows of (column, value) pairs, with the two products that the fit needs."""
 
-    def __init__(self, at, values, width: int):
-        sizes = np.array([len(a) for a in at], np.int64)
+    def __init__(self, sizes: np.ndarray, columns: np.ndarray, values: np.ndarray, width: int):
         self.row = np.repeat(np.arange(len(sizes)), sizes)
-        self.col = np.concatenate([np.asarray(a, np.int64) for a in at]) if len(at) else np.zeros(0, np.int64)
-        self.val = np.concatenate([np.asarray(v, float) for v in values]) if len(at) else np.zeros(0)
+        self.col, self.val = columns.astype(np.int64), values.astype(float)
         self.shape = (len(sizes), width)
 
     def times(self, w: np.ndarray) -> np.ndarray:
@@ -207,7 +205,7 @@ class _Sparse:
 def _swaps(x: _Sparse, index: dict[str, int], groups) -> tuple[_Sparse, np.ndarray]:
     """Differences of feature rows when a term is swapped or left out, and how often each occurs."""
     uses = np.bincount(x.col, minlength=x.shape[1])
-    at, values, weight = [], [], []
+    sizes, at, values, weight = [], [], [], []
 
     def pair(old: str, new: str | None, times: float) -> None:
         change: dict[int, float] = {}
@@ -215,8 +213,9 @@ def _swaps(x: _Sparse, index: dict[str, int], groups) -> tuple[_Sparse, np.ndarr
             for f in word_features(word) if word else ():
                 change[index[f]] = change.get(index[f], 0.0) + sign
         change = {k: v for k, v in change.items() if v}
-        at.append(list(change))
-        values.append(list(change.values()))
+        sizes.append(len(change))
+        at.extend(change)
+        values.extend(change.values())
         weight.append(times)
 
     for group in groups:
@@ -226,7 +225,7 @@ def _swaps(x: _Sparse, index: dict[str, int], groups) -> tuple[_Sparse, np.ndarr
             for new in group:
                 if new != old:
                     pair(old, new, times / (len(group) - 1))
-    return _Sparse(at, values, x.shape[1]), np.array(weight)
+    return _Sparse(np.array(sizes), np.array(at), np.array(values), x.shape[1]), np.array(weight)
 
 
 def _fit(x: _Sparse, y: np.ndarray, swaps, swap_penalty: float, l1: float, rounds: int) -> tuple[np.ndarray, float]:
