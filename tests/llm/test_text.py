@@ -201,6 +201,9 @@ def test_main_text_of_a_page():
         ("<p>unclosed <a href='x>y'>l</a", "unclosed l"), ("<!-- never closed <p>x", ""),
     ]:
         assert html_text.main_text(page) == text, page
+    deep = "<div>" * 5000 + "in" + "</div>" * 5000 + "<p>out"
+    assert html_text.main_text(deep) == "in\n\nout" and len(html_text.digests(html_text.parse(deep))) == 5002
+    assert html_text.main_text("<a href=\"" + "x" * 50_000) and html_text.main_text("<" * 50_000) == "<" * 50_000
 
 
 def test_site_parts_that_recur_are_dropped(spark):

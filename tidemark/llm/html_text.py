@@ -32,6 +32,8 @@ CLOSES = {
 } | {t: {"p"} for t in "h1 h2 h3 h4 h5 h6 div ul ol dl table blockquote pre section article header footer nav aside form hr figure main".split()}
 #: An implied end stops at these.
 FENCES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
+#: Depth of the deepest element that may hold others.
+DEPTH = 200
 #: Words of a class, id or role that mark menus, adverts, notices and the like.
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|foot|masthead"
@@ -40,7 +42,7 @@ MARKS = re.compile(
     re.I,
 )
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)", re.S
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
@@ -56,7 +58,10 @@ class Node:
 
 
 def parse(page: str) -> Node:
-    """The element tree of a page; ends that are left out are implied, stray ends are ignored."""
+    """The element tree of a page; ends that are left out are implied, stray ends are ignored.
+
+    What lies deeper than `DEPTH` elements becomes a part of the element at that depth.
+    """
     root = Node("#root")
     open_ = [root]
     at, n = 0, len(page)
@@ -88,7 +93,8 @@ def parse(page: str) -> Node:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        open_.append(node)
+        if len(open_) < DEPTH:
+            open_.append(node)
     return root
 
 
@@ -107,25 +113,29 @@ def _close_implied(open_: list[Node], tag: str) -> None:
         del open_[low:]
 
 
-def digests(node: Node) -> Iterator[tuple[int, int]]:
-    """(digest, characters) of every element below and with `node`; sets each one's digest.
+def digests(root: Node) -> list[tuple[int, int]]:
+    """(digest, characters) of every element below and with `root`; sets each one's digest.
 
     A digest covers the tag, its class, id and role, and, with white space normalised, all that is inside.
     """
-    parts, size = [node.tag, node.marks], 0
-    for child in node.children:
-        if isinstance(child, str):
-            if text := " ".join(child.split()):
-                parts.append("t" + text)
-                size += len(text)
-        else:
-            inner = 0
-            for d, inner in digests(child):
-                yield d, inner
-            parts.append(f"e{child.digest}")
-            size += inner
-    node.digest = xxhash.xxh3_64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
-    yield node.digest, size
+    found: list[tuple[int, int]] = []
+
+    def visit(node: Node) -> int:
+        parts, size = [node.tag, node.marks], 0
+        for child in node.children:
+            if isinstance(child, str):
+                if text := " ".join(child.split()):
+                    parts.append("t" + text)
+                    size += len(text)
+            else:
+                size += visit(child)
+                parts.append(f"e{child.digest}")
+        node.digest = xxhash.xxh3_64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
+        found.append((node.digest, size))
+        return size
+
+    visit(root)
+    return found
 
 
 def is_dropped(node: Node, in_article: bool) -> bool:
@@ -186,8 +196,7 @@ def main_text(page: str, templates: frozenset[int] | set[int] = frozenset()) ->
     """The article's blocks, two line feeds between them; `templates` are digests of elements to leave out."""
     root = parse(page)
     if templates:
-        for _ in digests(root):
-            pass
+        digests(root)
     found = []
     for part in _roots(root):
         if not (templates and part.digest in templates):
