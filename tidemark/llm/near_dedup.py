@@ -120,9 +120,10 @@ def similar_links(documents: DataFrame, classes: DataFrame, how: Similarity) ->
     usual = F.size("keys") * 4 <= F.least(F.col("n"), F.lit(how.sketch)) - 1
     long = shared.where(F.col("rows") > how.list_rows)
     dense = (
-        long.groupBy("rep").agg(F.collect_list("key").alias("keys"), F.first("n").alias("n"))
+        long.groupBy("rep").agg(F.collect_list(F.hash("key")).alias("keys"), F.first("n").alias("n"))
         .where(~((F.col("n") >= how.sketch) & usual)).select("rep", "keys")
     )
+    # `keys` names a member's lists by 32-bit hashes; a clash only makes a pair meet twice.
     long = stored(long.join(dense, "rep").select("key", "rep", "n", "keys"))
 
     # The full sets of all that may be compared are made again from the texts, in one pass.
@@ -226,7 +227,7 @@ def _long_lists(of_members: DataFrame, sets: DataFrame, entries: DataFrame, how:
         tried = known.where((slot >= low) & (slot < high)).select(
             "key", *(F.col(c).alias(f"{c}_t") for c in ("rep", "n", "keys", "main", "mains"))
         )
-        once = F.array_min(F.array_intersect("keys", "keys_t")) == rest["key"]
+        once = F.array_min(F.array_intersect("keys", "keys_t")) == F.hash(rest["key"])
         apart = (F.col("rep") != F.col("rep_t")) & ~F.arrays_overlap("mains", "mains_t")
         met = stored(
             rest.join(tried, (rest["key"] == tried["key"]) & apart & _in_reach(F.col("n"), F.col("n_t"), how.percent) & once)
