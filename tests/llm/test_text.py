@@ -60,6 +60,16 @@ def test_base_spans_equal_brute_force(docs):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w[0] == k for w in want) for k in BASE]
 
 
+def test_base_spans_in_groups_of_two_digits(docs):
+    texts = ["call +33 6 12 34 56 78 now", "+33-6-12-34-56-78", "41 11 11 11 11 11 11 11", "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "+33 6 12 34 and 12 34", "none"]
+    for r in pii.find_pii(docs(list(enumerate(texts))), pii.PiiModel()).collect():
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in brute_pii(texts[r.doc_id]))
+        assert bool(joined) == (r.doc_id < 4)
+        assert r.spans == joined and r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+    clean = pii.redact(docs(list(enumerate(texts))), pii.PiiModel()).where("doc_id = 0").first()
+    assert clean.text == "call [PHONE] now"
+
+
 def card(rng):
     head = "".join(rng.choices("123456789", k=15))
     return next(head + c for c in "0123456789" if luhn(head + c))

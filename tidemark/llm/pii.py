@@ -210,8 +210,7 @@ def fit_pii(
     a hundred steps, from which on at least `precision` of the candidates are labelled 1. A kind without ten
     positive held-out candidates, or without such a margin, adds no spans.
     """
-    text = F.coalesce("text", F.lit(""))
-    found = documents.select("doc_id", text.alias("text")).where(F.col("text").rlike("@|[0-9]{4}|[0-9]\\.[0-9]|[\\[(] ?at ?[\\])]"))
+    found = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = found.select("doc_id", "text", F.explode(candidates(F.col("text"))).alias("c"))
     label = F.lit(False)
     for k, kind in enumerate(KINDS):
@@ -272,15 +271,13 @@ def with_spans(documents: DataFrame, model: PiiModel, text: str = "text") -> Dat
     free = F.filter("__chosen", lambda c: ~F.exists("__base", lambda b: over(b, c)))
     best = F.filter("__free", lambda c: ~F.exists("__free", lambda d: over(c, d) & (rank(d) > rank(c))))
     added = F.transform(best, lambda c: F.struct(*(c[k].alias(k) for k in ("start", "kind", "end"))))
-    worth = body.rlike("@|[0-9]{3}|[0-9]\\.[0-9]|[\\[(] ?at ?[\\])]")
     return (
-        documents.withColumn("__worth", worth)
-        .withColumn("__base", F.when(F.col("__worth"), base_spans(body)).otherwise(F.array().cast(SPAN)))
-        .withColumn("__chosen", F.when(F.col("__worth"), model.selected(body)).otherwise(F.array().cast(SPAN_SCORED)))
+        documents.withColumn("__base", base_spans(body))
+        .withColumn("__chosen", model.selected(body))
         .withColumn("__base", F.expr(plain))
         .withColumn("__free", free)
         .withColumn("__spans", F.array_sort(F.concat("__base", added)))
-        .drop("__worth", "__chosen", "__free")
+        .drop("__chosen", "__free")
     )
 
 
