@@ -91,6 +91,14 @@ def test_trees_add_what_a_greedy_match_swallows(docs):
     assert all(found[i].spans == ",".join(f"{k}:{a}:{b}" for k, a, b in brute_pii(t)) for i, t in rows)
 
 
+def test_a_rare_kind_is_fitted_and_calibrated_on_all_its_candidates(docs):
+    rng = random.Random(2)
+    rows = [(i, "".join(f"u{i}x{j}@mail{'.example.com' if j % 2 else ''} " for j in range(60))) for i in range(200)]
+    rows += [(1000 + i, f"ip {rng.randrange(256)}.2.3.{rng.randrange(256)}, no {rng.randrange(300, 999)}.2.3.4;") for i in range(100)]
+    model = pii.fit_pii(docs(rows), max_candidates=600)
+    assert model.thresholds["ip"] is not None and model.thresholds["email"] is not None
+
+
 def test_redaction(docs):
     rows = [(1, "x a@b.co y 10.0.0.1"), (2, None), (3, "nothing here"), (4, "\U0001f600a@b.co")]
     table = docs(rows)

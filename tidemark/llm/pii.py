@@ -12,7 +12,6 @@ from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -202,13 +201,14 @@ def _parsed(debug: str) -> list[tuple[float, Tree]]:
 def fit_pii(
     documents: DataFrame, *, max_candidates: int = 20_000, trees: int = 10, depth: int = 4, precision: float = 0.99
 ) -> PiiModel:
-    """Boosted trees on a bounded sample of candidates, thresholds on its held-out part.
-
-    A candidate is labelled by the base rule of its kind, applied to the candidate alone. The
-    sample has at most `max_candidates` candidates, those with the smallest hashes of text and place. Of
-    it, one document in five (crc32 of the id) sets the thresholds: per kind the lowest margin, of
-    a hundred steps, from which on at least `precision` of the candidates are labelled 1. A kind without ten
-    positive held-out candidates, or without such a margin, adds no spans.
+    """Boosted trees on a bounded sample of candidates, thresholds on all that are held out.
+
+    A candidate is labelled by the base rule of its kind, applied to the candidate alone. One document
+    in five (crc32 of the id) is held out. The trees learn from at most `max_candidates` of the other
+    candidates, shared out evenly among the kinds: those with the smallest hashes of text and place. All held-out
+    candidates set the thresholds: per kind the lowest margin, in hundredths, from which on
+    at least `precision` of the candidates are labelled 1. A kind without ten positive held-out
+    candidates in the whole corpus, or without such a margin, adds no spans.
     """
     found = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = found.select("doc_id", "text", F.explode(candidates(F.col("text"))).alias("c"))
@@ -224,22 +224,38 @@ def fit_pii(
             F.xxhash64("doc_id", "c.start", "c.kind", "c.match").alias("order"),
         )
     )
-    sample = sampled(every, F.col("order"), max_candidates)
-    sample = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample)
-    sample = sample.select("features", "kind", "label", "held_out").cache()
+    train = sampled_by_kind(every.where(~F.col("held_out")), max_candidates)
+    train = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(train).select("features", "label").cache()
     try:
-        train = sample.where(~F.col("held_out"))
         if train.select("label").distinct().count() < 2:
             return PiiModel()
         fitted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, maxBins=64).fit(train)
-        model = PiiModel(_parsed(fitted.toDebugString))
-        at = vector_to_array("features")
-        margins = sample.where("held_out").select(
-            "kind", "label", F.round(model.margin([at[k] for k in range(len(FEATURES))]), 2).alias("margin")
-        )
-        steps = margins.groupBy("kind", "margin").agg(F.count("*").alias("n"), F.sum("label").alias("hits")).collect()
     finally:
-        sample.unpersist()
+        train.unpersist()
+    model = PiiModel(_parsed(fitted.toDebugString))
+    return PiiModel(model.trees, calibrated(every.where("held_out"), model, precision))
+
+
+def sampled_by_kind(every: DataFrame, most: int) -> DataFrame:
+    """At most `most` rows of `every`: all of a kind that has no more than its share, else its smallest hashes.
+
+    What rare kinds leave of their shares goes to the others.
+    """
+    sizes = {int(r["kind"]): r["count"] for r in every.groupBy("kind").count().collect()}
+    part, left = every.where(F.lit(False)), most
+    for at, kind in enumerate(sorted(sizes, key=lambda k: (sizes[k], k))):
+        share = left // (len(sizes) - at)
+        rows = every.where(F.col("kind") == kind)
+        part = part.unionByName(rows if sizes[kind] <= share else sampled(rows, F.col("order"), share))
+        left -= min(sizes[kind], share)
+    return part
+
+
+def calibrated(held_out: DataFrame, model: PiiModel, precision: float) -> dict[str, float | None]:
+    """The threshold of each kind, from counts of all rows of `held_out` by kind, margin in hundredths and label."""
+    margin = F.round(model.margin([F.col(name) for name in FEATURES]), 2)
+    counts = held_out.groupBy("kind", margin.alias("margin")).agg(F.count("*").alias("n"), F.sum("label").alias("hits"))
+    steps = counts.collect()
     thresholds: dict[str, float | None] = {}
     for k, kind in enumerate(KINDS):
         n = hits = 0.0
@@ -248,7 +264,7 @@ def fit_pii(
             n, hits = n + row["n"], hits + row["hits"]
             if hits >= 10 and hits >= precision * n:
                 thresholds[kind] = row["margin"] - 0.005
-    return PiiModel(model.trees, thresholds)
+    return thresholds
 
 
 def _joined(spans: Column) -> Column:
