@@ -99,6 +99,17 @@ def test_a_rare_kind_is_fitted_and_calibrated_on_all_its_candidates(docs):
     assert model.thresholds["ip"] is not None and model.thresholds["email"] is not None
 
 
+def test_spelled_addresses_and_national_phones_are_found(docs):
+    rng = random.Random(3)
+    phone = lambda: f"{rng.randrange(200, 999)}-555-{rng.randrange(1000, 9999)}"
+    rows = [(i, f"{sentence(4, i)} mail u{i} [at] host{i % 7} [dot] org, or call {phone()} soon, part #{phone()}/x") for i in range(400)]
+    found = {r.doc_id: r for r in pii.find_pii(docs(rows), pii.fit_pii(docs(rows), precision=0.95)).collect()}
+    for i, t in rows:
+        mail, call = f"u{i} [at] host{i % 7} [dot] org", re.search(r"call (\S+)", t)
+        assert found[i].spans == f"email:{t.index(mail)}:{t.index(mail) + len(mail)},phone:{call.start(1)}:{call.end(1)}"
+        assert found[i].n_email == found[i].n_phone == 0
+
+
 def test_redaction(docs):
     rows = [(1, "x a@b.co y 10.0.0.1"), (2, None), (3, "nothing here"), (4, "\U0001f600a@b.co")]
     table = docs(rows)

@@ -41,6 +41,14 @@ GENERATORS = (
 )
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|$)){4}$"
 CUES = r"(?i)(?:mail|contact|phone|tel|call|fax|mobile|card|visa|account|payment|ip|host|address|server|kontakt|correo|courriel)"
+#: Cues of one kind each.
+OWN_CUES = {
+    "email": r"(?i)(?:mail|contact|write|address|kontakt|correo|courriel)",
+    "ip": r"(?i)(?:\bip\b|ipv4|host|server|address)",
+    "card": r"(?i)(?:card|visa|account|payment|\bpay)",
+    "phone": r"(?i)(?:phone|\btel|call|fax|mobile|contact|kontakt)",
+}
+AT, DOT = r" ?[\[(] ?at ?[\])] ?", r" ?[\[(] ?dot ?[\])] ?"
 SPAN = "array<struct<start:int,kind:int,end:int,match:string>>"
 #: Digits of context on either side of a candidate.
 CONTEXT = 24
@@ -104,6 +112,52 @@ def candidates(text: Column) -> Column:
     return F.array_distinct(F.concat(*found))
 
 
+def starts_clean(left: Column) -> Column:
+    return left.rlike(r"(?:^|[\s,;:(<\"'])$")
+
+
+def ends_clean(right: Column) -> Column:
+    return right.rlike(r"^(?:$|[\s,;:)>\"'!?]|\.(?:\s|$))")
+
+
+def own_cue(kind: Column, left: Column) -> Column:
+    """Whether a word that announces this kind stands before it."""
+    found = F.lit(False)
+    for k, name in enumerate(KINDS):
+        found = F.when(kind == k, left.rlike(OWN_CUES[name])).otherwise(found)
+    return found
+
+
+def respelled(match: Column) -> Column:
+    """A candidate as the base rules write it: [at] and [dot] as signs."""
+    return F.regexp_replace(F.regexp_replace(match, AT, "@"), DOT, ".")
+
+
+def evident(c: Column, left: Column, right: Column) -> Column:
+    """The label of a candidate: its value is valid, and the text around it speaks for it.
+
+    Spelled addresses, phones without a country and cards of 13 digits are valid if they are once put in the form
+    of the base rules. Clean ends or a cue of the kind speak for a value in base form or a
+    spelled address; the other two need the cue.
+    """
+    clean, cue = starts_clean(left) & ends_clean(right), own_cue(c["kind"], left)
+    n = F.length(digits(c["match"]))
+    national, short = ~c["match"].startswith("+"), n == 13
+    full = F.when(national, F.concat(F.lit("+1 "), c["match"])).otherwise(c["match"])
+    whole = {kind: f"^(?:{BASE[kind]})$" for kind in KINDS}
+    rules = {
+        "email": respelled(c["match"]).rlike(whole["email"]) & (clean | cue),
+        "ip": c["match"].rlike(whole["ip"]) & passes("ip", c["match"]) & (clean | cue),
+        "card": c["match"].rlike(whole["card"]) & n.between(13, 19) & F.call_function("luhn_check", digits(c["match"]))
+        & ((~short & clean) | cue),
+        "phone": full.rlike(whole["phone"]) & passes("phone", full) & ((~national & clean) | cue),
+    }
+    label = F.lit(False)
+    for k, kind in enumerate(KINDS):
+        label = F.when(c["kind"] == k, rules[kind]).otherwise(label)
+    return label
+
+
 #: Features of a candidate's format and of its context; `left` and `right` are the characters beside it.
 FEATURES: dict[str, Callable[[Column, Column, Column], Column]] = {
     "kind": lambda c, left, right: c["kind"],
@@ -114,22 +168,27 @@ FEATURES: dict[str, Callable[[Column, Column, Column], Column]] = {
     "luhn": lambda c, left, right: F.call_function("luhn_check", digits(c["match"])),
     "octets": lambda c, left, right: c["match"].rlike(OCTETS),
     "plus": lambda c, left, right: c["match"].startswith("+"),
-    "mailbox": lambda c, left, right: c["match"].rlike(r"^[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z0-9-]{2,24}$"),
+    "mailbox": lambda c, left, right: respelled(c["match"]).rlike(r"^[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z0-9-]{2,24}$"),
     "spelled": lambda c, left, right: c["match"].rlike(r"[\[(] ?at ?[\])]"),
-    "starts_clean": lambda c, left, right: left.rlike(r"(?:^|[\s,;:(<\"'])$"),
-    "ends_clean": lambda c, left, right: right.rlike(r"^(?:$|[\s,;:)>\"'!?]|\.(?:\s|$))"),
+    "starts_clean": lambda c, left, right: starts_clean(left),
+    "ends_clean": lambda c, left, right: ends_clean(right),
     "digit_before": lambda c, left, right: left.rlike(r"[0-9][ ().+-]{0,2}$"),
     "digit_after": lambda c, left, right: right.rlike(r"^[ ().-]{0,2}[0-9]"),
     "assigned": lambda c, left, right: left.rlike(r"[=#_/]\s?\"?$"),
     "cue": lambda c, left, right: left.rlike(CUES),
+    "own_cue": lambda c, left, right: own_cue(c["kind"], left),
 }
 
 
+def beside(text: Column, c: Column) -> tuple[Column, Column]:
+    """The context of candidate `c` to its left and right."""
+    first = F.greatest(c["start"] - CONTEXT, F.lit(0))
+    return F.substring(text, first + 1, c["start"] - first), F.substring(text, c["end"] + 1, F.lit(CONTEXT))
+
+
 def described(text: Column, c: Column) -> list[Column]:
     """The features of candidate `c`, each a number."""
-    first = F.greatest(c["start"] - CONTEXT, F.lit(0))
-    left = F.substring(text, first + 1, c["start"] - first)
-    right = F.substring(text, c["end"] + 1, F.lit(CONTEXT))
+    left, right = beside(text, c)
     return [f(c, left, right).cast("double").alias(name) for name, f in FEATURES.items()]
 
 
@@ -203,7 +262,7 @@ def fit_pii(
 ) -> PiiModel:
     """Boosted trees on a bounded sample of candidates, thresholds on all that are held out.
 
-    A candidate is labelled by the base rule of its kind, applied to the candidate alone. One document
+    A candidate is labelled by `evident`: a valid value once normalised, and its context. One document
     in five (crc32 of the id) is held out. The trees learn from at most `max_candidates` of the other
     candidates, shared out evenly among the kinds: those with the smallest hashes of text and place. All held-out
     candidates set the thresholds: per kind the lowest margin, in hundredths, from which on
@@ -212,10 +271,7 @@ def fit_pii(
     """
     found = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = found.select("doc_id", "text", F.explode(candidates(F.col("text"))).alias("c"))
-    label = F.lit(False)
-    for k, kind in enumerate(KINDS):
-        whole = F.col("c.match").rlike(f"^(?:{BASE[kind]})$")
-        label = F.when(F.col("c.kind") == k, whole & passes(kind, F.col("c.match"))).otherwise(label)
+    label = evident(F.col("c"), *beside(F.col("text"), F.col("c")))
     every = stored(
         rows.select(
             *described(F.col("text"), F.col("c")),
