@@ -30,14 +30,15 @@ BASE = {
 #: What a text must hold for a search to be worth while.
 HINT = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){12}", "phone": r"\+[0-9]"}
 #: High-recall generators of candidates; their spans may overlap.
+#: The last of each is what every match of it holds.
 GENERATORS = (
-    ("email", r"(?:(?<![^\s@])|\G)[^\s@]++@[^\s@]++"),
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]++(?:(?:\.| ?[\[(] ?dot ?[\])] ?)[A-Za-z0-9-]++)++"),
-    ("ip", r"(?<![0-9])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9])"),
-    ("card", r"(?<![0-9])[0-9]{13,19}(?![0-9])"),
-    ("card", r"(?<![0-9])[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{2,7}(?![0-9])"),
-    ("phone", r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"),
-    ("phone", r"(?<![0-9+.])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
+    ("email", r"(?:(?<![^\s@])|\G)[^\s@]++@[^\s@]++", "@"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]++(?:(?:\.| ?[\[(] ?dot ?[\])] ?)[A-Za-z0-9-]++)++", r"[\[(] ?at ?[\])]"),
+    ("ip", r"(?<![0-9])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9])", HINT["ip"]),
+    ("card", r"(?<![0-9])[0-9]{13,19}(?![0-9])", r"[0-9]{13}"),
+    ("card", r"(?<![0-9])[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{2,7}(?![0-9])", r"[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{2}"),
+    ("phone", r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])", HINT["phone"]),
+    ("phone", r"(?<![0-9+.])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])", r"[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"),
 )
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|$)){4}$"
 CUES = r"(?i)(?:mail|contact|phone|tel|call|fax|mobile|card|visa|account|payment|ip|host|address|server|kontakt|correo|courriel)"
@@ -108,7 +109,7 @@ def base_spans(text: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """Overlapping spans of the generators; a span that two of them propose comes once for each kind."""
-    found = [located(text, kind, pattern, HINT[kind] if kind == "ip" else pattern) for kind, pattern in GENERATORS]
+    found = [located(text, kind, pattern, hint) for kind, pattern, hint in GENERATORS]
     return F.array_distinct(F.concat(*found))
 
 
