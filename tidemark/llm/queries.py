@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import fingerprints, html_text, lm_score, mixing, near_dedup, packing, pii, quality, substring_dedup, toxicity
+from tidemark.llm import conversations, fingerprints, html_text, lm_score, mixing, near_dedup, packing, pii, quality, substring_dedup, toxicity
 from tidemark.llm.common import documents
 
 
@@ -53,7 +53,12 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), near_dedup.Similarity(words=2))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversations.repair_conversations(rows, present=rows["present"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_source_mixing, op2_substring_dedup, op3_lm_scoring, op4_pii, op5_toxicity, op6_fingerprints, op7_html_extraction, op8_best_fit_packing, op9_quality_rules, op10_minhash_near_dedup)
+    f.__name__: f for f in (op1_source_mixing, op2_substring_dedup, op3_lm_scoring, op4_pii, op5_toxicity, op6_fingerprints, op7_html_extraction, op8_best_fit_packing, op9_quality_rules, op10_minhash_near_dedup, op11_conversation_repair)
 }
 ORACLE_SQL: dict[str, str] = {}
