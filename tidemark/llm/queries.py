@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import conversations, fingerprints, html_text, lm_score, mixing, near_dedup, packing, pii, quality, substring_dedup, toxicity, warc
+from tidemark.llm import ball_search, conversations, fingerprints, html_text, lm_score, mixing, near_dedup, packing, pii, quality, substring_dedup, toxicity, warc
 from tidemark.llm.common import documents
 
 
@@ -58,11 +58,15 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_conversations(rows, present=rows["present"])
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_search.ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_source_mixing, op2_substring_dedup, op3_lm_scoring, op4_pii, op5_toxicity, op6_fingerprints, op7_html_extraction, op8_best_fit_packing, op9_quality_rules, op10_minhash_near_dedup, op11_conversation_repair, op13_warc)
+    f.__name__: f for f in (op1_source_mixing, op2_substring_dedup, op3_lm_scoring, op4_pii, op5_toxicity, op6_fingerprints, op7_html_extraction, op8_best_fit_packing, op9_quality_rules, op10_minhash_near_dedup, op11_conversation_repair, op12_ranked_search, op13_warc)
 }
 ORACLE_SQL: dict[str, str] = {}
