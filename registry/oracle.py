@@ -460,7 +460,15 @@ def build() -> dict[str, str]:
         "list_concat([CASE WHEN u1 > 0 THEN u1 ELSE 0 END, 0::BIGINT],"
         f" list_transform({pad('u3', 5)}, {positive}))"
     )
-    sql["bundle_saved"] = with_("ids", f"SELECT event_id, {text(observed)} AS user_int FROM ids")
+    sql["bundle_saved"] = (
+        with_("ids dense padded", "").rstrip()
+        + f""",{SIZES} SELECT event_id, {text(observed)} AS user_int, {text('[item_id]')} AS item_int,
+            {text(f"{observed}[3:]")} AS second_group,
+            CAST(n61 + n62 + n130 AS BIGINT) AS user_dense, 1::BIGINT AS item_dense,
+            {text('q38')} AS items, {text('q39')} AS actions,
+            '5.5 zscore ((''seq_a'', 38),) {len(HOLIDAYS)}' AS transform
+            FROM ids JOIN (SELECT event_id, q38, q39 FROM padded) USING (event_id), widths"""
+    )
 
     sql["filter_time_range"] = with_(
         imp,
@@ -809,14 +817,14 @@ def build() -> dict[str, str]:
     sql["fit_item2vec"] = with_(
         "histories",
         f""", f AS (SELECT token, count(*) AS cnt FROM (
-                 SELECT unnest(list_filter(s38, lambda x: x > 0)[1:200]) AS token FROM histories)
-             GROUP BY token HAVING count(*) >= 5 ORDER BY count(*) DESC, token LIMIT {TOKENS})
+                 SELECT unnest(list_filter(s38, lambda x: x > 0)) AS token FROM histories)
+             GROUP BY token HAVING count(*) >= 5)
         SELECT token AS raw_id, row_number() OVER (ORDER BY token) AS compact_id, 8::BIGINT AS dim FROM f
         UNION ALL SELECT 0, 0, 8""",
     )
     sql["item2vec_pairs"] = with_(
         "histories",
-        f""", s AS (SELECT row_number() OVER () AS r, list_filter(s38, lambda x: x > 0)[1:200] AS t FROM histories),
+        f""", s AS (SELECT row_number() OVER () AS r, list_filter(s38, lambda x: x > 0) AS t FROM histories),
         e AS (SELECT r, unnest(range(len(t))) AS p, unnest(t) AS x FROM s),
         near AS (SELECT u.x AS a, v.x AS b FROM e u JOIN e v ON u.r = v.r AND v.p > u.p AND v.p <= u.p + 5),
         pairs AS (SELECT a, b, count(*) AS n FROM (SELECT a, b FROM near UNION ALL SELECT b, a FROM near) GROUP BY a, b),
@@ -828,10 +836,10 @@ def build() -> dict[str, str]:
     sql["fit_item2vec_many"] = with_(
         "histories",
         f""", f AS (SELECT 'seq_a_38' AS feature, token, count(*) AS cnt FROM (
-                 SELECT unnest(list_filter(s38, lambda x: x > 0)[1:200]) AS token FROM histories)
-             GROUP BY token HAVING count(*) >= 5 ORDER BY count(*) DESC, token LIMIT {TOKENS}),
+                 SELECT unnest(list_filter(s38, lambda x: x > 0)) AS token FROM histories)
+             GROUP BY token HAVING count(*) >= 5),
         g AS (SELECT 'item_11' AS feature, item_id AS token, count(*) AS cnt FROM histories
-             GROUP BY item_id HAVING count(*) >= 5 ORDER BY count(*) DESC, item_id LIMIT {TOKENS})
+             GROUP BY item_id HAVING count(*) >= 5)
         SELECT feature, token AS raw_id, row_number() OVER (PARTITION BY feature ORDER BY token)
                AS compact_id, 4::BIGINT AS dim FROM (SELECT * FROM f UNION ALL SELECT * FROM g)
         UNION ALL SELECT 'seq_a_38', 0, 0, 4 UNION ALL SELECT 'item_11', 0, 0, 4""",
@@ -845,12 +853,84 @@ def build() -> dict[str, str]:
         f"{n(f'coalesce(t.{c}, 0e0)')} AS h{i}" for i, c in enumerate(ITEM_HISTORY_NAMES)
     )
     views, _ = item_history_sql(imp)
+
+    def of_times(f: str) -> str:
+        return text(f"list_transform(times, lambda t: {f})")
+
+    no_values = "list_transform(range(70), lambda i: 0e0)"
+    whole = f"""
+        whole AS (SELECT ids.*, q38, q39, length, times, coalesce(v, {no_values}) AS v,
+                         coalesce(CAST(d.label AS DOUBLE), 0e0) AS d129
+                  FROM ids JOIN (SELECT event_id, q38, q39, length, times FROM padded) USING (event_id)
+                  LEFT JOIN dense_rows d1 ON d1.vec_id = user_id LEFT JOIN dense d ON d.vec_id = user_id)"""
     sql["build_examples"] = (
-        with_("ids", "").rstrip()
-        + f""",{views} SELECT event_id, CASE WHEN label_type = 2 THEN 1 ELSE 0 END AS label,
+        with_("ids padded dense_rows dense", "").rstrip()
+        + f""",{views}, {whole.strip()} SELECT event_id, CASE WHEN label_type = 2 THEN 1 ELSE 0 END AS label,
             {text(f'list_concat({USER_INT}, {cal})')} AS user_int,
-            {text(f"list_concat([{clean('ids.item_id', 101)}], {cal})")} AS item_int, {hist}
-            FROM ids LEFT JOIN h_table t ON t.item_id = ids.item_id"""
+            {text(f"list_concat([{clean('whole.item_id', 101)}], {cal})")} AS item_int, {hist},
+            {text("list_transform(v, lambda x: CAST(floor(x * 10000) AS BIGINT))")} AS user_dense,
+            {", ".join(f"{n(c)} AS c{i}" for i, c in enumerate(cyc))}, d129,
+            {hour(TS, ZONE)} AS now_hour, {text('q38')} AS seq_items, {text('q39')} AS seq_actions,
+            CAST(length AS BIGINT) AS seq_len, {of_times(recency(TS, 't'))} AS seq_buckets,
+            {of_times(hour('t', ZONE))} AS seq_hours, {of_times(weekday('t', ZONE))} AS seq_weekdays,
+            {of_times(period('t', ZONE))} AS seq_periods, {of_times(weekend('t', ZONE))} AS seq_weekends,
+            {of_times(holiday('t', ZONE))} AS seq_holidays
+            FROM whole LEFT JOIN h_table t ON t.item_id = whole.item_id"""
+    )
+
+    # The design of a row, entry by entry; offsets follow the order of the blocks.
+    def one_hot(offset: int, x: str) -> str:
+        return f"SELECT event_id, {offset} + {x} AS i, 1e0 AS v FROM whole WHERE {x} > 0"
+
+    def share(offset: int, xs: str, of: str, bucket: str) -> str:
+        each = f"unnest(list_filter({xs}, lambda x: x > 0))"
+        return f"SELECT event_id, {offset} + {bucket} AS i, 1e0 / w AS v FROM (SELECT event_id, {each} AS x, {of} AS w FROM whole)"
+
+    hashed = "x % 16 + 1"
+    item = clean("item_id", 101)
+    marks = [hour(TS, ZONE), weekday(TS, ZONE), period(TS, ZONE)]
+    known_ids = f"greatest(len(list_filter({U3}, lambda x: x > 0)), 1)"
+    seen = "greatest(length, 1)"
+    entries = [
+        one_hot(0, f"({U1})"),
+        share(41, U3, known_ids, hashed),
+        f"SELECT event_id, 58 + ({item}) % 16 + 1, 1e0 FROM whole WHERE ({item}) > 0",
+        *(one_hot(offset, f"({m})") for offset, m in zip((75, 100, 108, 115, 140, 148), marks * 2, strict=True)),
+        share(155, "q38[1:length]", seen, hashed),
+        share(172, "q39[1:length]", seen, "x"),
+        "SELECT event_id, 177 + unnest(range(70)), unnest(v) FROM whole",
+        *(f"SELECT event_id, {247 + k}, {c} FROM whole" for k, c in enumerate(cyc)),
+        "SELECT event_id, 251, d129 FROM whole",
+    ]
+    sql["design_columns"] = (
+        with_("ids padded dense_rows dense", "").rstrip()
+        + f""", {whole.strip()}, entries AS ({" UNION ALL ".join(entries)}),
+            cells AS (SELECT event_id, i, sum(v) AS v FROM entries GROUP BY event_id, i)
+            SELECT CAST(i AS BIGINT) AS pos, count(*) AS n, {n('sum(v)')} AS total FROM cells
+            WHERE abs(v) > 1e-9 GROUP BY i"""
+    )
+    sql["predict_as_trained"] = "SELECT event_id, 1 AS same FROM events"
+
+    # Unpenalised one-hot groups: the fitted probability is the share observed in the group.
+    groups = f"""
+        g AS (SELECT event_id, user_id, {TS}, CASE WHEN label_type = 2 THEN 1 ELSE 0 END AS label,
+                     CASE WHEN ({U1}) > 0 THEN ({U1}) % 6 + 1 ELSE 0 END AS k FROM ids)"""
+    sql["fit_and_score_groups"] = (
+        with_("ids", "").rstrip()
+        + f""", {groups.strip()}, p AS (SELECT event_id, label, avg(label) OVER (PARTITION BY k) AS p FROM g)
+            SELECT event_id, label, round(p, 4) AS prob, round(ln(p / (1 - p)), 4) AS logit FROM p"""
+    )
+    early = f"""{cutoff('ids', 0.2).strip()}, {groups.strip()},
+        rates AS (SELECT k, avg(label) AS p FROM g, cut WHERE {TS} <= cutoff GROUP BY k)"""
+    sql["train_and_evaluate_groups"] = (
+        with_("ids", "").rstrip()
+        + f"""{early}, late AS (SELECT label, p, ln(p / (1 - p)) AS logit FROM g JOIN rates USING (k), cut WHERE {TS} > cutoff),
+            {auc_sql('late').strip().replace("r AS (", "ranks AS (").replace("FROM r)", "FROM ranks)")}
+            SELECT round({AUC}, 4) AS auc, (SELECT round(avg({BCE}), 4) FROM late) AS logloss FROM a"""
+    )
+    sql["predict_groups"] = (
+        with_("ids", "").rstrip()
+        + f"""{early} SELECT user_id, round(arg_max(p, event_id), 4) AS prob FROM g JOIN rates USING (k) GROUP BY user_id"""
     )
     # A statement starting with a comma goes on with the views in front of it.
     return sql

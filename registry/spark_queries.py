@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -181,10 +182,24 @@ def dense_stats_saved(spark, sf):
 def bundle_saved(spark, sf):
     path = scratch(spark)
     document = inputs.schema_text(spark, sf).first()["value"]
-    bundle.save_bundle(spark, path, document, groups={"user_ns_groups": inputs.GROUPS})
-    layout = bundle.load_bundle(spark, path).layout
-    vectors = assemble.int_vector(layout, "user_int")
-    return inputs.ids(spark, sf).select("event_id", text(vectors).alias("user_int"))
+    saved = bundle.Transform(tz_hours=5.5, word2vec=(("seq_a", 38),), key=("event_id",))
+    groups = {"user_ns_groups": inputs.GROUPS}
+    bundle.save_bundle(spark, path, document, groups=groups, transform=saved)
+    loaded = bundle.load_bundle(spark, path)
+    layout, how = loaded.layout, loaded.transform
+    sequence = assemble.build_sequence(layout.domain("seq_a"))
+    ids_of = assemble.group_ids(assemble.int_vector(layout, "user_int"), layout, "user_int", loaded.groups["user_ns_groups"])
+    return inputs.whole_log(spark, sf).select(
+        "event_id",
+        text(assemble.int_vector(layout, "user_int")).alias("user_int"),
+        text(assemble.int_vector(layout, "item_int")).alias("item_int"),
+        text(ids_of["U2"]).alias("second_group"),
+        F.size(assemble.dense_vector(layout, "user_dense")).cast("bigint").alias("user_dense"),
+        F.size(assemble.dense_vector(layout, "item_dense")).cast("bigint").alias("item_dense"),
+        text(sequence["seq_a_38"]).alias("items"),
+        text(sequence["seq_a_39"]).alias("actions"),
+        F.lit(f"{how.tz_hours} {how.scaling} {how.word2vec} {len(how.holidays)}").alias("transform"),
+    )
 
 
 # Filters and ids.
@@ -884,8 +899,7 @@ def histories(spark, sf):
 @query
 def fit_item2vec(spark, sf):
     df = item2vec.fit_item2vec(
-        inputs.histories(spark, sf, with_position=True), "seq_a_38",
-        dim=8, top_k=TOKENS,
+        inputs.histories(spark, sf, with_position=True), "seq_a_38", dim=8
     )
     return df.select("raw_id", "compact_id", F.size("vector").cast("bigint").alias("dim"))
 
@@ -903,7 +917,7 @@ def fit_item2vec_many(spark, sf):
     df = item2vec.fit_item2vec_many(
         inputs.histories(spark, sf, with_position=True),
         [("seq_a", 38, "seq_a_38"), ("item", 11, "item_id")],
-        dim=4, top_k=TOKENS,
+        dim=4,
     )
     return df.select("feature", "raw_id", "compact_id", F.size("vector").cast("bigint").alias("dim"))
 
@@ -927,20 +941,85 @@ def _model_rows(spark, sf) -> DataFrame:
 @query
 def fit_and_score(spark, sf):
     rows = _model_rows(spark, sf)
-    model = training.fit_classifier(rows, "features", "label", maxIter=5)
+    model = training.fit_classifier(rows, "features", "label", maxIter=500)
     scored = training.score(rows, model, "features")
     return rounded(scored.select("event_id", "label", "prob", "logit"), "prob", "logit")
 
 
+#: Ids above 50 are hashed, items of the history are pooled vectors, user values are scaled.
+WHOLE = bundle.Transform(
+    excluded=SCALED_OUT, hash_threshold=50, hash_buckets=16, word2vec=(("seq_a", 38),), vector_dim=8, key=("event_id",)
+)
+
+
 @query
 def train_and_evaluate(spark, sf):
-    layout = sch.FeatureLayout(
-        tuple(f for f in inputs.LAYOUT.features if f.group.endswith("_int"))
-    )
-    _, result = lifecycle.train(inputs.ids(spark, sf), layout, valid_ratio=0.2, maxIter=5)
+    """Every group of the layout and its sequence: one-hot, hashed, pooled and scaled columns."""
+    log = stored(inputs.whole_log(spark, sf))
+    _, result = lifecycle.train_design(log, inputs.LAYOUT, WHOLE, valid_ratio=0.2, maxIter=500, regParam=0.01)
     return rounded(result, "auc", "logloss")
 
 
+@query
+def predict_as_trained(spark, sf):
+    """Whether a bundle that was saved and loaded scores each row as the trained model in memory does."""
+    log = stored(inputs.whole_log(spark, sf, with_position=True))
+    trained = lifecycle.fit_design(log, inputs.LAYOUT, WHOLE, maxIter=500, regParam=0.01)
+    path = scratch(spark)
+    trained.save(path, inputs.schema_text(spark, sf).first()["value"])
+    place = [*inputs.POSITION]
+    again = lifecycle.predict(log.drop("label_type"), bundle.load_bundle(spark, path))
+    first = trained.score(log, ("event_id", *place)).select("event_id", *place, F.col("prob").alias("first"))
+    both = first.join(again, place)
+    return both.select("event_id", (F.abs(F.col("first") - F.col("prob")) < 1e-12).cast("int").alias("same"))
+
+
+@query
+def design_columns(spark, sf):
+    """Rows and sum of every column of the sparse design."""
+    how = bundle.Transform(history=False, scaling="none", hash_threshold=50, hash_buckets=16)
+    rows = lifecycle.design_rows(inputs.whole_log(spark, sf), inputs.LAYOUT, how, keep=("event_id",))
+    values = rows.select(F.posexplode(vector_to_array("features")).alias("pos", "v")).where("abs(v) > 1e-9")
+    sums = values.groupBy(F.col("pos").cast("bigint").alias("pos")).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    return rounded(sums, "total")
+
+
+#: One hashed feature and nothing else: without a penalty the fit gives every bucket its observed
+#: share of conversions, which SQL can count.
+GROUPED = bundle.Transform(calendar=False, history=False, scaling="none", hash_threshold=10, hash_buckets=6)
+ONE_FEATURE = sch.FeatureLayout(()).with_features("user_int", [(1, 1, 40)])
+EXACT = {"maxIter": 1000, "tol": 1e-14}
+
+
+def four(c: str) -> Column:
+    return F.round(F.col(c), 4).alias(c)
+
+
+@query
+def fit_and_score_groups(spark, sf):
+    rows = inputs.ids(spark, sf)
+    trained = lifecycle.fit_design(rows, ONE_FEATURE, GROUPED, **EXACT)
+    scored = trained.score(rows, ("event_id",), training=True)
+    return scored.select("event_id", "label", four("prob"), four("logit"))
+
+
+@query
+def train_and_evaluate_groups(spark, sf):
+    _, result = lifecycle.train_design(inputs.ids(spark, sf), ONE_FEATURE, GROUPED, valid_ratio=0.2, **EXACT)
+    return result.select(four("auc"), four("logloss"))
+
+
+@query
+def predict_groups(spark, sf):
+    """Train on the earlier part, save, load, score all rows: each user's last prediction."""
+    log = inputs.ids(spark, sf, with_position=True)
+    trained, _ = lifecycle.train_design(log, ONE_FEATURE, GROUPED, valid_ratio=0.2, **EXACT)
+    path = scratch(spark)
+    trained.save(path, '{"user_int": [[1, 40, 1]]}')
+    scored = lifecycle.predict(log.drop("label_type"), bundle.load_bundle(spark, path))
+    return sinks.latest_predictions(scored).select("user_id", four("prob"))
+
+
 @query
 def evaluate(spark, sf):
     df = metrics.evaluate(inputs.scored(spark, sf, with_nan=True))
@@ -949,16 +1028,27 @@ def evaluate(spark, sf):
 
 @query
 def build_examples(spark, sf):
-    raw = inputs.ids(spark, sf)
-    layout = sch.FeatureLayout(
-        tuple(f for f in inputs.LAYOUT.features if f.group.endswith("_int"))
-    )
     table = item_history.item_history(inputs.impressions(spark, sf))
-    df = examples.build_examples(raw, layout, table, keep=("event_id", "user_id", "item_id"))
+    log = inputs.whole_log(spark, sf)
+    df = examples.build_examples(log, inputs.LAYOUT, table, keep=("event_id", "user_id", "item_id"))
+    values = F.slice("user_dense_feats", 1, 70)
     return df.select(
         "event_id",
         "label",
         text("user_int_feats").alias("user_int"),
         text("item_int_feats").alias("item_int"),
-        *[num(F.get("item_dense_feats", F.lit(i))).alias(f"h{i}") for i in range(12)],
+        text(F.transform(values, lambda x: F.floor(x * 10000))).alias("user_dense"),
+        *[num(F.get("user_dense_feats", F.lit(70 + i))).alias(f"c{i}") for i in range(4)],
+        num(F.get("item_dense_feats", F.lit(0))).alias("d129"),
+        *[num(F.get("item_dense_feats", F.lit(i + 1))).alias(f"h{i}") for i in range(12)],
+        F.col("time_feats.hour").cast("bigint").alias("now_hour"),
+        text("seq_a.seq_a_38").alias("seq_items"),
+        text("seq_a.seq_a_39").alias("seq_actions"),
+        F.col("seq_a_len").cast("bigint").alias("seq_len"),
+        text("seq_a_time_bucket").alias("seq_buckets"),
+        text("seq_a_time_feats.hour").alias("seq_hours"),
+        text("seq_a_time_feats.weekday").alias("seq_weekdays"),
+        text("seq_a_time_feats.period").alias("seq_periods"),
+        text("seq_a_day_type_feats.weekend").alias("seq_weekends"),
+        text("seq_a_day_type_feats.holiday").alias("seq_holidays"),
     )

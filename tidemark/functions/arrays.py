@@ -122,6 +122,7 @@ def sequence_length(columns: Sequence[Column], n: int) -> Column:
     return F.greatest(*lengths) if len(lengths) > 1 else lengths[0]
 
 
-def valid_tokens(values: Column, max_len: int) -> Column:
-    """Positive ids only, then truncated: the sentence of a row."""
-    return F.slice(F.filter(values, lambda x: x > 0), 1, max_len)
+def valid_tokens(values: Column, max_len: int | None = None) -> Column:
+    """Positive ids only, then the first ``max_len`` if one is given: the sentence of a row."""
+    tokens = F.filter(values, lambda x: x > 0)
+    return tokens if max_len is None else F.slice(tokens, 1, max_len)

@@ -14,8 +14,8 @@ from tidemark.operators.ranking import ID_SHIFTS, first_rows_bound, value_at_ran
 from tidemark.operators.storage import stored
 
 
-def sentences(df: DataFrame, column: str, max_len: int = 200) -> DataFrame:
-    """Positive ids of each row, truncated, rows without any left out.
+def sentences(df: DataFrame, column: str, max_len: int | None = None) -> DataFrame:
+    """Positive ids of each row, the first ``max_len`` if one is given, rows without any left out.
 
     A scalar column gives one-token sentences. Position columns are kept when present.
     """

@@ -74,18 +74,19 @@ def item_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ids(spark: SparkSession, sf_dir: str, with_position: bool = False) -> DataFrame:
     """Raw categorical columns with nulls, negatives and out-of-range ids."""
     k = F.col("item_id") - 1
     whole = F.floor("value")
     event = F.col("event_id")
     many = F.array(k % 70, k % 9 - 3, k % 61, whole % 80, k)
-    return impressions(spark, sf_dir).select(
+    return impressions(spark, sf_dir, with_position).select(
         "event_id",
         "user_id",
         "item_id",
         "timestamp",
         "label_type",
+        *(POSITION if with_position else ()),
         F.when(event % 7 != 0, whole % 50 - 5).alias("user_int_feats_1"),
         k.alias("user_int_feats_2"),
         F.when(event % 11 == 0, None)
@@ -136,6 +137,24 @@ def histories(spark: SparkSession, sf_dir: str, with_position: bool = False) ->
     )
 
 
+def whole_log(spark: SparkSession, sf_dir: str, with_position: bool = False) -> DataFrame:
+    """Every raw column of ``LAYOUT``: ids and history of the event, dense values of its user."""
+    events = ids(spark, sf_dir, with_position)
+    own = [c for c in events.columns if c != "user_id"]
+    log = build_histories(
+        events,
+        {
+            "seq_a_38": F.col("item_id"),
+            "seq_a_39": F.coalesce(F.col("label_type") + 1, F.lit(0)).cast("long"),
+            "seq_a_9": F.col("timestamp"),
+        },
+        keep=own,
+        max_len=SEQ_A.max_len,
+    ).drop("run")
+    values = dense(spark, sf_dir).drop("label").withColumnRenamed("vec_id", "user_id")
+    return log.join(values, "user_id", "left")
+
+
 # Rows of a history are found again by these columns; they start with the columns the
 # histories are partitioned by.
 HISTORY_KEY = ["user_id", "run", "event_id"]

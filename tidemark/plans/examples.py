@@ -22,6 +22,7 @@ from tidemark.operators.assemble import (
     assemble_vector,
     build_sequence,
     build_sequence_length,
+    dense_vector_with_presence,
     sequence_times,
 )
 from tidemark.operators.item_history import attach_item_history, history_vector
@@ -67,9 +68,13 @@ def build_examples(
     keep: Sequence[str] = ("user_id", "item_id", "timestamp"),
     tz_hours: float = DEFAULT_TZ_HOURS,
     holidays: Sequence[str] = HOLIDAYS,
+    presence: bool = False,
 ) -> DataFrame:
     """Label, flat vectors and sequences of every impression.
 
+    ``presence`` adds the 0/1 mask of observed user values as ``user_dense_presence``.
+
+
     Lists are cut to their kept length before the item lookup, which may shuffle the
     rows, and padded and unfolded into features only after it.
     """
@@ -87,11 +92,15 @@ def build_examples(
         for g in ("user_int", "item_int"):
             vectors[g] = append_calendar_ids(vectors[g], now)
         vectors["user_dense"] = append_calendar_dense(vectors["user_dense"], now)
+    masks = []
+    if presence:
+        masks.append(dense_vector_with_presence(layout, "user_dense")[1].alias("user_dense_presence"))
     label = derive_label(F.col("label_type") if training else F.lit(None), training)
     return rows.select(
         *keep,
         label.alias("label"),
         *[vectors[g].alias(f"{g}_feats") for g in groups],
+        *masks,
         now.alias("time_feats"),
         *[c for d in layout.domains for c in sequence_features(d, ts, tz_hours, holidays)],
     )

@@ -17,7 +17,8 @@ def build_histories(
     user: str = "user_id",
     time: str = "timestamp",
     tie: str = "event_id",
-    max_len: int = 256,
+    *,
+    max_len: int,
 ) -> DataFrame:
     """For every event the user's earlier events, newest first, at most ``max_len``.
 

@@ -51,7 +51,7 @@ def fit_item2vec_many(
     dim: int = 64,
     window: int = 5,
     min_count: int = 5,
-    max_len: int = 200,
+    max_len: int | None = None,
     iterations: int = 5,
     shift: float = 1.0,
     penalty: float = 0.01,

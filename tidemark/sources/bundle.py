@@ -11,7 +11,15 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.fixed_values import UNSCALED_RANGES
+from tidemark.fixed_values import (
+    DEFAULT_HASH_BUCKETS,
+    DEFAULT_HASH_THRESHOLD,
+    DEFAULT_TZ_HOURS,
+    HOLIDAYS,
+    ITEM_DENSE_BRANCHES,
+    UNSCALED_RANGES,
+    USER_DENSE_BRANCHES,
+)
 from tidemark.schema import (
     Feature,
     FeatureLayout,
@@ -63,6 +71,35 @@ def load_dense_stats(
     ).select(F.col("pos").cast("long").alias("pos"), "e.count", "e.mean", "e.std")
 
 
+@dataclass(frozen=True)
+class Transform:
+    """What training fixes beside the layout and scoring has to repeat.
+
+    ``scaling`` is ``zscore`` (user values by the saved statistics), ``branches`` (value
+    transforms of the user and item branches) or ``none``. ``word2vec`` names the ``(group, fid)`` whose ids
+    are pooled vectors of ``vector_dim`` values; ``key`` then names the columns that identify a row.
+    """
+
+    tz_hours: float = DEFAULT_TZ_HOURS
+    holidays: tuple[str, ...] = HOLIDAYS
+    calendar: bool = True
+    history: bool = True
+    scaling: str = "zscore"
+    log1p: bool = True
+    excluded: tuple[tuple[int, int], ...] = UNSCALED_RANGES
+    user_branches: tuple[tuple[str, tuple[int, ...], str], ...] = USER_DENSE_BRANCHES
+    item_branches: tuple[tuple[str, tuple[int, ...], str], ...] = ITEM_DENSE_BRANCHES
+    hash_threshold: int = DEFAULT_HASH_THRESHOLD
+    hash_buckets: int = DEFAULT_HASH_BUCKETS
+    word2vec: tuple[tuple[str, int], ...] = ()
+    vector_dim: int = 64
+    key: tuple[str, ...] = ()
+
+
+def _tuples(x):
+    return tuple(map(_tuples, x)) if isinstance(x, list) else x
+
+
 @dataclass
 class Bundle:
     """Everything that scoring needs."""
@@ -72,6 +109,7 @@ class Bundle:
     groups: dict[str, dict[str, list[int]]] | None
     vocab: DataFrame | None
     model: PipelineModel | None
+    transform: Transform | None = None
 
 
 def save_bundle(
@@ -83,8 +121,9 @@ def save_bundle(
     vocab: DataFrame | None = None,
     model: PipelineModel | None = None,
     layout: FeatureLayout | None = None,
+    transform: Transform | None = None,
 ) -> None:
-    """Write schema, statistics, groups, vocabularies and the model side by side.
+    """Write schema, statistics, groups, vocabularies, the transform and the model side by side.
 
     ``layout`` is the one that training used; without it, that of the schema as it stands.
     It is saved resolved, so loading does not derive it again.
@@ -101,8 +140,11 @@ def save_bundle(
     put(json.dumps(asdict(layout)), "layout")
     if groups is not None:
         put(json.dumps({k: dict(v) for k, v in groups.items()}), "groups")
+    if transform is not None:
+        put(json.dumps(asdict(transform)), "transform")
     if stats is not None:
-        save_dense_stats(stats, f"{path}/dense_stats")
+        how = transform or Transform()
+        save_dense_stats(stats, f"{path}/dense_stats", how.log1p, how.excluded)
     if vocab is not None:
         vocab.write.mode("overwrite").parquet(f"{path}/vocab")
     if model is not None:
@@ -121,6 +163,12 @@ def load_layout(spark: SparkSession, path: str) -> FeatureLayout:
     )
 
 
+def load_transform(spark: SparkSession, path: str) -> Transform:
+    """The transform that ``save_bundle`` wrote."""
+    saved = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    return Transform(**{k: _tuples(v) for k, v in saved.items()})
+
+
 def load_bundle(
     spark: SparkSession,
     path: str,
@@ -156,4 +204,5 @@ def load_bundle(
         optional(lambda: load_groups(spark, f"{path}/groups")),
         optional(lambda: spark.read.parquet(f"{path}/vocab")),
         optional(load_model),
+        optional(lambda: load_transform(spark, f"{path}/transform")),
     )
