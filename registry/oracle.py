@@ -902,6 +902,24 @@ def build() -> dict[str, str]:
         *(f"SELECT event_id, {247 + k}, {c} FROM whole" for k, c in enumerate(cyc)),
         "SELECT event_id, 251, d129 FROM whole",
     ]
+    # Each list with its own vocabulary: the most frequent ids, numbered in id order.
+    compact = {"seq_a_38": ("s38", TOKENS), "seq_a_39": ("s39", 2), "user_int_feats_3": ("u3", 30)}
+    views = ", ".join(
+        f"""k_{x} AS (SELECT token, row_number() OVER (ORDER BY token) AS id FROM (
+                SELECT token FROM (SELECT unnest(list_filter({x}, lambda x: x > 0)) AS token FROM lists)
+                GROUP BY token HAVING count(*) >= 5 ORDER BY count(*) DESC, token LIMIT {k})),
+            m_{x} AS (SELECT map(list(token), list(id)) AS m FROM k_{x})"""
+        for x, k in compact.values()
+    )
+    mapped = ", ".join(
+        f"{text(f'list_transform({x}, lambda t: coalesce(m_{x}.m[t], 0))')} AS {c}" for c, (x, _) in compact.items()
+    )
+    sql["compact_ids_many"] = (
+        with_("ids histories", "").rstrip()
+        + f""", lists AS (SELECT event_id, s38[1:256] AS s38, s39[1:256] AS s39, u3 FROM ids JOIN (SELECT event_id, s38, s39 FROM histories)
+                USING (event_id)), {views} SELECT event_id, {mapped} FROM lists, m_s38, m_s39, m_u3"""
+    )
+
     sql["design_columns"] = (
         with_("ids padded dense_rows dense", "").rstrip()
         + f""", {whole.strip()}, entries AS ({" UNION ALL ".join(entries)}),

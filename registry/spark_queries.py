@@ -735,8 +735,8 @@ def attach_item_history_large(spark, sf):
     return rounded(df, *names)
 
 
-def _vocab(spark, sf) -> DataFrame:
-    s = vocab.sentences(inputs.histories(spark, sf), "seq_a_38", max_len=200)
+def _vocab(spark, sf, rows: DataFrame | None = None) -> DataFrame:
+    s = vocab.sentences(rows or inputs.histories(spark, sf), "seq_a_38", max_len=200)
     return vocab.top_k_vocab(vocab.token_frequency(s, min_count=5), TOKENS)
 
 
@@ -747,12 +747,27 @@ def top_k_vocab(spark, sf):
 
 @query
 def compact_ids(spark, sf):
-    df = vocab.compact_ids(
-        inputs.histories(spark, sf), inputs.HISTORY_KEY, "seq_a_38", _vocab(spark, sf)
-    )
+    rows = stored(inputs.histories(spark, sf).select(*inputs.HISTORY_KEY, "seq_a_38"))
+    df = vocab.compact_ids(rows, inputs.HISTORY_KEY, "seq_a_38", _vocab(spark, sf, rows))
     return df.select("event_id", text("seq_a_38").alias("items"))
 
 
+@query
+def compact_ids_many(spark, sf):
+    """Items and actions of the histories and the ids of the event, each with its own vocabulary, in one pass."""
+    lists = inputs.whole_log(spark, sf)
+    columns = {"seq_a_38": "seq_a_38", "seq_a_39": "seq_a_39", "user_int_feats_3": "user_int_3"}
+    rows = stored(lists.select("event_id", *columns))
+    known = [
+        vocab.top_k_vocab(vocab.token_frequency(vocab.sentences(rows, c), min_count=5), k).select(
+            F.lit(f).alias("feature"), "raw_id", "compact_id"
+        )
+        for (c, f), k in zip(columns.items(), (TOKENS, 2, 30), strict=True)
+    ]
+    df = vocab.compact_ids_many(rows, ["event_id"], columns, known[0].unionByName(known[1]).unionByName(known[2]))
+    return df.select("event_id", *[text(c).alias(c) for c in columns])
+
+
 @query
 def compact_ids_shuffled(spark, sf):
     df = vocab.compact_ids(
@@ -761,9 +776,9 @@ def compact_ids_shuffled(spark, sf):
     return df.select("event_id", text("user_int_feats_3").alias("items"))
 
 
-def _known_vectors(spark, sf) -> DataFrame:
+def _known_vectors(spark, sf, rows: DataFrame | None = None) -> DataFrame:
     v = inputs.vectors(spark, sf).select(F.col("vec_id").alias("raw_id"), "vector")
-    return v.join(_vocab(spark, sf), "raw_id").select("raw_id", "vector")
+    return v.join(_vocab(spark, sf, rows), "raw_id").select("raw_id", "vector")
 
 
 @query
@@ -777,9 +792,9 @@ def embed_mean_pool(spark, sf):
     return by_position(pooled, ["event_id"], "pooled")
 
 
-def _pool_input(spark, sf) -> DataFrame:
+def _pool_input(rows: DataFrame) -> DataFrame:
     times = assemble.sequence_times(inputs.SEQ_A)
-    return inputs.histories(spark, sf).select(
+    return rows.select(
         *inputs.HISTORY_KEY,
         F.slice("seq_a_38", 1, inputs.SEQ_A.max_len).alias("ids"),
         timefeat.recency_bucket_seq(F.col("timestamp"), times).alias("buckets"),
@@ -789,18 +804,20 @@ def _pool_input(spark, sf) -> DataFrame:
 
 @query
 def sequence_mean_pool(spark, sf):
+    rows = stored(inputs.histories(spark, sf))
     pooled = pooling.sequence_mean_pool(
-        _pool_input(spark, sf), inputs.HISTORY_KEY, "ids", "length",
-        _known_vectors(spark, sf), DIM,
+        _pool_input(rows), inputs.HISTORY_KEY, "ids", "length",
+        _known_vectors(spark, sf, rows), DIM,
     )
     return by_position(pooled, ["event_id"], "pooled")
 
 
 @query
 def time_decay_pool(spark, sf):
+    rows = stored(inputs.histories(spark, sf))
     pooled = pooling.time_decay_pool(
-        _pool_input(spark, sf), inputs.HISTORY_KEY, "ids", "buckets", "length",
-        _known_vectors(spark, sf), DIM, 0.1,
+        _pool_input(rows), inputs.HISTORY_KEY, "ids", "buckets", "length",
+        _known_vectors(spark, sf, rows), DIM, 0.1,
     )
     return by_position(pooled, ["event_id"], "pooled")
 

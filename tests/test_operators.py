@@ -76,6 +76,42 @@ def test_left_lookup_keeps_nulls_of_the_table(spark):
         assert {(r["k"], r["v"]) for r in out} == {(1, None), (2, 2.0), (3, -1.0), (None, -1.0)}
 
 
+@pytest.mark.parametrize("most_bytes", [1 << 20, 0], ids=["sent", "shuffled"])
+def test_pooling_and_compact_ids_by_either_lookup(spark, most_bytes):
+    rows = [(1, [5, 5, 9, 0, 7], [1, 3, 1, 2, 1], 4), (2, None, None, 3), (3, [], [], 0), (4, [5, None, 5], [2, 2, None], 9), (5, [8], [1], 0)]
+    df = spark.createDataFrame(rows, "k int, ids array<long>, b array<int>, n int")
+    vectors = spark.createDataFrame([(5, [1.0, 2.0]), (7, [10.0, 0.0])], "raw_id long, vector array<double>")
+
+    def got(out):
+        return {r["k"]: [round(x, 9) for x in r["pooled"]] for r in out.collect()}
+
+    mean = got(pooling.sequence_mean_pool(df, ["k"], "ids", "n", vectors, 2, most_bytes))
+    assert mean == {1: [0.5, 1.0], 2: [0, 0], 3: [0, 0], 4: [round(2 / 3, 9), round(4 / 3, 9)], 5: [0, 0]}
+    mean = got(pooling.embed_mean_pool(df, ["k"], "ids", vectors, 2, most_bytes))
+    assert mean == {1: [3.0, 1.0], 2: [0, 0], 3: [0, 0], 4: [1.0, 2.0], 5: [0, 0]}
+    w = [math.exp(-0.5 * (b - 1)) for b in (1, 3, 1, 2)]
+    decayed = got(pooling.time_decay_pool(df, ["k"], "ids", "b", "n", vectors, 2, 0.5, most_bytes))
+    share = round((w[0] + w[1]) / sum(w), 9)
+    assert decayed == {1: [share, round(2 * share, 9)], 2: [0, 0], 3: [0, 0], 4: [0.5, 1.0], 5: [0, 0]}
+
+    known = [("x", 5, 1), ("x", 9, 2), ("y", 1, 7)]
+    known = spark.createDataFrame(known, "feature string, raw_id long, compact_id long")
+    out = vocab.compact_ids_many(df, ["k"], {"ids": "x", "b": "y"}, known, most_bytes)
+    assert {r["k"]: (r["ids"], r["b"]) for r in out.collect()} == {
+        1: ([1, 1, 2, 0, 0], [7, 0, 7, 0, 7]), 2: ([], []), 3: ([], []), 4: ([1, 0, 1], [0, 0, 0]), 5: ([0], [7])
+    }
+
+
+def test_a_small_table_is_looked_up_in_one_scan(spark, tmp_path):
+    spark.range(1000).select((F.col("id") % 10).alias("k"), "id").write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+    table = spark.createDataFrame([(1, 2.0)], "k long, v double")
+    out = lookups.counted_lookup(df, table, "k", {"v": F.lit(0.0)}, 50)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange hashpartitioning" not in plan
+    assert out.agg(F.sum("v")).first()[0] == 200.0
+
+
 def test_left_lookup_with_hot_keys(spark):
     # Key 1 holds a third of the rows, key 2 (absent from the table) another third.
     keys = [1] * 400 + [2] * 400 + [None] * 50 + list(range(3, 353))

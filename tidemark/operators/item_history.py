@@ -15,7 +15,11 @@ from tidemark.fixed_values import ITEM_HISTORY_NAMES, TRAILING_HOURS
 from tidemark.functions.maths import log1p_nonneg, safe_ratio
 from tidemark.functions.timefeat import floor_div
 from tidemark.operators.filters import filter_time_range
-from tidemark.operators.lookups import left_lookup
+from tidemark.operators.lookups import counted_lookup
+
+
+# An item with its values in an executor's hash table.
+HISTORY_ROW_BYTES = 200
 
 
 def last_timestamp(df: DataFrame) -> Column:
@@ -195,7 +199,7 @@ def attach_item_history(
     if matched:
         table = table.withColumn(matched, F.lit(1))
         fills[matched] = F.lit(0)
-    return left_lookup(df, table, "item_id", fills)
+    return counted_lookup(df, table, "item_id", fills, HISTORY_ROW_BYTES)
 
 
 def history_vector() -> Column:

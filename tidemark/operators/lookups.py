@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.storage import stored
+
 # A key is heavy when it holds more than this fraction of one partition's fair share.
 HEAVY_FRACTION = 0.5
 # So many salts that hashing them to partitions leaves no partition far above the mean.
 SALTS_PER_PARTITION = 32
+# A table whose counted rows take no more than this is sent to every executor.
+SENT_BYTES = 64 << 20
 
 
 def shuffle_partitions(df: DataFrame) -> int:
@@ -90,3 +94,30 @@ def left_lookup(
             for n in names
         ],
     )
+
+
+def counted_lookup(
+    df: DataFrame,
+    table: DataFrame,
+    key: str,
+    fills: Mapping[str, Column],
+    row_bytes: int,
+    most_bytes: int = SENT_BYTES,
+    store: bool = False,
+) -> DataFrame:
+    """``left_lookup`` that counts the table's rows first.
+
+    The table is stored, as it is read for the count and for the join. Up to ``most_bytes`` it is sent to the
+    executors: the rows of ``df`` stay where they are and the plan behind them runs once. A larger
+    table takes the way of ``left_lookup``, which reads ``df`` for the key counts as well;
+    ``store`` has ``df`` written once for both reads.
+    """
+    names = list(fills)
+    table = stored(table.select(key, *names).where(F.col(key).isNotNull()))
+    if table.count() * row_bytes > most_bytes:
+        return left_lookup(stored(df) if store else df, table, key, fills)
+    known = table.select(F.col(key).alias("_key_"), F.lit(True).alias("_found_"), *[F.col(n).alias(f"_{n}_") for n in names])
+    joined = df.join(F.broadcast(known), F.col(key) == F.col("_key_"), "left")
+    return joined.select(
+        *df.columns, *[F.when(F.col("_found_"), F.col(f"_{n}_")).otherwise(fills[n]).alias(n) for n in names]
+    )

@@ -1,40 +1,80 @@
 """Mean and time-decayed pooling of id vectors.
 
-Each id meets its vector in a lookup; the sums are combined map-side, so one row per
-example and task is shuffled, or none when the input is partitioned by a prefix of the
-key. Vectors hold at most a few hundred values (``dim``).
+Equal ids of an example are one entry with their weight before they meet their vectors. A table of vectors that
+is small enough to be sent leaves the examples where they are; a larger one is
+joined by a lookup that spreads hot ids. Vectors are added up by one aggregate with a single
+buffer, combined map-side, so at most one row per example and task is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.lookups import left_lookup
+from tidemark.operators.lookups import SENT_BYTES, counted_lookup
+
+_ENTRIES = "array<struct<raw_id:bigint,w:double>>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def counted(ids: Column) -> Column:
+    """Entries ``(raw_id, w)``: how often each id that is not null occurs in the list, by one sort."""
+
+    def runs(ids: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(ids) - 1),
+            lambda i: (i == 0) | (F.get(ids, i) != F.get(ids, i - 1)),
+        )
+
+        def entries(starts: Column) -> Column:
+            return F.transform(
+                starts,
+                lambda at, k: F.struct(
+                    F.get(ids, at).alias("raw_id"),
+                    (F.coalesce(F.get(starts, k + 1), F.size(ids)) - at).cast("double").alias("w"),
+                ),
+            )
+
+        return F.when(F.size(ids) > 0, _let(starts, entries)).otherwise(F.array().cast(_ENTRIES))
+
+    known = F.filter(F.coalesce(ids.cast("array<bigint>"), F.array().cast("array<bigint>")), lambda x: x.isNotNull())
+    return _let(F.sort_array(known), runs)
 
 
 def _pool(
-    tokens: DataFrame,
+    lists: DataFrame,
     key: Sequence[str],
     vectors: DataFrame,
     dim: int,
     floor: float,
+    most_bytes: int,
 ) -> DataFrame:
-    """Weighted mean per key of ``tokens(key, raw_id, w)``; unknown ids are zero vectors."""
-    found = left_lookup(
-        tokens,
-        vectors,
-        "raw_id",
-        {"vector": F.lit(None).cast(vectors.schema["vector"].dataType)},
+    """Sum of weight times vector over ``entries``, divided by ``total`` or ``floor``; unknown ids are zero vectors."""
+    zero = array_to_vector(F.array_repeat(F.lit(0.0), dim))
+    known = vectors.select("raw_id", array_to_vector(F.col("vector").cast("array<double>")).alias("_vector"))
+    tokens = lists.select(*key, "total", F.explode_outer("entries").alias("_e")).select(
+        *key, "total", "_e.raw_id", F.coalesce("_e.w", F.lit(0.0)).alias("w")
+    )
+    found = counted_lookup(
+        tokens, known, "raw_id", {"_vector": F.lit(None).cast(VectorUDT())}, 8 * dim + 96, most_bytes, store=True
+    )
+    # The aggregate takes no weights of 0 alone: entries without effect are zero vectors of weight 1.
+    counts = F.col("_vector").isNotNull() & (F.col("w") > 0)
+    added = Summarizer.metrics("sum").summary(
+        F.when(counts, F.col("_vector")).otherwise(zero), F.when(counts, F.col("w")).otherwise(F.lit(1.0))
     )
-    total = F.greatest(F.sum("w"), F.lit(float(floor)))
-    sums = [
-        F.sum(F.col("w") * F.coalesce(F.get("vector", F.lit(i)), F.lit(0.0))) / total
-        for i in range(dim)
-    ]
-    return found.groupBy(*key).agg(F.array(*sums).alias("pooled"))
+    sums = found.groupBy(*key).agg(added["sum"].alias("_sum"), F.first("total").alias("_total"))
+    total = F.greatest("_total", F.lit(float(floor)))
+    return sums.select(*key, F.transform(vector_to_array("_sum"), lambda x: x / total).alias("pooled"))
 
 
 def embed_mean_pool(
@@ -43,27 +83,21 @@ def embed_mean_pool(
     column: str,
     vectors: DataFrame,
     dim: int,
+    most_bytes: int = SENT_BYTES,
 ) -> DataFrame:
     """Mean vector over the non-zero ids of a list.
 
     Ids without a vector count in the denominator; a list without ids gives zeros.
     """
-    tokens = df.select(*key, F.explode_outer(column).alias("raw_id")).withColumn(
-        "w", (F.coalesce(F.col("raw_id"), F.lit(0)) != 0).cast("double")
-    )
-    return _pool(tokens, key, vectors, dim, 1.0)
+    ids = F.filter(F.col(column).cast("array<bigint>"), lambda x: x != 0)
+    lists = df.select(*key, F.coalesce(F.size(ids), F.lit(0)).cast("double").alias("total"), counted(ids).alias("entries"))
+    return _pool(lists, key, vectors, dim, 1.0, most_bytes)
 
 
-def _positions(
-    df: DataFrame, key: Sequence[str], column: str, length: str, extra: Sequence[str] = ()
-) -> DataFrame:
-    zipped = F.arrays_zip(F.col(column).alias("raw_id"), *[F.col(c).alias(c) for c in extra])
-    return (
-        df.select(*key, F.col(length).alias("_len"), F.posexplode_outer(zipped).alias("pos", "e"))
-        .select(*key, "_len", "pos", F.col("e.raw_id").alias("raw_id"), *[f"e.{c}" for c in extra])
-        .withColumn("_valid", F.coalesce(F.col("pos") < F.col("_len"), F.lit(False)))
-        .drop("_len", "pos")
-    )
+def _valid(column: str, length: str) -> Column:
+    """The entries before the length; a negative or null length has none."""
+    ids = F.coalesce(F.col(column).cast("array<bigint>"), F.array().cast("array<bigint>"))
+    return F.slice(ids, F.lit(1), F.greatest(F.coalesce(F.col(length), F.lit(0)), F.lit(0)).cast("int"))
 
 
 def sequence_mean_pool(
@@ -73,10 +107,12 @@ def sequence_mean_pool(
     length: str,
     vectors: DataFrame,
     dim: int,
+    most_bytes: int = SENT_BYTES,
 ) -> DataFrame:
     """Mean vector over the positions before ``length``; at least 1 in the denominator."""
-    tokens = _positions(df, key, column, length).withColumn("w", F.col("_valid").cast("double"))
-    return _pool(tokens.drop("_valid"), key, vectors, dim, 1.0)
+    ids = _valid(column, length)
+    lists = df.select(*key, F.size(ids).cast("double").alias("total"), counted(ids).alias("entries"))
+    return _pool(lists, key, vectors, dim, 1.0, most_bytes)
 
 
 def decay_weight(bucket: Column, strength: float) -> Column:
@@ -93,10 +129,19 @@ def time_decay_pool(
     vectors: DataFrame,
     dim: int,
     strength: float,
+    most_bytes: int = SENT_BYTES,
 ) -> DataFrame:
     """Mean vector weighted by recency over the positions before ``length``."""
     if strength <= 0:
-        return sequence_mean_pool(df, key, column, length, vectors, dim)
-    weight = F.when(F.col("_valid"), decay_weight(F.col(bucket), strength)).otherwise(F.lit(0.0))
-    tokens = _positions(df, key, column, length, [bucket]).withColumn("w", weight)
-    return _pool(tokens.drop("_valid", bucket), key, vectors, dim, 1e-6)
+        return sequence_mean_pool(df, key, column, length, vectors, dim, most_bytes)
+
+    # A position without a bucket has no weight, whether its id is known or not.
+    def weight(b: Column) -> Column:
+        return F.when(b.isNotNull(), decay_weight(b, strength)).otherwise(F.lit(0.0))
+
+    ids = _valid(column, length)
+    weights = F.transform(ids, lambda x, i: weight(F.get(F.col(bucket), i)))
+    entries = F.zip_with(ids, weights, lambda x, w: F.struct(x.alias("raw_id"), w.alias("w")))
+    total = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
+    lists = df.select(*key, total.alias("total"), entries.alias("entries"))
+    return _pool(lists, key, vectors, dim, 1e-6, most_bytes)

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.arrays import valid_tokens
-from tidemark.operators.lookups import left_lookup
+from tidemark.operators.lookups import SENT_BYTES, counted_lookup
 from tidemark.operators.ranking import ID_SHIFTS, first_rows_bound, value_at_rank
 from tidemark.operators.storage import stored
 
+# A dictionary entry in an executor's hash table.
+VOCAB_ROW_BYTES = 96
+
 
 def sentences(df: DataFrame, column: str, max_len: int | None = None) -> DataFrame:
     """Positive ids of each row, the first ``max_len`` if one is given, rows without any left out.
@@ -87,25 +90,49 @@ def dense_ids(df: DataFrame, column: str = "raw_id", name: str = "compact_id") -
     return dealt.join(F.broadcast(starts), "_part").withColumn(name, rank.cast("long")).drop("_part", "_start")
 
 
-def compact_ids(
+def compact_ids_many(
     df: DataFrame,
     key: Sequence[str],
-    column: str,
+    columns: Mapping[str, str],
     vocab: DataFrame,
+    most_bytes: int = SENT_BYTES,
 ) -> DataFrame:
-    """``key`` and the list mapped to ids 1..K by exact match, 0 otherwise.
+    """``key`` and every list of ``columns`` mapped to ids 1..K of its own feature, 0 otherwise.
 
-    When ``df`` is already partitioned by a prefix of ``key`` the lists are put together
-    again without a shuffle.
+    ``columns`` names the feature of each column; ``vocab`` has ``feature``, ``raw_id`` and
+    ``compact_id`` of all of them. The elements of all columns are one set of rows that meets one
+    dictionary, keyed by feature and raw id, and is put together again by one aggregation, so the
+    number of passes does not grow with the columns. A null list gives an empty one. When ``df`` is already partitioned by a prefix of
+    ``key`` and the dictionary is small enough to be sent, nothing is shuffled.
     """
-    tokens = df.select(*key, F.posexplode_outer(column).alias("pos", "raw_id"))
-    found = left_lookup(
-        tokens,
-        vocab,
-        "raw_id",
-        {"compact_id": F.lit(0).cast("long")},
-    )
-    pairs = F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "compact_id")))
-    return found.groupBy(*key).agg(
-        F.transform(F.sort_array(pairs), lambda p: p["compact_id"]).alias(column)
-    )
+    names = list(columns)
+    element = "array<struct<column:int,pos:int,id:struct<feature:string,raw_id:bigint>>>"
+
+    def elements(k: int, name: str) -> Column:
+        def entry(x: Column, i: Column) -> Column:
+            id_ = F.struct(F.lit(columns[name]).alias("feature"), x.alias("raw_id"))
+            return F.struct(F.lit(k).alias("column"), i.cast("int").alias("pos"), id_.alias("id"))
+
+        return F.coalesce(F.transform(F.col(name).cast("array<bigint>"), entry), F.array().cast(element))
+
+    parts = [elements(k, name) for k, name in enumerate(names)]
+    tokens = df.select(*key, F.explode_outer(F.concat(*parts)).alias("_e")).select(*key, "_e.column", "_e.pos", "_e.id")
+    known = vocab.select(F.struct("feature", F.col("raw_id").cast("bigint").alias("raw_id")).alias("id"), "compact_id")
+    found = counted_lookup(tokens, known, "id", {"compact_id": F.lit(0).cast("long")}, VOCAB_ROW_BYTES, most_bytes, store=True)
+
+    def lists(k: int) -> Column:
+        pairs = F.collect_list(F.when(F.col("column") == k, F.struct("pos", "compact_id")))
+        return F.transform(F.sort_array(pairs), lambda p: p["compact_id"])
+
+    return found.groupBy(*key).agg(*[lists(k).alias(name) for k, name in enumerate(names)])
+
+
+def compact_ids(
+    df: DataFrame,
+    key: Sequence[str],
+    column: str,
+    vocab: DataFrame,
+) -> DataFrame:
+    """``key`` and the list mapped to ids 1..K by exact match, 0 otherwise; see ``compact_ids_many``."""
+    one = vocab.select(F.lit(column).alias("feature"), "raw_id", "compact_id")
+    return compact_ids_many(df, key, {column: column}, one)
