@@ -207,6 +207,20 @@ def test_fingerprints_of_next_and_edited_texts(docs):
     assert got[70].fingerprint == got[63].fingerprint
 
 
+def test_shared_spans_and_seams(docs):
+    shared = sentence(60, 9)
+    texts = {1: "alone", 2: "x" * 500 + shared + "y" * 400, 3: sentence(30, 4) + shared + sentence(300, 5), 4: "abc" * 9, 5: "ab" * 3}
+    got = {r.doc_id: r for r in fingerprints.fingerprint_documents(docs(list(texts.items()))).collect()}
+    assert len(shared) <= got[3].shared_next <= len(shared) + 1
+    assert got[4].shared_next == got[2].shared_next == 0
+    for n, more in ((0, 5), (1, 5), (7, 0), (15, 3), (16, 2), (17, 99), (40, 1), (40, 40)):
+        text, following = sentence(40, n)[:n], sentence(40, more)[:more]
+        changed = text[: n - n // 2] + following[: n // 2]
+        how = fingerprints.Fingerprinting()
+        whole = fingerprints.edited_fingerprint(text, fingerprints.Prefixes(text), following, fingerprints.Prefixes(following), how)
+        assert whole[0] == fingerprints.fingerprint(changed, how)[0]
+
+
 def test_awkward_rows_of_fingerprints(docs):
     got = fingerprints.fingerprint_documents(docs(AWKWARD), fingerprints.Fingerprinting(rows_per_range=3)).collect()
     assert len(got) == len(AWKWARD)
