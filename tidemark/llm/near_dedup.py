@@ -119,12 +119,12 @@ def similar_links(documents: DataFrame, classes: DataFrame, how: Similarity) ->
 
     usual = F.size("keys") * 4 <= F.least(F.col("n"), F.lit(how.sketch)) - 1
     long = shared.where(F.col("rows") > how.list_rows)
-    dense = (
-        long.groupBy("rep").agg(F.collect_list(F.hash("key")).alias("keys"), F.first("n").alias("n"))
+    # `keys` names a member's lists, once per member.
+    dense = stored(
+        long.groupBy("rep").agg(F.collect_list("key").alias("keys"), F.first("n").alias("n"))
         .where(~((F.col("n") >= how.sketch) & usual)).select("rep", "keys")
     )
-    # `keys` names a member's lists by 32-bit hashes; a clash only makes a pair meet twice.
-    long = stored(long.join(dense, "rep").select("key", "rep", "n", "keys"))
+    long = stored(long.join(dense.select("rep", F.size("keys").alias("lists")), "rep").select("key", "rep", "n", "lists"))
 
     # The full sets of all that may be compared are made again from the texts, in one pass.
     needed = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(long.select(F.col("rep").alias("doc_id")))
@@ -135,7 +135,7 @@ def similar_links(documents: DataFrame, classes: DataFrame, how: Similarity) ->
     found = _confirmed(likely, sets, how)
     members = long.select("rep").distinct()
     of_members = stored(classes.select("rep", "sketch").join(members, "rep", "left_semi"))
-    return found.unionByName(_long_lists(of_members, sets, long, how)).distinct()
+    return found.unionByName(_long_lists(of_members, sets, long, dense, how)).distinct()
 
 
 def _all_pairs(entries: DataFrame, percent: int) -> DataFrame:
@@ -192,7 +192,7 @@ def _full_sets(words: int):
     return rows
 
 
-def _long_lists(of_members: DataFrame, sets: DataFrame, entries: DataFrame, how: Similarity) -> DataFrame:
+def _long_lists(of_members: DataFrame, sets: DataFrame, entries: DataFrame, lists_of: DataFrame, how: Similarity) -> DataFrame:
     """Links that connect the members of long lists as all their links would, without all pairs.
 
     The member in most long lists leads: it is compared with all others, and those linked with
@@ -202,7 +202,7 @@ def _long_lists(of_members: DataFrame, sets: DataFrame, entries: DataFrame, how:
     a main part look for their partners by rare shingles (`_by_rare_shingles`). Two members stay
     uncompared only if both are in the main part of one list.
     """
-    central = F.max_by("rep", F.struct(F.size("keys"), -F.col("rep")))
+    central = F.max_by("rep", F.struct("lists", -F.col("rep")))
     leaders = entries.groupBy("key").agg(central.alias("lead"), F.count("*").alias("rows"))
     led = stored(entries.join(leaders, "key"))
     pairs = led.where("rep <> lead").select(
@@ -214,7 +214,7 @@ def _long_lists(of_members: DataFrame, sets: DataFrame, entries: DataFrame, how:
     ).withColumn("linked", F.lit(True))
     main = F.coalesce("linked", F.col("rep") == F.col("lead"))
     state = stored(
-        led.join(near_lead, ["lead", "rep"], "left").select("key", "rep", "n", "keys", "rows", main.alias("main"))
+        led.join(near_lead, ["lead", "rep"], "left").select("key", "rep", "n", "rows", main.alias("main"))
     )
 
     slot = F.pmod(F.xxhash64("rep"), F.lit(1 << 40)) * F.col("rows") / F.lit(float(1 << 40))
@@ -222,12 +222,14 @@ def _long_lists(of_members: DataFrame, sets: DataFrame, entries: DataFrame, how:
     for high in how.steps:
         if state.where("not main").isEmpty():
             break
-        known = state.join(_main_lists(state), "rep", "left").withColumn("mains", F.coalesce("mains", F.array().cast("array<long>")))
+        # A pair meets in the first list that both are in: neither row's lists before its own hold the other.
+        of_rep = lists_of.join(_main_lists(state), "rep", "left").withColumn("mains", F.coalesce("mains", F.array().cast("array<long>")))
+        known = state.join(of_rep, "rep").withColumn("keys", F.filter("keys", lambda x: x < F.col("key")))
         rest = known.where("not main")
         tried = known.where((slot >= low) & (slot < high)).select(
             "key", *(F.col(c).alias(f"{c}_t") for c in ("rep", "n", "keys", "main", "mains"))
         )
-        once = F.array_min(F.array_intersect("keys", "keys_t")) == F.hash(rest["key"])
+        once = ~F.arrays_overlap("keys", "keys_t")
         apart = (F.col("rep") != F.col("rep_t")) & ~F.arrays_overlap("mains", "mains_t")
         met = stored(
             rest.join(tried, (rest["key"] == tried["key"]) & apart & _in_reach(F.col("n"), F.col("n_t"), how.percent) & once)
