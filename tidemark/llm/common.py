@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Distinct words a task keeps hashed before it starts anew; bounds a Python worker's memory.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

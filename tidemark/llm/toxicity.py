@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import CACHE_WORDS, sampled, slot
+from tidemark.llm.common import sampled, slot
 
 #: Groups of identity terms; the terms of a group are swapped for one another.
 IDENTITY_TERMS = (
@@ -29,6 +29,8 @@ IDENTITY_TERMS = (
 #: Characters cut from both ends of a word.
 EDGES = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))) + "«»„“”‘’…¡¿"
 PREFIXES = range(3, 8)
+#: Words whose weights a task keeps, the only table of words it holds; some 8 MB.
+SCORED_WORDS = 50_000
 
 
 def word_features(word: str) -> list[str]:
@@ -36,16 +38,8 @@ def word_features(word: str) -> list[str]:
     return ["=" + word] + ["<" + word[:k] for k in PREFIXES if len(word) > k]
 
 
-class _Stripped(dict):
-    def __missing__(self, token: str) -> str:
-        found = self[token] = token.strip(EDGES)
-        return found
-
-
-def distinct_words(text: str, stripped: _Stripped) -> set[str]:
-    if len(stripped) > CACHE_WORDS:
-        stripped.clear()
-    words = {stripped[token] for token in set(text.lower().split())}
+def distinct_words(text: str) -> set[str]:
+    words = {token.strip(EDGES) for token in set(text.lower().split())}
     words.discard("")
     return words
 
@@ -63,12 +57,11 @@ class ToxicityModel:
 
         @F.pandas_udf(T.DoubleType())
         def probability(texts: pd.Series) -> pd.Series:
-            stripped, known = _Stripped(), _WordWeights(spark_weights)
-            logits = []
+            known, logits = _WordWeights(spark_weights), []
             for text in texts:
-                if len(known) > CACHE_WORDS:
+                if len(known) > SCORED_WORDS:
                     known.clear()
-                logits.append(bias + sum(sorted(filter(None, map(known.__getitem__, distinct_words(text, stripped))))))
+                logits.append(bias + sum(sorted(filter(None, map(known.__getitem__, distinct_words(text))))))
             return pd.Series(1.0 / (1.0 + np.exp(-np.clip(np.array(logits, float), -500, 500))))
 
         return probability(F.coalesce(text, F.lit("")))
@@ -154,10 +147,9 @@ def fit_toxicity(
 def _feature_rows(batches):
     import pyarrow as pa
 
-    stripped = _Stripped()
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            found = sorted({f for w in distinct_words(text, stripped) for f in word_features(w)})
+            found = sorted({f for w in distinct_words(text) for f in word_features(w)})
             yield pa.RecordBatch.from_pydict(
                 {"feature": found, "toxic": pa.array([toxic] * len(found), pa.int32()), "uses": pa.array([1] * len(found), pa.int32())}
             ) if found else pa.RecordBatch.from_pydict(
@@ -169,12 +161,11 @@ def _indexed_rows(index: dict[str, int]):
     def rows(batches):
         import pyarrow as pa
 
-        stripped = _Stripped()
         for batch in batches:
             at, counts = [], []
             for text in batch.column("text").to_pylist():
                 found: dict[int, int] = {}
-                for word in distinct_words(text, stripped):
+                for word in distinct_words(text):
                     for f in word_features(word):
                         if (k := index.get(f)) is not None:
                             found[k] = found.get(k, 0) + 1
