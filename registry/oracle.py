@@ -803,6 +803,21 @@ def build() -> dict[str, str]:
     )
     sql["time_cutoff"] = with_("item_log", cutoff("item_log", 0.3).strip() + " SELECT cutoff FROM cut")
     sql["shuffle_examples"] = with_(imp, "SELECT event_id, user_id FROM impressions")
+    at = "SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM impressions"
+    sql["write_balanced"] = with_(
+        imp,
+        f""", p AS ({at}), c AS (SELECT pos // 300 AS chunk, count(*) AS n FROM p GROUP BY 1),
+            d AS (SELECT chunk, (row_number() OVER (ORDER BY n DESC, chunk) - 1) % 7 AS shard FROM c)
+        SELECT CAST(shard AS BIGINT) AS shard, count(*) AS rows, CAST(sum(event_id) AS BIGINT) AS events
+        FROM p JOIN d ON chunk = pos // 300 GROUP BY 1""",
+    )
+    sql["shuffle_in_windows"] = with_(
+        imp,
+        f""", p AS ({at}), r AS (
+            SELECT event_id, pos // 640 AS w, row_number() OVER (
+                PARTITION BY pos // 640 ORDER BY md5(concat(pos // 640 + 42, ':3:', pos)), pos) - 1 AS r FROM p)
+        SELECT event_id, CAST(w * 20 + r // 32 AS BIGINT) AS batch, CAST(r % 32 AS BIGINT) AS place FROM r""",
+    )
     sql["limit_sentences"] = with_(
         "histories",
         f"""SELECT event_id, CAST(len({kept}[1:200]) AS BIGINT) AS n FROM histories

@@ -18,6 +18,7 @@ from tidemark import schema as sch
 from tidemark.functions import arrays, ids, maths, timefeat
 from tidemark.operators import (
     assemble,
+    chunks,
     dense,
     filters,
     holidays,
@@ -138,6 +139,15 @@ def write_examples(spark, sf):
     )
 
 
+@query
+def write_balanced(spark, sf):
+    path = scratch(spark)
+    sinks.write_balanced(inputs.impressions(spark, sf, with_position=True), path, 7, chunk_rows=300)
+    return spark.read.parquet(path).groupBy(F.col("shard").cast("bigint").alias("shard")).agg(
+        F.count("*").alias("rows"), F.sum("event_id").alias("events")
+    )
+
+
 def _probabilities(spark, sf) -> DataFrame:
     return inputs.scored(spark, sf, with_position=True).withColumn(
         "prob", maths.sigmoid(F.col("logit"))
@@ -892,6 +902,12 @@ def shuffle_examples(spark, sf):
     return df.select("event_id", "user_id")
 
 
+@query
+def shuffle_in_windows(spark, sf):
+    df = chunks.shuffle_in_windows(inputs.impressions(spark, sf, with_position=True), 32, 42, pass_no=3)
+    return df.select("event_id", "batch", "place")
+
+
 @query
 def limit_sentences(spark, sf):
     s = vocab.sentences(inputs.histories(spark, sf, with_position=True), "seq_a_39", 200)

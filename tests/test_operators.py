@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.fixed_values import ITEM_HISTORY_NAMES
 from tidemark.functions.arrays import pad_float_list_with_presence
-from tidemark.operators import dense, filters, item_history, lookups, pooling, ranking, splits, vocab
+from tidemark.operators import chunks, dense, filters, item_history, lookups, pooling, ranking, splits, vocab
 from tidemark.plans.histories import build_histories
 from tidemark.schema import FeatureLayout, SequenceDomain
 from tidemark.sources.impressions import read_impressions, union_files
@@ -240,6 +240,58 @@ def test_split_by_time_keeps_ties_in_training(spark):
     assert {r.split: r["count"] for r in out} == {"train": 9, "valid": 1}
 
 
+def test_time_cutoff_of_a_sketch(spark):
+    df = spark.range(50_000).select((F.col("id") * F.col("id") % 49_999).alias("timestamp"))
+    ts = sorted(r.timestamp for r in df.collect())
+    cut = splits.time_cutoff(df, 0.2, sketch=True).first().cutoff
+    assert abs(sum(t <= cut for t in ts) / len(ts) - 0.8) < 0.02
+    parts = {r.split: r["count"] for r in splits.split_by_time(df, 0.2, sketch=True).groupBy("split").count().collect()}
+    assert sum(parts.values()) == 50_000 and abs(parts["valid"] - 10_000) < 1_000
+
+
+@pytest.mark.parametrize("shards", [1, 2, 3, 7])
+def test_balanced_shards(spark, files, shards):
+    df = read_impressions(spark, files, with_position=True)
+    # Chunks of a: 10, 10, 5 rows; of b: 10; of c: 10, 5.
+    rows = [10, 10, 5, 10, 10, 5]
+    loads, want = [0] * shards, {}
+    for k in sorted(range(6), key=lambda k: -rows[k]):
+        want[k] = min(range(shards), key=lambda s: loads[s])
+        loads[want[k]] += rows[k]
+    chunk = [0] * 10 + [1] * 10 + [2] * 5 + [3] * 10 + [4] * 10 + [5] * 5
+    out = chunks.with_shards(df, shards, chunk_rows=10)
+    assert {r.n: r.shard for r in out.collect()} == {n: want[c] for n, c in enumerate(chunk)}
+    assert chunks.with_shards(df.limit(0), shards).collect() == []
+
+
+def test_balance_of_many_short_files(spark):
+    rnd = random.Random(3)
+    sizes = [rnd.randrange(1, 40) for _ in range(60)]
+    rows = [(f"f{f:03}", r) for f, n in enumerate(sizes) for r in range(n)]
+    df = spark.createDataFrame(rows, "src_file string, src_row long").repartition(5)
+    loads = [0] * 4
+    parts = [min(16, n - at) for n in sizes for at in range(0, n, 16)]
+    for n in sorted(parts, reverse=True):
+        loads[min(range(4), key=lambda s: loads[s])] += n
+    got = chunks.with_shards(df, 4, 16).groupBy("shard").count().collect()
+    assert sorted((r.shard, r["count"]) for r in got) == list(enumerate(loads))
+
+
+def test_shuffle_keeps_to_its_window(spark, files):
+    df = read_impressions(spark, files, with_position=True)
+
+    def batches(seed, pass_no=0):
+        out = chunks.shuffle_in_windows(df, 3, seed, window_batches=4, pass_no=pass_no).collect()
+        return [r.n for r in sorted(out, key=lambda r: (r.batch, r.place))]
+
+    one = batches(1)
+    assert sorted(one) == list(range(50)) and one == batches(1)
+    assert len({tuple(one), tuple(batches(2)), tuple(batches(1, 1))}) == 3
+    for at, n in enumerate(one):
+        assert at // 12 == n // 12
+    assert chunks.shuffle_in_windows(df.limit(0), 3, 1).collect() == []
+
+
 def test_shuffle_is_seeded_and_whole(spark):
     df = spark.range(500)
 

@@ -21,6 +21,7 @@ def value_at_rank(
     rank: Column,
     shifts: Sequence[int],
     carry: Mapping[str, Column] | None = None,
+    rows: Column | None = None,
 ) -> DataFrame:
     """One row holding the ``rank``-th smallest (from 0) value of a long column.
 
@@ -29,8 +30,9 @@ def value_at_rank(
     of one level, never over rows. No row comes out when the rank is past the end.
 
     ``rank`` and the ``carry`` columns are the same on every row of ``df``; the latter are
-    handed on to the result.
+    handed on to the result. With ``rows``, a row of ``df`` stands for that many.
     """
+    count = F.count("*") if rows is None else F.sum(rows)
     cells = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     carry = dict(carry or {})
     scope, hit = df, None
@@ -45,7 +47,7 @@ def value_at_rank(
         hit = (
             scope.groupBy(F.shiftright(F.col(value), shift).alias("cell"))
             .agg(
-                F.count("*").alias("n"),
+                count.alias("n"),
                 F.max(rank).alias("k"),
                 *[F.max(c).alias(name) for name, c in carry.items()],
             )

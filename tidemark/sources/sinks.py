@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.chunks import with_shards
+
 
 def write_examples(
     df: DataFrame,
@@ -25,6 +27,15 @@ def write_examples(
     writer.parquet(path)
 
 
+def write_balanced(df: DataFrame, path: str, shards: int, chunk_rows: int = 100_000) -> None:
+    """One directory per shard (``shard=0``, …), with whole chunks of the scan and even numbers of rows.
+
+    Rows are written by the task that read them; only the shards are chosen, by
+    ``chunks.plan_shards``. Needs ``src_file`` and ``src_row``.
+    """
+    with_shards(df, shards, chunk_rows).write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
 def latest_predictions(scored: DataFrame) -> DataFrame:
     """One probability per user: that of the user's last row in scan order."""
     return scored.groupBy("user_id").agg(
