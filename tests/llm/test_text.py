@@ -249,6 +249,72 @@ def test_main_text_of_a_page():
     assert html_text.main_text("<a href=\"" + "x" * 50_000) and html_text.main_text("<" * 50_000) == "<" * 50_000
 
 
+def test_depth_has_no_limit():
+    inner = "<nav><p>menu</p></nav><p>kept</p>"
+    for depth in (198, 199, 500, 20_000):
+        page = "<article>" + "<div>" * depth + inner + "</div>" * depth + "<p>after</article><p>outside"
+        assert html_text.main_text(page) == "kept\n\nafter", depth
+    wide = "<ul>" + "<li>x" * 50_000 + "</b>" * 50_000
+    assert html_text.main_text("<div>" * 20_000 + wide).count("x") == 50_000
+
+
+def test_marks_inside_an_article_are_whole_names():
+    kept = ["social-history", "hidden-gem", "side", "notice", "related", "share-price", "menu-of-the-day"]
+    page = "".join(f'<section class="{c}"><p>{c}</p></section>' for c in kept)
+    article = f'<article>{page}<div class="ad">no</div><div id="comments">no</div><p class="x advertisement">no</p></article>'
+    assert html_text.main_text(article).split("\n\n") == kept
+    outside = '<div class="hidden-gem">a</div><div class="cookie-notice">no</div><div class="side">no</div><div class="ad-box">no</div><p>b'
+    assert html_text.main_text(outside) == "a\n\nb"
+
+
+def brute_templates(rows, how):
+    """Per host the elements on enough pages of different text, found page by page."""
+    by_host = {}
+    for _, url, page in rows:
+        root = html_text.parse(page or "")
+        found = {}
+        for digest, size, inside, linked in html_text.digests(root)[:-1]:
+            if size >= how.characters or (size and linked and not inside):
+                found[digest] = found.get(digest, True) and inside
+        host = re.sub(r"^.*?//([^/]*).*", r"\1", url)
+        by_host.setdefault(host, {}).setdefault(html_text.main_text(page or ""), []).append(found)
+    out = {}
+    for host, texts in by_host.items():
+        pages, outer = Counter(), set()
+        for found in texts.values():
+            pages.update({d for f in found for d in f})
+            outer |= {d for f in found for d, inside in f.items() if not inside}
+        many = {d for d, n in pages.items() if n >= how.pages and n >= how.article_share * len(texts)}
+        some = {d for d in outer - many if pages[d] >= how.pages and pages[d] >= how.share * len(texts)}
+        if many or some:
+            out[host] = (many, some)
+    return out
+
+
+@pytest.mark.parametrize("sent", [10**6, -1])
+def test_templates_against_brute_force(spark, monkeypatch, sent):
+    monkeypatch.setattr(html_text, "SENT_DIGESTS", sent)
+    rng = random.Random(5)
+    rows = []
+    for i in range(160):
+        host = f"h{i % 3 if i % 2 else 0}.org"
+        menu = "".join(f"<li><a href=x>{w}</a></li>" for w in rng.sample(["home", "news", "about us", "shop", "blog"], 3))
+        quote = f"<p>{sentence(9, rng.randrange(8))}</p>"
+        body = f"<p>{sentence(12, i % 140)}</p>{quote}<p>home</p>"
+        body = f"<article>{body}</article>" if i % 5 else f"<div>{body}</div>"
+        rows.append((i, f"https://{host}/{i}", f"<body><div><ul>{menu}</ul></div><p>Read all our terms here</p>{body}</body>"))
+    how = html_text.Template(share=0.08)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    want = brute_templates(rows, how)
+    got = html_text.site_templates(html_text.element_counts(pages, how), how).collect()
+    assert {r.host: (set(r.anywhere), set(r.outside)) for r in got} == want and any(some for _, some in want.values())
+    for r in html_text.extract_text(pages, how).collect():
+        host = f"h{r.page_id % 3 if r.page_id % 2 else 0}.org"
+        known = html_text.Templates(*map(frozenset, want.get(host, ((), ()))))
+        assert r.text == html_text.main_text(rows[r.page_id][2], known)
+        assert sentence(12, r.page_id % 140) in r.text and "home" in r.text and "terms" not in r.text
+
+
 def test_site_parts_that_recur_are_dropped(spark):
     rows = [
         (i, f"https://a.org/{i}", f"<body><div><p>Join our club today please</p></div><p>{sentence(20, i)}</p><p>{'same short' if i < 3 else sentence(4, i)}</p>")
