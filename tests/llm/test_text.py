@@ -122,6 +122,58 @@ def test_redaction(docs):
     assert len(pii.find_pii(docs(AWKWARD), pii.fit_pii(docs(AWKWARD))).collect()) == len(AWKWARD)
 
 
+def brute_added(base, chosen):
+    """All free spans that no better free one meets, by comparing each with each."""
+    over = lambda a, b: a[0] < b[2] and b[0] < a[2]
+    rank = lambda c: (c[3], c[2] - c[0], -c[0], -c[1])
+    free = [c for s in chosen for c in s if not any(over(c, b) for t in base for b in t)]
+    return sorted(c[:3] for c in free if not any(over(c, d) and rank(d) > rank(c) for d in free))
+
+
+def test_added_spans_equal_comparing_all(spark):
+    rng, rows = random.Random(4), []
+
+    def stream(kind, n, long, scored):
+        at, out = 0, []
+        for _ in range(n):
+            at += rng.randrange(long)
+            end = at + rng.randrange(1, long)
+            out.append((at, kind, end, float(rng.randrange(4))) if scored else (at, kind, end))
+            at = end
+        return out
+
+    for i in range(60):
+        base = [stream(k, rng.randrange(3), 30, False) for k in range(4)]
+        chosen = [stream(k % 4, rng.randrange(12), rng.choice([6, 15, 60]), True) for k in range(7)]
+        rows.append((i, base, chosen))
+    table = spark.createDataFrame(rows, f"i int, base array<{pii.SPANS.replace(',match:string', '')}>, chosen array<{pii.SCORED}>")
+    found = table.select("i", pii.added(F.col("base"), F.col("chosen")).alias("got")).collect()
+    assert sum(len(r.got) for r in found) > 100
+    for r in found:
+        assert sorted(map(tuple, r.got)) == brute_added(*rows[r.i][1:])
+
+
+def test_spans_of_very_long_texts(docs):
+    """Ten thousand addresses in one text, a long run of digits, and a token that holds most of its text."""
+    many = "".join(f"\U0001f600 u{i}@mail.example.com, 10.0.{i % 256}.7; +33 6 12 34 56 78 " for i in range(3000))
+    rows = [(1, many), (2, "1 " * 100_000), (3, "a@" + "b.cc" * 50_000), (4, "x@" + "415-555-0123@" * 5000), (5, "é" * 700 + "a@b.co" + " " * 700 + "1.2.3.4")]
+    rows += [(10 + i, f"mail u{i}@mail.example.com, no {i % 256}.2.3.{i} and v{i}@x") for i in range(300)]
+    table = docs(rows)
+    model = pii.fit_pii(table, precision=0.9)
+    spans = {r.doc_id: r for r in pii.find_pii(table, model).collect()}
+    clean = {r.doc_id: r.text for r in pii.redact(table, model).collect()}
+    for i, text in rows:
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in brute_pii(text))
+        assert spans[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        out, at = [], 0
+        for kind, a, b in (x.split(":") for x in spans[i].spans.split(",") if x):
+            if int(a) >= at:
+                out += [text[at : int(a)], f"[{kind.upper()}]"]
+            at = max(at, int(b))
+        assert clean[i] == "".join(out) + text[at:]
+    assert spans[1].n_email == spans[1].n_ip == spans[1].n_phone == 3000
+
+
 def labelled(spark, n=600, biased=False):
     """Toxic texts hold one of three words; if biased, a third of them only a term of a group."""
     rows, labels = [], []

@@ -50,9 +50,15 @@ OWN_CUES = {
     "phone": r"(?i)(?:phone|\btel|call|fax|mobile|contact|kontakt)",
 }
 AT, DOT = r" ?[\[(] ?at ?[\])] ?", r" ?[\[(] ?dot ?[\])] ?"
-SPAN = "array<struct<start:int,kind:int,end:int,match:string>>"
-#: Digits of context on either side of a candidate.
+SPANS = "array<struct<start:int,kind:int,end:int,match:string>>"
+SEEN = "array<struct<start:int,kind:int,end:int,match:string,left:string,right:string>>"
+SCORED = "array<struct<start:int,kind:int,end:int,margin:double>>"
+#: Characters of context on either side of a candidate.
 CONTEXT = 24
+#: Code points of a cell; contexts reach into two cells at most.
+CELL = 256
+#: Distances for running folds and bisection; arrays of up to 2^30 - 1 elements.
+POWERS = [1 << k for k in range(30)]
 
 
 def digits(x: Column) -> Column:
@@ -71,46 +77,95 @@ def passes(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of `value`, which is evaluated once however often `body` uses it, also inside of lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, both: Callable[[Column, Column], Column]) -> Column:
+    """For each place of an array the fold of all values up to it, by doubled distances: n log n steps."""
+    step = lambda acc, p: F.transform(acc, lambda x, i: F.when(i >= p, both(F.get(acc, i - p), x)).otherwise(x))
+    return let(values, lambda v: F.aggregate(F.filter(F.array(*map(F.lit, POWERS)), lambda p: p < F.size(v)), v, step))
+
+
+def leading(spans: Column, holds: Callable[[Column], Column]) -> Column:
+    """How many of the first elements satisfy `holds`, which no later one does; found by bisection."""
+    further = lambda at, p: (at + p <= F.size(spans)) & holds(F.get(spans, at + p - 1))
+    return F.aggregate(
+        F.array(*map(F.lit, reversed(POWERS))), F.lit(0), lambda at, p: F.when(further(at, p), at + p).otherwise(at)
+    )
+
+
+def overlapping(spans: Column, c: Column) -> Column:
+    """Those of `spans`, in order and apart from each other, that share a character with span `c`."""
+    before = leading(spans, lambda d: d["end"] <= c["start"])
+    upto = leading(spans, lambda d: d["start"] < c["end"])
+    none = F.slice(spans, 1, 0)
+    return F.when(F.size(spans) > 0, let(before, lambda k: F.slice(spans, k + 1, F.greatest(upto - k, F.lit(0))))).otherwise(none)
+
+
+def cells(text: Column) -> Column:
+    """The text in cells of `CELL` code points, so that cutting a span does not walk there from the start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CELL}}}"), F.lit(0))
+
+
+def cut(parts: Column, start: Column, end: Column) -> Column:
+    """The code points from `start` up to `end` of a text in cells; ends beyond the text are cut off."""
+    whole = F.array_join(F.slice(parts, F.floor(start / CELL).cast("int") + 1, F.floor((end - start) / CELL).cast("int") + 2), "")
+    return F.when(end > start, F.substring(whole, start % CELL + 1, end - start)).otherwise("")
+
+
 def located(text: Column, kind: str, pattern: str, hint: str) -> Column:
     """All matches of `pattern` in order, with start and end.
 
-    The pieces between the matches and the matches themselves alternate, so a running sum of
-    their lengths gives the places.
+    The pieces between the matches and the matches themselves alternate, so running sums of
+    their lengths give the places.
     """
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("match")))
-    places = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + F.length(s["match"])).alias("at"),
-            F.array_append(
-                acc["found"],
-                F.struct(
-                    (acc["at"] + s["gap"]).alias("start"),
-                    F.lit(KINDS.index(kind)).alias("kind"),
-                    (acc["at"] + s["gap"] + F.length(s["match"])).alias("end"),
-                    s["match"].alias("match"),
-                ),
-            ).alias("found"),
+    place = lambda m, end: F.struct(
+        (end - F.length(m)).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), m.alias("match")
+    )
+    places = let(
+        matches,
+        lambda found: F.zip_with(
+            found,
+            running(
+                F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.length(g) + F.length(m)), lambda x, y: x + y
+            ),
+            place,
         ),
-    )["found"]
-    return F.when(text.rlike(hint), places).otherwise(F.array().cast(SPAN))
+    )
+    return F.when(text.rlike(hint), places).otherwise(F.array().cast(SPANS))
 
 
 def base_spans(text: Column) -> Column:
-    """The base spans of every kind, by start, then kind."""
+    """The base spans, one list for every kind, each in order and without overlaps."""
 
     def of(kind: str) -> Column:
-        return F.filter(located(text, kind, BASE[kind], HINT[kind]), lambda m: passes(kind, m["match"]))
+        found = F.filter(located(text, kind, BASE[kind], HINT[kind]), lambda m: passes(kind, m["match"]))
+        return F.transform(found, lambda m: F.struct(*(m[k].alias(k) for k in ("start", "kind", "end"))))
 
-    return F.array_sort(F.concat(*map(of, KINDS)))
+    return F.array(*map(of, KINDS))
 
 
 def candidates(text: Column) -> Column:
-    """Overlapping spans of the generators; a span that two of them propose comes once for each kind."""
-    found = [located(text, kind, pattern, hint) for kind, pattern, hint in GENERATORS]
-    return F.array_distinct(F.concat(*found))
+    """The spans of the generators with the characters beside them, one list for each, in order and without overlaps.
+
+    Spans of different generators may overlap. Two generators of one kind never propose the same span: what one
+    of them asks for, the other excludes.
+    """
+    found = F.array(*(located(text, kind, pattern, hint) for kind, pattern, hint in GENERATORS))
+
+    def seen(parts: Column) -> Callable[[Column], Column]:
+        return lambda c: F.struct(
+            *(c[k].alias(k) for k in ("start", "kind", "end", "match")),
+            cut(parts, F.greatest(c["start"] - CONTEXT, F.lit(0)), c["start"]).alias("left"),
+            cut(parts, c["end"], c["end"] + CONTEXT).alias("right"),
+        )
+
+    each = lambda streams: let(cells(text), lambda parts: F.transform(streams, lambda s: F.transform(s, seen(parts))))
+    some = lambda streams: F.exists(streams, lambda s: F.size(s) > 0)
+    return let(found, lambda streams: F.when(some(streams), each(streams)).otherwise(F.array().cast(f"array<{SEEN}>")))
 
 
 def starts_clean(left: Column) -> Column:
@@ -181,16 +236,9 @@ FEATURES: dict[str, Callable[[Column, Column, Column], Column]] = {
 }
 
 
-def beside(text: Column, c: Column) -> tuple[Column, Column]:
-    """The context of candidate `c` to its left and right."""
-    first = F.greatest(c["start"] - CONTEXT, F.lit(0))
-    return F.substring(text, first + 1, c["start"] - first), F.substring(text, c["end"] + 1, F.lit(CONTEXT))
-
-
-def described(text: Column, c: Column) -> list[Column]:
+def described(c: Column) -> list[Column]:
     """The features of candidate `c`, each a number."""
-    left, right = beside(text, c)
-    return [f(c, left, right).cast("double").alias(name) for name, f in FEATURES.items()]
+    return [f(c, c["left"], c["right"]).cast("double").alias(name) for name, f in FEATURES.items()]
 
 
 Tree = float | tuple[int, float, "Tree", "Tree"]
@@ -218,9 +266,9 @@ class PiiModel:
         return total
 
     def selected(self, text: Column) -> Column:
-        """Candidates whose margin reaches the threshold of their kind, with the margin."""
+        """Candidates whose margin reaches the threshold of their kind, with the margin; one list for each generator."""
         if not self.trees or all(t is None for t in self.thresholds.values()):
-            return F.array().cast(SPAN_SCORED)
+            return F.array().cast(f"array<{SCORED}>")
 
         def scored(c: Column) -> Column:
             limit = F.lit(None).cast("double")
@@ -228,15 +276,12 @@ class PiiModel:
                 if at is not None:
                     limit = F.when(c["kind"] == KINDS.index(kind), at).otherwise(limit)
             return F.struct(
-                c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"),
-                self.margin(described(text, c)).alias("margin"), limit.alias("bar"),
+                *(c[k].alias(k) for k in ("start", "kind", "end")), self.margin(described(c)).alias("margin"), limit.alias("bar")
             )
 
-        kept = F.filter(F.transform(candidates(text), scored), lambda c: F.coalesce(c["margin"] >= c["bar"], F.lit(False)))
-        return F.transform(kept, lambda c: F.struct(*(c[k].alias(k) for k in ("start", "kind", "end", "margin"))))
-
-
-SPAN_SCORED = "array<struct<start:int,kind:int,end:int,margin:double>>"
+        reached = lambda c: F.coalesce(c["margin"] >= c["bar"], F.lit(False))
+        plain = lambda c: F.struct(*(c[k].alias(k) for k in ("start", "kind", "end", "margin")))
+        return F.transform(candidates(text), lambda s: F.transform(F.filter(F.transform(s, scored), reached), plain))
 
 
 def _parsed(debug: str) -> list[tuple[float, Tree]]:
@@ -271,11 +316,11 @@ def fit_pii(
     candidates in the whole corpus, or without such a margin, adds no spans.
     """
     found = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = found.select("doc_id", "text", F.explode(candidates(F.col("text"))).alias("c"))
-    label = evident(F.col("c"), *beside(F.col("text"), F.col("c")))
+    rows = found.select("doc_id", F.explode(F.flatten(candidates(F.col("text")))).alias("c"))
+    label = evident(F.col("c"), F.col("c.left"), F.col("c.right"))
     every = stored(
         rows.select(
-            *described(F.col("text"), F.col("c")),
+            *described(F.col("c")),
             label.cast("double").alias("label"),
             (slot(F.col("doc_id"), 5) == 1).alias("held_out"),
             F.xxhash64("doc_id", "c.start", "c.kind", "c.match").alias("order"),
@@ -331,26 +376,39 @@ def _joined(spans: Column) -> Column:
     )
 
 
+def added(base: Column, chosen: Column) -> Column:
+    """Of the chosen spans those that overlap no base span and no free one with a higher margin (then: longer, then earlier).
+
+    `base` and `chosen` are lists of lists, each in order and without overlaps, so what a span meets in one of them
+    lies side by side there and is found by bisection. At most one span of each list covers a place, so there
+    are no more than a few meetings for every span, however long the text.
+    """
+    rank = lambda c: F.struct(c["margin"], c["end"] - c["start"], -c["start"], -c["kind"])
+    meets = lambda c: F.exists(base, lambda t: F.size(overlapping(t, c)) > 0)
+
+    def beaten(free: Column, c: Column) -> Column:
+        return F.exists(free, lambda t: F.exists(overlapping(t, c), lambda d: rank(d) > rank(c)))
+
+    left = F.transform(chosen, lambda s: F.filter(s, lambda c: ~meets(c)))
+    best = let(left, lambda free: F.flatten(F.transform(free, lambda s: F.filter(s, lambda c: ~beaten(free, c)))))
+    return F.transform(best, lambda c: F.struct(*(c[k].alias(k) for k in ("start", "kind", "end"))))
+
+
 def with_spans(documents: DataFrame, model: PiiModel, text: str = "text") -> DataFrame:
-    """`documents` with `__base` and `__spans`: the base spans, and those with what the trees add.
+    """`documents` with `__base` and `__spans`: the base spans, and those with what the trees add, by start, then kind.
 
     An added span overlaps no base span, and no other candidate with a higher margin (then: longer,
     then earlier).
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    plain = "transform(__base, s -> struct(s.start as start, s.kind as kind, s.end as end))"
-    over = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    rank = lambda c: F.struct(c["margin"], c["end"] - c["start"], -c["start"], -c["kind"])
-    free = F.filter("__chosen", lambda c: ~F.exists("__base", lambda b: over(b, c)))
-    best = F.filter("__free", lambda c: ~F.exists("__free", lambda d: over(c, d) & (rank(d) > rank(c))))
-    added = F.transform(best, lambda c: F.struct(*(c[k].alias(k) for k in ("start", "kind", "end"))))
+    spans = lambda base: F.struct(
+        F.array_sort(F.flatten(base)).alias("base"), F.array_sort(F.concat(F.flatten(base), added(base, model.selected(body)))).alias("all")
+    )
     return (
-        documents.withColumn("__base", base_spans(body))
-        .withColumn("__chosen", model.selected(body))
-        .withColumn("__base", F.expr(plain))
-        .withColumn("__free", free)
-        .withColumn("__spans", F.array_sort(F.concat("__base", added)))
-        .drop("__chosen", "__free")
+        documents.withColumn("__both", let(base_spans(body), spans))
+        .withColumn("__base", F.col("__both.base"))
+        .withColumn("__spans", F.col("__both.all"))
+        .drop("__both")
     )
 
 
@@ -379,24 +437,19 @@ def redact(documents: DataFrame, model: PiiModel) -> DataFrame:
     columns = documents.columns
     found = with_spans(documents, model)
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    walked = F.aggregate(
-        "__spans",
-        start,
-        lambda acc, s: F.when(
-            s["start"] >= acc["at"],
-            F.struct(
-                s["end"].alias("at"),
-                F.concat(
-                    acc["parts"],
-                    F.array(F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["kind"] + 1)),
-                ).alias("parts"),
-            ),
-        ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["parts"].alias("parts"))),
+    ends = running(F.transform("__spans", lambda s: s["end"]), F.greatest)
+    # Each span with the end of all before it; one that starts earlier is merged with them.
+    placed = let(ends, lambda e: F.transform("__spans", lambda s, i: F.struct(s.alias("s"), F.coalesce(F.get(e, i - 1), F.lit(0)).alias("at"))))
+    heads = F.filter(placed, lambda p: p["s"]["start"] >= p["at"])
+    name = lambda p: F.element_at(names, p["s"]["kind"] + 1)
+    walked = let(
+        cells(F.col("text")),
+        lambda parts: F.concat(
+            F.array_join(F.transform(heads, lambda p: F.concat(cut(parts, p["at"], p["s"]["start"]), name(p))), ""),
+            cut(parts, F.array_max(F.transform("__spans", lambda s: s["end"])), F.length("text")),
+        ),
     )
-    whole = F.concat(F.array_join(F.col("__walked.parts"), ""), F.expr("substring(text, __walked.at + 1)"))
-    clean = F.when(F.size("__spans") > 0, whole).otherwise(F.col("text"))
-    out = found.withColumn("__walked", walked).withColumn("text", clean)
+    out = found.withColumn("text", F.when(F.size("__spans") > 0, walked).otherwise(F.col("text")))
     if "n_chars" in columns:
         length = F.when(F.size("__spans") > 0, F.length("text").cast(documents.schema["n_chars"].dataType))
         out = out.withColumn("n_chars", F.coalesce(length, F.col("n_chars")))
