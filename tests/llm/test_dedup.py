@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import AWKWARD, sentence
 from tidemark.llm import near_dedup
@@ -68,6 +69,26 @@ def test_groups_equal_brute_force_with_long_lists(docs, k):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+def test_rare_shingles_do_not_pair_a_cluster_with_itself(spark):
+    """Two clusters in the list of a passage, of which one leads; two members are in no main part, one of them like one cluster."""
+    rng, how, n = random.Random(6), Similarity(), 1200
+    passage, own = list(range(100)), {c: list(range(1000 * c, 1000 * c + 100)) for c in (1, 2)}
+    sets = {}
+    for c in (1, 2):
+        for i in range(n):
+            sets[c * 10_000 + i] = sorted({*passage, *own[c]} - set(rng.sample(own[c], 2)) | {rng.randrange(10**6, 10**9) for _ in range(2)})
+    sets[90_001] = sorted({*passage, *own[2][:90], *range(5000, 5010)})
+    sets[90_002] = sorted({*passage, *range(6000, 6100)})
+    state = [(1, r, len(sets), r < 20_000) for r in sets] + [(2, r, n, True) for r in sets if 20_000 <= r < 90_000]
+    of_sets = spark.createDataFrame(list(sets.items()), "rep long, s array<long>")
+    members = of_sets.select("rep", F.slice(F.sort_array(F.transform("s", lambda x: F.xxhash64(x))), 1, 200).alias("sketch"))
+    found = near_dedup._by_rare_shingles(members, of_sets, spark.createDataFrame(state, "key long, rep long, rows long, main boolean"), how)
+    got = {(r.a, r.b) for r in found.collect()}
+    alike = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    one = set(sets[90_001])
+    assert got == {(r, 90_001) for r in sets if r < 90_000 and alike(one, set(sets[r]))} and got
+
+
 def test_awkward_rows_of_near_duplicates(docs):
     found = near_duplicates(docs(AWKWARD)).collect()
     assert len(found) == len(AWKWARD)

@@ -246,8 +246,9 @@ def _long_lists(of_members: DataFrame, sets: DataFrame, entries: DataFrame, list
 
 
 def _main_lists(state: DataFrame) -> DataFrame:
-    """(rep, mains): the lists in whose main part a member is; at most one per sketch value."""
-    return state.where("main").groupBy("rep").agg(F.collect_list("key").alias("mains"))
+    """(rep, mains, home): the lists in whose main part a member is, at most one per sketch value, and the longest of them."""
+    longest = F.max_by("key", F.struct("rows", "key"))
+    return state.where("main").groupBy("rep").agg(F.collect_list("key").alias("mains"), longest.alias("home"))
 
 
 def _by_rare_shingles(of_members: DataFrame, sets: DataFrame, state: DataFrame, how: Similarity) -> DataFrame:
@@ -256,7 +257,8 @@ def _by_rare_shingles(of_members: DataFrame, sets: DataFrame, state: DataFrame,
     With the shingles of each set in one order, rarest first, two sets at least p alike share one
     of the first n - ceil(p n) + 1 of each. At the first one shared, what is left of both bounds
     what they can have in common. A passage that all hold comes last, so sets that only
-    have it in common do not meet.
+    have it in common do not meet. Members at home in the main part of one list are connected already; those that hold a
+    shingle meet as groups first, so that a large cluster's own rare shingles do not pair it with itself.
     """
     outside = state.where("not main").select("key", "rep")
     members = state.join(outside.select("key").distinct(), "key", "left_semi").select("rep").distinct()
@@ -269,16 +271,21 @@ def _by_rare_shingles(of_members: DataFrame, sets: DataFrame, state: DataFrame,
     first = F.slice("s", 1, n - F.ceil(n * F.lit(how.percent) / 100).cast("int") + 1)
     heads = ordered.select("rep", n.alias("n"), F.posexplode(first).alias("pos", "e")).where("e.uses > 1")
     heads = heads.join(_main_lists(state), "rep", "left").select(
-        "rep", (F.col("n") - F.col("pos")).alias("left"), "n", "e.x", F.coalesce("mains", F.array().cast("array<long>")).alias("mains")
-    )
+        "rep", (F.col("n") - F.col("pos")).alias("left"), "n", "e.x", F.coalesce("mains", F.array().cast("array<long>")).alias("mains"),
+        F.struct(F.col("home").isNull().alias("alone"), F.coalesce("home", "rep").alias("id")).alias("home"),
+    )
     heads = stored(heads)
     open_ = heads.join(outside.select("rep").distinct(), "rep", "left_semi")
-    other = heads.select("x", *(F.col(c).alias(f"{c}_t") for c in ("rep", "n", "left", "mains")))
+    other = heads.select(*(F.col(c).alias(f"{c}_t") for c in ("x", "rep", "n", "left", "mains", "home")))
+    groups = other.select("x_t", "home_t").distinct()
+    strangers = open_.select("x", "home").distinct().join(groups, (F.col("x") == F.col("x_t")) & (F.col("home") != F.col("home_t")))
     apart = (F.col("rep") != F.col("rep_t")) & ~F.arrays_overlap("mains", "mains_t")
     enough = F.least("left", "left_t") * (100 + how.percent) >= (F.col("n") + F.col("n_t")) * how.percent
-    met = open_.join(
-        other, (open_["x"] == other["x"]) & apart & _in_reach(F.col("n"), F.col("n_t"), how.percent) & enough
-    ).select(F.least("rep", "rep_t").alias("a"), F.greatest("rep", "rep_t").alias("b")).distinct()
+    met = open_.join(strangers.drop("x_t"), ["x", "home"]).join(
+        other.withColumnRenamed("x_t", "x"), ["x", "home_t"]
+    ).where(apart & _in_reach(F.col("n"), F.col("n_t"), how.percent) & enough).select(
+        F.least("rep", "rep_t").alias("a"), F.greatest("rep", "rep_t").alias("b")
+    ).distinct()
     return _confirmed(_likely(of_members, met, how), sets, how)
 
 
