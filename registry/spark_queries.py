@@ -28,7 +28,7 @@ from tidemark.operators import (
     splits,
     vocab,
 )
-from tidemark.operators.storage import shared_folder, stored
+from tidemark.operators.storage import packed, shared_folder, stored
 from tidemark.plans import derived_inputs as inputs
 from tidemark.plans import examples, item2vec, lifecycle, training
 from tidemark.sources import bundle, impressions, sinks
@@ -988,7 +988,7 @@ WHOLE = bundle.Transform(
 @query
 def train_and_evaluate(spark, sf):
     """Every group of the layout and its sequence: one-hot, hashed, pooled and scaled columns."""
-    log = stored(inputs.whole_log(spark, sf))
+    log = packed(inputs.whole_log(spark, sf))
     _, result = lifecycle.train_design(log, inputs.LAYOUT, WHOLE, valid_ratio=0.2, maxIter=500, regParam=0.01)
     return rounded(result, "auc", "logloss")
 
@@ -996,7 +996,7 @@ def train_and_evaluate(spark, sf):
 @query
 def predict_as_trained(spark, sf):
     """Whether a bundle that was saved and loaded scores each row as the trained model in memory does."""
-    log = stored(inputs.whole_log(spark, sf, with_position=True))
+    log = packed(inputs.whole_log(spark, sf, with_position=True))
     trained = lifecycle.fit_design(log, inputs.LAYOUT, WHOLE, maxIter=500, regParam=0.01)
     path = scratch(spark)
     trained.save(path, inputs.schema_text(spark, sf).first()["value"])

@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tidemark.operators import design
+from tidemark.operators import design, storage
 from tidemark.plans import lifecycle
 from tidemark.schema import FeatureLayout, SequenceDomain
 from tidemark.sources import bundle
@@ -104,6 +104,16 @@ def test_design_rows_agree_with_brute_force(spark, threshold, buckets):
         assert got.get(dense_from, 0) == r["id"] % 6
 
 
+def test_stored_examples_are_not_padded(spark):
+    how = bundle.Transform(calendar=False, history=False, scaling="none")
+    raw = storage.packed(lifecycle._raw_examples(log_of(spark), LAYOUT, how, ("id",), True))
+    assert raw.count() == 400
+    for r in raw.collect():
+        assert r["seq_a_len"] == min(6, r["id"] % 9)
+        assert len(r["seq_a"]["seq_a_38"]) == len(r["seq_a"]["seq_a_39"]) == r["seq_a_len"]
+    assert not {"seq_a_time_bucket", "seq_a_time_feats"} & set(raw.columns)
+
+
 def test_saved_transform_repeats_training(spark, tmp_path):
     log = log_of(spark)
     how = bundle.Transform(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,3 +23,15 @@ def stored(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """``df`` written as compressed columns in the shared folder and read back.
+
+    For tables of whole examples: a checkpoint would keep their lists as they lie in memory,
+    many times as large.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/packed-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -16,7 +16,7 @@ from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.storage import stored
+from tidemark.operators.storage import packed, stored
 from tidemark.operators.vocab import dense_ids, limit_sentences, sentences, top_k_vocab
 
 
@@ -73,7 +73,7 @@ def fit_item2vec_many(
         if max_sentences is not None:
             rows = limit_sentences(rows, max_sentences)
         parts.append(rows.select(F.lit(f"{name}_{fid}").alias("feature"), "tokens"))
-    rows = stored(reduce(DataFrame.unionByName, parts))
+    rows = packed(reduce(DataFrame.unionByName, parts))
     counts = rows.select("feature", F.explode("tokens").alias("token")).groupBy("feature", "token")
     counts = stored(counts.agg(F.count("*").alias("cnt")).where(F.col("cnt") >= min_count))
 

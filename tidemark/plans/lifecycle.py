@@ -17,11 +17,11 @@ from tidemark.operators.item_history import item_history
 from tidemark.operators.metrics import evaluate
 from tidemark.operators.pooling import embed_mean_pool, sequence_mean_pool
 from tidemark.operators.splits import time_cutoff
-from tidemark.operators.storage import stored
+from tidemark.operators.storage import packed, stored
 from tidemark.plans.examples import build_examples
 from tidemark.plans.item2vec import fit_item2vec_many
 from tidemark.plans.training import fit_classifier, score
-from tidemark.schema import FeatureLayout
+from tidemark.schema import FeatureLayout, SequenceDomain
 from tidemark.sources.bundle import Bundle, Transform, save_bundle
 
 
@@ -66,13 +66,26 @@ def _blocks(rows: DataFrame, layout: FeatureLayout, how: Transform) -> tuple[Blo
     )
 
 
+def _unpadded(domain: SequenceDomain) -> Column:
+    """The id lists of a domain, each up to the domain's length."""
+    names = [domain.column(fid) for fid, _ in domain.fields]
+    lists = [F.slice(F.col(f"{domain.name}.{n}"), F.lit(1), F.col(f"{domain.name}_len")).alias(n) for n in names]
+    return F.struct(*lists).alias(domain.name)
+
+
 def _raw_examples(rows: DataFrame, layout: FeatureLayout, how: Transform, keep: Sequence[str], training: bool) -> DataFrame:
-    """Examples whose user values are not scaled yet, with their presence."""
+    """Examples whose user values are not scaled yet, with their presence.
+
+    Sequences keep the fields the design reads, up to their length: rows are stored and shuffled without padding.
+    """
     history = item_history(rows) if how.history else None
     keep = tuple(dict.fromkeys([*keep, *how.key]))
-    return build_examples(
+    examples = build_examples(
         rows, layout, history, training, how.calendar, keep, how.tz_hours, how.holidays, presence=True
     )
+    groups = ("user_int", "item_int", "user_dense", "item_dense")
+    sequences = [c for d in layout.domains for c in (_unpadded(d), F.col(f"{d.name}_len"))]
+    return examples.select(*keep, "label", *[f"{g}_feats" for g in groups], "user_dense_presence", *sequences)
 
 
 def _branched(group: str, layout: FeatureLayout, branches) -> Column:
@@ -136,7 +149,7 @@ def design_rows(
     """``keep``, ``label`` and the sparse ``features`` of every row, by a transform that is fixed already."""
     blocks, raw = _blocks(rows, layout, how), _raw_examples(rows, layout, how, keep, training)
     if pooled_blocks(blocks):
-        raw = stored(raw)  # read for the lists and again for the rows
+        raw = packed(raw)  # read for the lists and again for the rows
     return _designed(raw, layout, how, blocks, stats, vectors, [*keep, "label"])
 
 
@@ -178,7 +191,7 @@ def fit_design(
             for b in wanted.values()
         ]
         vectors = stored(fit_item2vec_many(rows, specs, dim=how.vector_dim))
-    raw = stored(_raw_examples(rows, layout, how, (), True))
+    raw = packed(_raw_examples(rows, layout, how, (), True))
     stats = None
     if how.scaling == "zscore" and (n := layout.total_dim("user_dense")):
         own = raw.select(F.slice("user_dense_feats", 1, n).alias("v"), F.col("user_dense_presence").alias("p"))
