@@ -57,6 +57,20 @@ def test_item_history_brute_force(spark):
     assert got[8][3] == 1.0 and got[8][10] == 0.0
 
 
+def test_item_history_of_many_groups(spark, monkeypatch):
+    rnd = random.Random(3)
+    log = [(rnd.randrange(40), rnd.randrange(10**6)) for _ in range(900)]
+    df = spark.createDataFrame(log, "item_id bigint, timestamp bigint")
+    monkeypatch.setattr(item_history, "GROUPS_PER_TASK", 30)
+    hours = item_history._hour_rows(df, 900)
+    assert hours.rdd.getNumPartitions() == 30  # the session has 8
+    got = {r.item_id: [r[n] for n in ITEM_HISTORY_NAMES] for r in item_history.item_history(df).collect()}
+    want = history_rows(log)
+    assert got.keys() == want.keys()
+    for item in want:
+        assert got[item] == pytest.approx(want[item], abs=1e-9), item
+
+
 def test_item_history_range_and_empty(spark):
     log = [(1, 10), (1, 20), (2, 30), (2, 40)]
     df = spark.createDataFrame(log, "item_id bigint, timestamp bigint")

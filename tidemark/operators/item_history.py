@@ -3,23 +3,26 @@
 The chain is three aggregations, each decomposable and combined map-side:
 (item, hour) -> (item, day) -> item. Hour rows carry all that days and items need, so
 the log is shuffled once as counts, there is no join, and a hot item shrinks to one row
-per hour before it moves. Buckets are UTC.
+per hour before it moves. A log whose rows hardly share hours, too many for the session's
+partitions, is dealt by item and day over more of them instead. Buckets are UTC.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tidemark.fixed_values import ITEM_HISTORY_NAMES, TRAILING_HOURS
 from tidemark.functions.maths import log1p_nonneg, safe_ratio
 from tidemark.functions.timefeat import floor_div
 from tidemark.operators.filters import filter_time_range
-from tidemark.operators.lookups import counted_lookup
+from tidemark.operators.lookups import counted_lookup, shuffle_partitions
 
 
 # An item with its values in an executor's hash table.
 HISTORY_ROW_BYTES = 200
+# Groups of one aggregation that a task holds, some 100 bytes each.
+GROUPS_PER_TASK = 200_000
 
 
 def last_timestamp(df: DataFrame) -> Column:
@@ -34,15 +37,39 @@ def _with_last(hours: DataFrame, max_ts: Column) -> DataFrame:
     )
 
 
-def item_hour_counts(df: DataFrame) -> DataFrame:
-    """Rows, first and last time per (item, hour)."""
-    return df.groupBy("item_id", floor_div(F.col("timestamp"), 3600).alias("hour")).agg(
+def _measured(log: DataFrame) -> Row:
+    """About how many hour rows and items the log has, and its newest time, in one pass."""
+    hour = floor_div(F.col("timestamp"), 3600)
+    return log.agg(
+        F.approx_count_distinct(F.xxhash64("item_id", hour)).alias("hours"),
+        F.approx_count_distinct("item_id").alias("items"),
+        F.max("timestamp").alias("newest"),
+    ).first()
+
+
+def _dealt(df: DataFrame, groups: int, *keys: str) -> DataFrame:
+    """``df`` by its keys over as many tasks as the groups ask for, if the session has too few."""
+    tasks = -(-groups // GROUPS_PER_TASK)
+    return df.repartition(tasks, *keys) if tasks > shuffle_partitions(df) else df
+
+
+def _hour_rows(df: DataFrame, groups: int) -> DataFrame:
+    """``item_hour_counts`` with the day; later aggregations by item and day find the rows in place."""
+    ts = F.col("timestamp")
+    log = df.select("item_id", "timestamp", floor_div(ts, 86400).alias("day"))
+    return _dealt(log, groups, "item_id", "day").groupBy("item_id", "day", floor_div(ts, 3600).alias("hour")).agg(
         F.count("*").alias("cnt"),
         F.min("timestamp").alias("first_ts"),
         F.max("timestamp").alias("last_ts"),
     )
 
 
+def item_hour_counts(df: DataFrame) -> DataFrame:
+    """Rows, first and last time per (item, hour)."""
+    log = df.select("item_id", "timestamp")
+    return _hour_rows(log, _measured(log)["hours"]).drop("day")
+
+
 def item_day_counts(df: DataFrame) -> DataFrame:
     """Rows and active hours per (item, day), from the hour counts."""
     hours = item_hour_counts(df)
@@ -136,15 +163,15 @@ def item_history(
     """The twelve-feature table, one row per item; an empty log gives an empty table.
 
     ``as_of`` is the time the trailing windows end at. By default it is the newest
-    timestamp, taken from the hour counts, whose shuffle both uses share.
+    timestamp, taken in the pass over the log that also estimates its groups.
     """
     log = df.select("item_id", "timestamp")
     if time_range is not None:
         log = filter_time_range(log, *time_range)
-    counts = item_hour_counts(log)
-    newest = counts.agg(F.max("last_ts").alias("t")).scalar()
-    hours = _with_last(counts, newest if as_of is None else as_of)
-    days = hours.groupBy("item_id", floor_div(F.col("hour"), 24).alias("day")).agg(
+    size = _measured(log)
+    newest = F.lit(size["newest"]).cast(log.schema["timestamp"].dataType)
+    hours = _with_last(_hour_rows(log, size["hours"]), newest if as_of is None else as_of)
+    days = hours.groupBy("item_id", "day").agg(
         F.sum("cnt").alias("cnt"),
         F.count("*").alias("hours"),
         F.max("cnt").alias("peak"),
@@ -154,7 +181,7 @@ def item_history(
         F.max("max_ts").alias("max_ts"),
         *[_trailing(w).alias(f"cnt_{w}h") for w in TRAILING_HOURS],
     )
-    items = days.groupBy("item_id").agg(
+    items = _dealt(days, size["items"], "item_id").groupBy("item_id").agg(
         F.sum("cnt").alias("cnt"),
         F.sum("hours").alias("hours"),
         F.count("*").alias("days"),
