@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.fixed_values import ITEM_HISTORY_NAMES
 from tidemark.functions.arrays import pad_float_list_with_presence
 from tidemark.operators import chunks, dense, filters, item_history, lookups, pooling, ranking, splits, vocab
+from tidemark.plans import histories
 from tidemark.plans.histories import build_histories
 from tidemark.schema import FeatureLayout, SequenceDomain
 from tidemark.sources.impressions import read_impressions, union_files
@@ -407,3 +408,13 @@ def test_histories_brute_force(spark, max_len):
             seen = own[max(0, i - max_len):i][::-1]
             want[e[0]] = (user, e[3], [s[3] for s in seen], [s[2] for s in seen])
     assert {r.event_id: (r.user_id, r.x, r.xs, r.ts) for r in out.collect()} == want
+
+
+def test_tasks_of_histories_grow_in_number(spark, monkeypatch):
+    monkeypatch.setattr(histories, "EVENTS_PER_TASK", 10, raising=False)
+    df = spark.range(300).select(
+        F.col("id").alias("event_id"), (F.col("id") % 7).alias("user_id"), F.col("id").alias("timestamp")
+    )
+    out = build_histories(df, {"ts": F.col("timestamp")}, ["event_id"], max_len=4)
+    assert out.rdd.getNumPartitions() == 30  # the session has 8
+    assert out.count() == 300

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.timefeat import floor_div
 
+# Events whose lists one task unfolds.
+EVENTS_PER_TASK = 10_000
+
 
 def build_histories(
     events: DataFrame,
@@ -60,8 +63,10 @@ def build_histories(
     is_own = F.col("_run") == F.col("_at")
     entry = F.struct("_rank", "_seen", F.when(is_own, F.col("_own")).alias("_own"))
     # The number of partitions is given: narrow events unfold into long lists here, so
-    # partitions merged by the size of their input would make overlong tasks.
-    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # partitions merged by the size of their input would make overlong tasks. It grows
+    # with the events, counted once, and so a task does not.
+    least = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, -(-events.count() // EVENTS_PER_TASK))
     runs = copies.repartition(parts, user, "_run").groupBy(user, "_run").agg(
         F.sort_array(F.collect_list(entry), asc=False).alias("_entries"),
         F.count_if(is_own).cast("int").alias("_n"),
