@@ -155,6 +155,16 @@ def test_hot_rows_are_spread(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_lookup_of_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(lookups, "ROWS_PER_TASK", 50, raising=False)
+    rows = [(i, None if i % 9 == 0 else 1 if i % 2 else i % 40) for i in range(600)]
+    df = spark.createDataFrame(rows, "r long, k long")
+    table = spark.createDataFrame([(k, k * 10) for k in range(1, 30)], "k long, v long")
+    out = lookups.left_lookup(df, table, "k", {"v": F.lit(-1).cast("long")})
+    assert out.rdd.getNumPartitions() == 12  # the session has 8
+    assert {r.r: r.v for r in out.collect()} == {r: k * 10 if k and k < 30 else -1 for r, k in rows}
+
+
 def test_heavy_keys_are_few(spark):
     df = spark.createDataFrame([(1,)] * 50 + [(2,)] * 30 + [(i,) for i in range(3, 23)], "k int")
     assert {r.k for r in lookups.heavy_keys(df, "k", 0.25).collect()} == {1, 2}

@@ -14,6 +14,8 @@ from tidemark.operators.storage import stored
 HEAVY_FRACTION = 0.5
 # So many salts that hashing them to partitions leaves no partition far above the mean.
 SALTS_PER_PARTITION = 32
+# Rows of one partition of a shuffled lookup, above the session's number of partitions.
+ROWS_PER_TASK = 1_000_000
 # A table whose counted rows take no more than this is sent to every executor.
 SENT_BYTES = 64 << 20
 
@@ -56,10 +58,12 @@ def left_lookup(
     broadcast of the at most ``1/share`` heavy table rows and are spread over all
     partitions by a salt instead of meeting in one. By default a key is heavy from half a partition's fair
     share on, so that broadcast is twice as many rows as there are partitions. Adaptive
-    execution makes it a broadcast join where the measured table is small.
+    execution makes it a broadcast join where the measured table is small. The rows are counted first:
+    too many for the session's partitions are dealt over more.
     """
     names = list(fills)
-    partitions = shuffle_partitions(df)
+    tasks = -(-df.count() // ROWS_PER_TASK)
+    partitions = max(tasks, shuffle_partitions(df))
     # Null keys never match. Saying so here keeps both uses of the table below the same
     # plan, so that its shuffles are reused.
     table = table.select(key, *names).where(F.col(key).isNotNull())
@@ -83,6 +87,8 @@ def left_lookup(
     # the salted rows would meet in one task after all. A hash is never null, so no null
     # check of it is pushed into the plan of the table.
     plain = table.withColumn("_salt", F.xxhash64(key).bitwiseAND(F.lit(0).cast("long")))
+    if tasks > shuffle_partitions(df):
+        spread, plain = (side.repartition(tasks, key, "_salt") for side in (spread, plain))
     joined = spread.join(plain.withColumn("_found_", F.lit(True)), [key, "_salt"], "left")
     return joined.select(
         *df.columns,
