@@ -89,6 +89,44 @@ def test_rare_shingles_do_not_pair_a_cluster_with_itself(spark):
     assert got == {(r, 90_001) for r in sets if r < 90_000 and alike(one, set(sets[r]))} and got
 
 
+def rows_of_joins(df):
+    """The rows that each join of an executed query made."""
+    made, plans = [], [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        name = plan.nodeName()
+        if name == "AdaptiveSparkPlan":
+            plans.append(plan.executedPlan())
+        elif name.endswith("QueryStage"):
+            plans.append(plan.plan())
+        else:
+            made += [plan.metrics().apply("numOutputRows").value()] if "Join" in name else []
+            plans += [plan.children().apply(k) for k in range(plan.children().size())]
+    return made
+
+
+def test_common_shingles_late_in_a_prefix_do_not_pair_a_group(spark):
+    """Far copies of one text, in no main part: what they share is late in their rarest fifths; a few have a near copy of another size."""
+    rng, how, base, n = random.Random(8), Similarity(), range(120), 400
+    unique = iter(range(1000, 10**6))
+    sets = {1: sorted(base)}
+    for i in range(n):
+        sets[100 + i] = sorted(set(base) - set(rng.sample(base, 20)) | {next(unique) for _ in range(20)})
+    for i in range(0, n, 40):
+        one = rng.sample(sets[100 + i], 120 - i // 40 * 3)
+        sets[1000 + i] = sorted(one if i % 80 else {*sets[100 + i], *(next(unique) for _ in range(i // 40 * 3))})
+    state = spark.createDataFrame([(1, r, len(sets), r == 1) for r in sets], "key long, rep long, rows long, main boolean")
+    of_sets = spark.createDataFrame(list(sets.items()), "rep long, s array<long>")
+    members = of_sets.select("rep", F.slice(F.sort_array(F.transform("s", lambda x: F.xxhash64(x))), 1, 200).alias("sketch"))
+    found = near_dedup._by_rare_shingles(members, of_sets, state, how)
+    got = {(r.a, r.b) for r in found.collect()}
+    full = {r: set(s) for r, s in sets.items()}
+    alike = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    assert got == {(a, b) for a in full for b in full if a < b and alike(full[a], full[b])} and len(got) >= 5
+    made = rows_of_joins(found)
+    assert made and max(made) <= 30 * len(sets)
+
+
 def test_awkward_rows_of_near_duplicates(docs):
     found = near_duplicates(docs(AWKWARD)).collect()
     assert len(found) == len(AWKWARD)

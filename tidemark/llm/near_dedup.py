@@ -256,8 +256,10 @@ def _by_rare_shingles(of_members: DataFrame, sets: DataFrame, state: DataFrame,
 
     With the shingles of each set in one order, rarest first, two sets at least p alike share one
     of the first n - ceil(p n) + 1 of each. At the first one shared, what is left of both bounds
-    what they can have in common. A passage that all hold comes last, so sets that only
-    have it in common do not meet. Members at home in the main part of one list are connected already; those that hold a
+    what they can have in common, and so how large a partner may be (`room`). A shingle far back
+    serves for smaller partners only, so members meet by shingle and class of size, if both have
+    room for each other. A passage that all hold comes last, so sets that only have it in common do
+    not meet. Members at home in the main part of one list are connected already; those that hold a
     shingle meet as groups first, so that a large cluster's own rare shingles do not pair it with itself.
     """
     outside = state.where("not main").select("key", "rep")
@@ -267,28 +269,37 @@ def _by_rare_shingles(of_members: DataFrame, sets: DataFrame, state: DataFrame,
     ordered = each.join(uses, "x", "left").groupBy("rep").agg(
         F.sort_array(F.collect_list(F.struct(F.coalesce("uses", F.lit(1)).alias("uses"), "x"))).alias("s")
     )
-    n = F.size("s")
-    first = F.slice("s", 1, n - F.ceil(n * F.lit(how.percent) / 100).cast("int") + 1)
+    n, p = F.size("s"), F.lit(how.percent)
+    first = F.slice("s", 1, n - F.ceil(n * p / 100).cast("int") + 1)
     heads = ordered.select("rep", n.alias("n"), F.posexplode(first).alias("pos", "e")).where("e.uses > 1")
+    room = F.floor((F.col("n") - F.col("pos")) * (p + 100) / p) - F.col("n")
     heads = heads.join(_main_lists(state), "rep", "left").select(
-        "rep", (F.col("n") - F.col("pos")).alias("left"), "n", "e.x", F.coalesce("mains", F.array().cast("array<long>")).alias("mains"),
+        "rep", "n", room.alias("room"), "e.x", F.coalesce("mains", F.array().cast("array<long>")).alias("mains"),
         F.struct(F.col("home").isNull().alias("alone"), F.coalesce("home", "rep").alias("id")).alias("home"),
     )
     heads = stored(heads)
-    open_ = heads.join(outside.select("rep").distinct(), "rep", "left_semi")
-    other = heads.select(*(F.col(c).alias(f"{c}_t") for c in ("x", "rep", "n", "left", "mains", "home")))
-    groups = other.select("x_t", "home_t").distinct()
-    strangers = open_.select("x", "home").distinct().join(groups, (F.col("x") == F.col("x_t")) & (F.col("home") != F.col("home_t")))
+    low, high = F.ceil(F.col("n") * p / 100), F.least("room", F.floor(F.col("n") * 100 / p))
+    classes = F.when(low <= high, F.sequence(_size_class(low), _size_class(high)))
+    open_ = heads.join(outside.select("rep").distinct(), "rep", "left_semi").withColumn("class", F.explode(classes))
+    other = heads.select("x", _size_class(F.col("n")).alias("class"), *(F.col(c).alias(f"{c}_t") for c in ("rep", "n", "room", "mains", "home")))
+    groups = other.groupBy("x", "class", "home_t").agg(F.min("n_t").alias("least_t"), F.max("room_t").alias("most_t"))
+    asking = open_.groupBy("x", "class", "home").agg(F.min("n").alias("least"), F.max("room").alias("most"))
+    strangers = asking.join(groups, ["x", "class"]).where("home <> home_t and least <= most_t and least_t <= most").drop("least", "most")
     apart = (F.col("rep") != F.col("rep_t")) & ~F.arrays_overlap("mains", "mains_t")
-    enough = F.least("left", "left_t") * (100 + how.percent) >= (F.col("n") + F.col("n_t")) * how.percent
-    met = open_.join(strangers.drop("x_t"), ["x", "home"]).join(
-        other.withColumnRenamed("x_t", "x"), ["x", "home_t"]
-    ).where(apart & _in_reach(F.col("n"), F.col("n_t"), how.percent) & enough).select(
-        F.least("rep", "rep_t").alias("a"), F.greatest("rep", "rep_t").alias("b")
-    ).distinct()
+    met = (
+        open_.join(strangers, ["x", "class", "home"]).where("n <= most_t and least_t <= room")
+        .join(other, ["x", "class", "home_t"])
+        .where(apart & _in_reach(F.col("n"), F.col("n_t"), how.percent) & F.expr("n <= room_t and n_t <= room"))
+        .select(F.least("rep", "rep_t").alias("a"), F.greatest("rep", "rep_t").alias("b")).distinct()
+    )
     return _confirmed(_likely(of_members, met, how), sets, how)
 
 
+def _size_class(n: Column) -> Column:
+    """Sizes within some 5 percent of each other share a class; larger sizes have no lower one."""
+    return F.floor(F.log(n) * 20).cast("int")
+
+
 def near_duplicates(documents: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of `documents`.
 
