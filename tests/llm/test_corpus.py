@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.conftest import AWKWARD, sentence
-from tidemark.llm import lm_score, mixing, packing
+from tidemark.llm import common, lm_score, mixing, near_dedup, packing, toxicity
 from tidemark.llm.mixing import Mixture
 from tidemark.llm.packing import Capacity
 
@@ -199,6 +199,54 @@ def test_awkward_rows_of_scoring(docs):
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 for r in only)
 
 
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+TEXTS_TO_PYTHON = {
+    "scores": lambda d: toxicity.drop_toxic(d, toxicity.ToxicityModel({}, 0.0)),
+    "labelled": lambda d: toxicity.labelled_sample(d, d.selectExpr("doc_id", "true as toxic"), 10),
+    "sketches": lambda d: near_dedup.sketches(d, near_dedup.Similarity()),
+    "pieces": lambda d: packing.tokenized_pieces(d, 1024, "", "", 2),
+}
+
+
+@pytest.mark.parametrize("name", TEXTS_TO_PYTHON)
+def test_texts_go_to_python_in_short_batches(spark, docs, name):
+    rows = docs([(k, "x" * 10_000) for k in range(1_200)], 1)
+
+    def sizes(batches):
+        for b in batches:
+            yield common.table({"n": [b.num_rows], "bytes": [b.nbytes]})
+
+    def seen():
+        return rows.select("doc_id", "text").mapInArrow(sizes, "n long, bytes long").collect()
+
+    spark.conf.unset(BATCH_LIMIT)
+    try:
+        TEXTS_TO_PYTHON[name](rows)
+        found = seen()
+        assert sum(r["n"] for r in found) == 1_200
+        assert max(r["bytes"] for r in found) < common.BATCH_BYTES + 20_000
+        spark.conf.set(BATCH_LIMIT, "1m")  # a session's own limit holds
+        TEXTS_TO_PYTHON[name](rows)
+        assert spark.conf.get(BATCH_LIMIT) == "1m"
+        assert max(r["bytes"] for r in seen()) < (1 << 20) + 20_000
+    finally:
+        spark.conf.unset(BATCH_LIMIT)
+
+
+def test_scores_do_not_depend_on_batches(spark, docs):
+    rows = docs([*AWKWARD, *((k, sentence(30, k)) for k in range(100, 160))])
+    model = toxicity.ToxicityModel({"=the" + str(k): 0.1 * k for k in range(97)} | {"<qui": -0.7, "<bri": 0.4}, -0.2)
+    try:
+        spark.conf.set(BATCH_LIMIT, str(1 << 30))
+        whole = toxicity.score_toxicity(rows, model).collect()
+        spark.conf.set(BATCH_LIMIT, "1k")
+        cut = toxicity.score_toxicity(rows, model).collect()
+    finally:
+        spark.conf.unset(BATCH_LIMIT)
+    assert sorted(map(str, whole)) == sorted(map(str, cut))
+    assert len({r["score"] for r in whole}) > 10
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     """Clean documents pass every stage; toxic ones and near copies do not; what is left is packed whole."""
     rows, labels = [], []

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+#: Bytes of an Arrow batch with texts. Spark's own limit of 10,000 rows makes batches of 35 MB and more, which a task
+#: holds on both sides of the pipe, and twice while a buffer grows; that memory is outside the heap and stays.
+BATCH_BYTES = 4 << 20
 #: Distinct words a task keeps hashed before it starts anew; bounds a Python worker's memory.
 CACHE_WORDS = 100_000
 
@@ -35,6 +38,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_short_batches(df: DataFrame) -> DataFrame:
+    """`df`, whose session from now on sends texts to Python `BATCH_BYTES` at a time, where it has no limit of its own."""
+    conf, limit = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(limit, None) is None:
+        conf.set(limit, str(BATCH_BYTES))
+    return df
+
+
 #: Ids that may be sent to every executor, some 20 MB; more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, Batches, WordHashes, as_binary, lists, mixed, sent_if_few, stored, table
+from tidemark.llm.common import U64, Batches, WordHashes, as_binary, in_short_batches, lists, mixed, sent_if_few, stored, table
 from tidemark.llm.components import connected_components
 
 
@@ -69,7 +69,7 @@ def _sketch_rows(words: int, size: int):
 
 def sketches(documents: DataFrame, how: Similarity) -> DataFrame:
     """(doc_id, n, whole, sketch): set size, 128-bit hash of the set, its smallest hashes in order."""
-    return documents.select("doc_id", "text").mapInArrow(
+    return in_short_batches(documents).select("doc_id", "text").mapInArrow(
         _sketch_rows(how.words, how.sketch), "doc_id long, n long, whole binary, sketch array<long>"
     )
 
@@ -129,7 +129,7 @@ def similar_links(documents: DataFrame, classes: DataFrame, how: Similarity) ->
     # The full sets of all that may be compared are made again from the texts, in one pass.
     needed = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(long.select(F.col("rep").alias("doc_id")))
     needed = sent_if_few(stored(needed.distinct()))
-    texts = documents.select("doc_id", "text").join(needed, "doc_id", "left_semi")
+    texts = in_short_batches(documents).select("doc_id", "text").join(needed, "doc_id", "left_semi")
     sets = stored(texts.mapInArrow(_full_sets(how.words), "rep long, s array<long>").dropDuplicates(["rep"]))
 
     found = _confirmed(likely, sets, how)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.common import Batches, table
+from tidemark.llm.common import Batches, in_short_batches, table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -94,7 +94,7 @@ def tokenized_pieces(documents: DataFrame, limit: int, tokenizer: str, ranks: st
                      "length": pa.array(d, pa.int64()), "ids_crc32": pa.array(e, pa.int64())}
                 )
 
-    return documents.select("doc_id", "text").mapInArrow(rows, PIECES)
+    return in_short_batches(documents).select("doc_id", "text").mapInArrow(rows, PIECES)
 
 
 def best_fit(lengths: np.ndarray, limit: Capacity) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import sampled, slot
+from tidemark.llm.common import in_short_batches, sampled, slot
 
 #: Groups of identity terms; the terms of a group are swapped for one another.
 IDENTITY_TERMS = (
@@ -56,13 +56,15 @@ class ToxicityModel:
         spark_weights, bias = self.weights, self.bias
 
         @F.pandas_udf(T.DoubleType())
-        def probability(texts: pd.Series) -> pd.Series:
-            known, logits = _WordWeights(spark_weights), []
-            for text in texts:
-                if len(known) > SCORED_WORDS:
-                    known.clear()
-                logits.append(bias + sum(sorted(filter(None, map(known.__getitem__, distinct_words(text))))))
-            return pd.Series(1.0 / (1.0 + np.exp(-np.clip(np.array(logits, float), -500, 500))))
+        def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            known = _WordWeights(spark_weights)
+            for texts in batches:
+                logits = []
+                for text in texts:
+                    if len(known) > SCORED_WORDS:
+                        known.clear()
+                    logits.append(bias + sum(sorted(filter(None, map(known.__getitem__, distinct_words(text))))))
+                yield pd.Series(1.0 / (1.0 + np.exp(-np.clip(np.array(logits, float), -500, 500))))
 
         return probability(F.coalesce(text, F.lit("")))
 
@@ -92,7 +94,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, max_rows: int) -> D
     )
     chosen = sampled(known, F.xxhash64("__id"), max_rows)
     # Bounded by max_rows narrow rows, so every executor may hold them.
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select(
+    return in_short_batches(documents).select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic"
     ).dropDuplicates(["doc_id", "text"])
 
@@ -259,11 +261,11 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel) -> DataFrame:
     and repeated rows stay. Other columns are ignored, whatever their names.
     """
     score = model.score(F.col("text"))
-    return documents.select("doc_id", "text").select(
+    return in_short_batches(documents).select("doc_id", "text").select(
         "doc_id", (slot(F.col("doc_id"), 5) == 0).alias("held_out"), score.alias("score")
     ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(documents: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
     """The rows of `documents`, with all their columns, whose score is below `threshold`."""
-    return documents.where(model.score(F.col("text")) < threshold)
+    return in_short_batches(documents).where(model.score(F.col("text")) < threshold)
