@@ -199,3 +199,12 @@ def test_groups(one):
     assert one(group_ids(v, layout, "user_int", {"g": [3, 1]}))["g"] == [2, 3, 4]
     with pytest.raises(ValueError):
         plan_groups(layout, "user_int", {"g": [8]})
+
+
+def test_short_and_long_lists_are_padded_alike(spark, monkeypatch):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([([1.5, nan, inf, -inf, None, -0.25],), ([],), (None,), ([2.0] * 9,)], "v array<float>")
+    short = df.select(*arrays.pad_float_list_with_presence(F.col("v"), 6)).collect()
+    assert [list(x) for x in short[0]] == [[1.5, 0.0, 0.0, 0.0, 0.0, -0.25], [1.0, 0.0, 0.0, 0.0, 0.0, 1.0]]
+    monkeypatch.setattr(arrays, "UNROLLED", 0)
+    assert df.select(*arrays.pad_float_list_with_presence(F.col("v"), 6)).collect() == short

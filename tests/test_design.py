@@ -151,3 +151,57 @@ def test_no_executor_runs_python(spark):
     rows = lifecycle.design_rows(log_of(spark), LAYOUT, bundle.Transform(scaling="none"), keep=("id",))
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_designs_are_stored_as_vectors(spark):
+    how = bundle.Transform(calendar=False, history=False, scaling="none", hash_threshold=20, hash_buckets=5)
+    rows = lifecycle.design_rows(log_of(spark), LAYOUT, how, keep=("id",))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and "transform(" not in plan  # nothing of the design is made again by a reader
+    assert rows.schema["features"].dataType.typeName() == "vectorudt"
+
+
+def test_stored_vectors_are_those_of_the_columns(spark):
+    layout = FeatureLayout(()).with_features("user_dense", [(1, 3, 0), (2, 140, 0)])
+    blocks = design.plan_design(spark, layout)
+    values = F.transform(F.sequence(F.lit(0), F.lit(142)), lambda i: F.when((i + F.col("id")) % 3 > 0, 1 / (i + F.col("id"))).otherwise(0.0))
+    df = spark.range(5).withColumn("user_dense_feats", values)
+    lazy = design.design_vectors(df, layout, blocks, 8, ["id"]).orderBy("id").collect()
+    assert design.stored_design(df, layout, blocks, 8, ["id"]).orderBy("id").collect() == lazy
+    for r in lazy:
+        want = {i: 1 / (i + r["id"]) for i in range(143) if (i + r["id"]) % 3}
+        assert dict(zip(r["features"].indices.tolist(), r["features"].values.tolist(), strict=True)) == want
+
+
+def test_short_dense_blocks_are_as_long_ones(spark):
+    rows = [([0.0, 2.5, -1.0],), ([0.0, 0.0, 0.0],), (None,), ([float("nan"), 1e-300, -0.0],)]
+    df = spark.createDataFrame(rows, "v array<double>")
+    short, long = (design._dense_entries(F.col("v"), 7, n).alias(f"n{n}") for n in (3, 200))
+    for r in df.select(short, long).collect():
+        assert repr(r["n3"]) == repr(r["n200"] or [])
+
+
+def test_pooled_means_with_and_without_a_join(spark):
+    """A repeated key takes the way of the join; a null key has no row on either way."""
+    how = bundle.Transform(
+        calendar=False, history=False, scaling="none", hash_threshold=60, hash_buckets=7,
+        word2vec=(("seq_a", 38), ("user_int", 3)), vector_dim=3, key=("id",),
+    )
+    vectors = spark.createDataFrame(
+        [(f, k, [k / 3, -k / 7, 1.0]) for f in ("seq_a_38", "user_int_3") for k in range(1, 52) if k % 4], "feature string, raw_id long, vector array<double>"
+    )
+    log = log_of(spark).withColumn("id", F.when(F.col("id") != 11, F.col("id")))
+    offsets = {b.group: b.offset for b in design.plan_design(spark, LAYOUT, 60, 7, how.word2vec, 3)  if b.route == "word2vec"}
+    found = []
+    for more in (0, 1):
+        doubled = log.unionByName(log.where("id = 20")) if more else log
+        rows = lifecycle.design_rows(doubled, LAYOUT, how, vectors=vectors, keep=("id",)).select("id", vector_to_array("features").alias("x")).collect()
+        assert len(rows) == 399 + more and all(r["id"] is not None for r in rows)
+        found.append({r["id"]: r["x"] for r in rows if r["id"] != 20})
+    assert found[0].keys() == found[1].keys()
+    for id_, x in found[0].items():
+        assert x == pytest.approx(found[1][id_])
+    for r in log.where("id is not null and id != 20").collect():
+        ids = [k if 0 < k < 30 else 0 for k in (r["seq_a_38"] or [])[:6]]
+        want = [sum(f(k) for k in ids if k % 4) / max(1, len(ids)) for f in (lambda k: k / 3, lambda k: -k / 7, lambda k: 1.0)]
+        assert found[0][r["id"]][offsets["seq_a"] : offsets["seq_a"] + 3] == pytest.approx(want)

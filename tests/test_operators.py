@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.fixed_values import ITEM_HISTORY_NAMES
 from tidemark.functions.arrays import pad_float_list_with_presence
 from tidemark.operators import chunks, dense, filters, item_history, lookups, pooling, ranking, splits, vocab
-from tidemark.plans import histories
+from tidemark.plans import histories, item2vec
 from tidemark.plans.histories import build_histories
 from tidemark.schema import FeatureLayout, SequenceDomain
 from tidemark.sources.impressions import read_impressions, union_files
@@ -428,3 +428,47 @@ def test_tasks_of_histories_grow_in_number(spark, monkeypatch):
     out = build_histories(df, {"ts": F.col("timestamp")}, ["event_id"], max_len=4)
     assert out.rdd.getNumPartitions() == 30  # the session has 8
     assert out.count() == 300
+
+
+def test_carried_vectors_pool_as_the_join_does(spark):
+    lists = [[5, 9, 5, 0, None, -3, 1 << 40], [], None, [7], [9] * 30, [3, 4]]
+    df = spark.createDataFrame([(k, x, len(x or [])) for k, x in enumerate(lists)], "k int, ids array<long>, n int")
+    vectors = spark.createDataFrame([(k, [k / 7, 1.0]) for k in (5, 7, 9, 11, 1 << 40)], "raw_id long, vector array<double>")
+    table = pooling.carried(vectors, 2)
+    one = df.select("k", pooling.sequence_mean(F.col("ids"), F.col("n"), table, 2).alias("s"), pooling.embed_mean(F.col("ids"), table, 2).alias("e"))
+    seq = pooling.sequence_mean_pool(df, ["k"], "ids", "n", vectors, 2)
+    emb = pooling.embed_mean_pool(df, ["k"], "ids", vectors, 2)
+    both = {r["k"]: r for r in one.join(seq, "k").join(emb.withColumnRenamed("pooled", "other"), "k").collect()}
+    assert len(both) == len(lists)
+    for r in both.values():
+        assert r["s"] == pytest.approx(r["pooled"]) and r["e"] == pytest.approx(r["other"])
+    # The vectors are constants of the plan and not read again for every row.
+    assert "from_json" not in one._jdf.queryExecution().optimizedPlan().toString()
+    assert pooling.carried(vectors, 2, most_bytes=100) is None
+    assert pooling.carried(vectors.unionByName(vectors.limit(1)), 2) is None
+    assert pooling.carried(vectors.limit(0), 2).homes == 1
+
+
+def test_scaling_of_known_length(spark):
+    nan = float("nan")
+    rows = [([1.0, -2.0, 3.0, 0.5], [1.0, 0.0, 1.0, 1.0]), ([1.0, 2.0], [1.0, 1.0]), (None, [1.0] * 4), ([nan, 5.0, 6.0, 7.0], [0.0, 1.0, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "v array<double>, p array<double>")
+    stats = spark.createDataFrame([(k, 0.1 * k, 0.0 if k == 2 else 1.5) for k in range(4)], "pos long, mean double, std double")
+    for log1p in (True, False):
+        plain, known = (dense.zscore_apply(df, "v", "p", stats, log1p, ((1, 2),), dim).collect() for dim in (None, 4))
+        assert repr(known) == repr(plain)
+
+
+def test_window_pairs_agree_with_brute_force(spark):
+    lists = [[1, 2, 1, 1, 3], [4], [2, 2], list(range(1, 12)), [9, 8, 7, 9, 8, 7]]
+    df = spark.createDataFrame([("f" if k % 2 else "g", x) for k, x in enumerate(lists)], "feature string, tokens array<long>")
+    want = Counter()
+    for k, x in enumerate(lists):
+        for i, a in enumerate(x):
+            for b in x[i + 1 : i + 4]:
+                want.update([("fg"[k % 2 == 0], a, b), ("fg"[k % 2 == 0], b, a)])
+    rows = item2vec.window_pairs(df, 3)
+    assert {(r["feature"], r["a"], r["b"]): r["n"] for r in rows.collect()} == want
+    # A pair carries no list, whatever the length of its sentence.
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan

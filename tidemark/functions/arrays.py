@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 from tidemark.functions.ids import clean_id
 
 
+#: Positions that are written out one by one, so that Spark compiles them; longer lists take a function
+#: over their elements, which Spark interprets.
+UNROLLED = 128
+
+
 def _head(values: Column, n: int, element: str) -> Column:
     """First ``n`` elements; a null list is an empty one."""
     return F.slice(F.coalesce(values, F.array().cast(f"array<{element}>")), 1, n)
@@ -67,15 +72,21 @@ def pad_float_list(values: Column, n: int) -> Column:
 
 
 def _finite(x: Column) -> Column:
-    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+    """True for a finite number, false or null for all else: only finite numbers are 0 less themselves."""
+    return x - x == F.lit(0.0)
 
 
 def pad_float_list_with_presence(values: Column, n: int) -> tuple[Column, Column]:
     """Padded values and a 0/1 mask; null, NaN and infinite entries count as absent."""
+    zero, one = F.lit(0.0), F.lit(1.0)
+    if n <= UNROLLED:
+        xs = [F.get(values, F.lit(i)).cast("double") for i in range(n)]
+        known = [_finite(x) for x in xs]
+        cleaned = F.array(*[F.when(k, x).otherwise(zero) for k, x in zip(known, xs)])
+        return cleaned, F.array(*[F.when(k, one).otherwise(zero) for k in known])
     head, length = _head(values, n, "double"), list_length(values, n)
-    cleaned = F.transform(head, lambda x: F.when(_finite(x), x).otherwise(F.lit(0.0)))
-    present = F.transform(head, lambda x: _finite(x).cast("double"))
-    zero = F.lit(0.0)
+    cleaned = F.transform(head, lambda x: F.when(_finite(x), x).otherwise(zero))
+    present = F.transform(head, lambda x: F.when(_finite(x), one).otherwise(zero))
     return fill_to(cleaned, n, zero, length), fill_to(present, n, zero, length)
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.fixed_values import DENSE_STD_FLOOR, UNSCALED_RANGES
+from tidemark.functions.arrays import UNROLLED
 from tidemark.functions.maths import signed_log1p
 from tidemark.schema import transform_mask
 
@@ -49,6 +50,15 @@ def stats_array(stats: DataFrame) -> Column:
     return stats.agg(packed.alias("s")).scalar()
 
 
+def _unrolled(values: str, presence: str, n: int, scale: Callable[[Column, Column], Column]) -> Column:
+    """``scale`` of every observed position of lists that have ``n``, written out one by one."""
+    each = [
+        F.when(F.get(presence, F.lit(i)) > 0, scale(F.get(values, F.lit(i)), F.get("_stats", F.lit(i)))).otherwise(F.lit(0.0))
+        for i in range(n)
+    ]
+    return F.array(*each)
+
+
 def zscore_apply(
     df: DataFrame,
     values: str,
@@ -56,8 +66,12 @@ def zscore_apply(
     stats: DataFrame,
     log1p: bool = True,
     excluded: Sequence[tuple[int, int]] = UNSCALED_RANGES,
+    dim: int | None = None,
 ) -> DataFrame:
-    """``df`` with the masked-in positions of ``values`` scaled and absent ones back at 0."""
+    """``df`` with the masked-in positions of ``values`` scaled and absent ones back at 0.
+
+    ``dim`` is the length that the lists usually have, if it is known: those are scaled faster.
+    """
 
     def scale(x: Column, s: Column) -> Column:
         y = signed_log1p(x) if log1p else x
@@ -66,4 +80,7 @@ def zscore_apply(
 
     scaled = F.zip_with(values, "_stats", scale)
     kept = F.zip_with(scaled, presence, lambda z, p: F.when(p > 0, z).otherwise(F.lit(0.0)))
+    if dim and dim <= UNROLLED:
+        usual = (F.size(values) == dim) & (F.size(presence) == dim) & (F.size("_stats") == dim)
+        kept = F.when(usual, _unrolled(values, presence, dim, scale)).otherwise(kept)
     return df.withColumn("_stats", stats_array(stats)).withColumn(values, kept).drop("_stats")

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.fixed_values import DEFAULT_HASH_BUCKETS, DEFAULT_HASH_THRESHOLD
+from tidemark.functions.arrays import UNROLLED
 from tidemark.functions.ids import hash_bucket
+from tidemark.operators.storage import packed
 from tidemark.schema import FeatureLayout, route_by_cardinality
 
 _PARTS = "array<struct<i:int,v:double>>"
@@ -110,12 +112,22 @@ def counted_ids(ids: Column, offset: int, denominator: Column) -> Column:
     return _let(F.sort_array(F.filter(ids, lambda x: x > 0)), runs)
 
 
-def _dense_entries(values: Column, offset: int) -> Column:
-    """Entries of a dense vector; zeros are left out."""
-    entries = F.transform(
-        values, lambda v, i: F.struct((i + offset).cast("int").alias("i"), v.cast("double").alias("v"))
-    )
-    return F.filter(entries, lambda e: e["v"] != 0)
+def single_id(id_: Column, offset: int) -> Column:
+    """``counted_ids`` of a list of one: the entry of a positive id, with value 1."""
+    entry = F.struct((id_ + offset).cast("int").alias("i"), F.lit(1.0).alias("v"))
+    return F.when(id_ > 0, F.array(entry).cast(_PARTS)).otherwise(F.array().cast(_PARTS))
+
+
+def _dense_entries(values: Column, offset: int, width: int) -> Column:
+    """Entries of a dense vector of ``width`` values; zeros are left out."""
+    if width <= UNROLLED:
+        none = F.struct(F.lit(-1).alias("i"), F.lit(0.0).alias("v"))
+        xs = [F.get(values, F.lit(k)).cast("double") for k in range(width)]
+        each = [F.when(x != 0, F.struct(F.lit(offset + k).alias("i"), x.alias("v"))).otherwise(none) for k, x in enumerate(xs)]
+        return F.array_remove(F.array(*each), none).cast(_PARTS)
+    places = F.sequence(F.lit(offset), F.lit(offset + width - 1))
+    entries = F.arrays_zip(places, F.slice(values, 1, width))  # their fields go by number, as they have no names
+    return F.filter(entries, lambda e: e["1"] != 0).cast(_PARTS)
 
 
 def design_entries(layout: FeatureLayout, blocks: Sequence[Block], hash_buckets: int) -> Column:
@@ -129,10 +141,10 @@ def design_entries(layout: FeatureLayout, blocks: Sequence[Block], hash_buckets:
     by_fid = {(f.group, f.fid): f for f in layout.features}
     for block in blocks:
         if block.route == "dense":
-            parts.append(_dense_entries(F.col(f"{block.group}_feats"), block.offset))
+            parts.append(_dense_entries(F.col(f"{block.group}_feats"), block.offset, block.width))
             continue
         if block.route == "word2vec":
-            parts.append(_dense_entries(F.col(block.pooled), block.offset))
+            parts.append(_dense_entries(F.col(block.pooled), block.offset, block.width))
             continue
         if block.group in domains:
             domain = domains[block.group]
@@ -141,6 +153,10 @@ def design_entries(layout: FeatureLayout, blocks: Sequence[Block], hash_buckets:
             denominator = F.greatest(length, F.lit(1))
         else:
             f = by_fid[block.group, block.fid]
+            if f.length == 1:
+                id_ = F.get(f"{block.group}_feats", F.lit(f.offset))
+                parts.append(single_id(hash_bucket(id_, hash_buckets) if block.route == "hash" else id_, block.offset))
+                continue
             ids = F.slice(F.col(f"{block.group}_feats"), f.offset + 1, f.length)
             denominator = F.greatest(F.size(F.filter(ids, lambda x: x > 0)), F.lit(1))
         if block.route == "hash":
@@ -149,19 +165,23 @@ def design_entries(layout: FeatureLayout, blocks: Sequence[Block], hash_buckets:
     return F.concat(*parts) if parts else F.array().cast(_PARTS)
 
 
+def _sparse(width: int) -> Column:
+    """The struct behind a sparse ML vector, of the column ``_entries``."""
+    return F.struct(
+        F.lit(0).cast("tinyint").alias("type"),
+        F.lit(width).alias("size"),
+        F.col("_entries.i").alias("indices"),
+        F.col("_entries.v").alias("values"),
+    )
+
+
 def entries_to_vector(entries: Column, width: int) -> Column:
     """An ML vector of entries ``(i, v)``.
 
     Vectors have a struct behind them, but no cast leads from one to the other; reading the struct as
     JSON does, without leaving the JVM. Doubles are written so that they read back the same.
     """
-    struct = F.struct(
-        F.lit(0).cast("tinyint").alias("type"),
-        F.lit(width).alias("size"),
-        F.col("_entries.i").alias("indices"),
-        F.col("_entries.v").alias("values"),
-    )
-    return F.from_json(F.to_json(F.struct(struct.alias("v"))), _VECTOR)["v"]
+    return F.from_json(F.to_json(F.struct(_sparse(width).alias("v"))), _VECTOR)["v"]
 
 
 def design_vectors(
@@ -172,6 +192,18 @@ def design_vectors(
     return entries.select(*keep, entries_to_vector(F.col("_entries"), design_width(blocks)).alias(name))
 
 
+def stored_design(
+    df: DataFrame, layout: FeatureLayout, blocks: Sequence[Block], hash_buckets: int, keep: Sequence[str], name: str = "features"
+) -> DataFrame:
+    """``design_vectors`` written once as compressed columns: for fits and metrics, which read them several times.
+
+    The struct behind the vectors is what is written, so they are read back without a way through text.
+    """
+    entries = df.select(*keep, design_entries(layout, blocks, hash_buckets).alias("_entries"))
+    rows = entries.select(*keep, _sparse(design_width(blocks)).alias(name))
+    return packed(rows, T.StructType([*rows.schema.fields[:-1], T.StructField(name, VectorUDT())]))
+
+
 def pooled_blocks(blocks: Sequence[Block]) -> Mapping[str, Block]:
     """The ``word2vec`` blocks by the name under which their vectors are kept."""
     return {f"{b.group}_{b.fid}": b for b in blocks if b.route == "word2vec"}

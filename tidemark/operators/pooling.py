@@ -3,12 +3,15 @@
 Equal ids of an example are one entry with their weight before they meet their vectors. A table of vectors that
 is small enough to be sent leaves the examples where they are; a larger one is
 joined by a lookup that spreads hot ids. Vectors are added up by one aggregate with a single
-buffer, combined map-side, so at most one row per example and task is shuffled.
+buffer, combined map-side, so at most one row per example and task is shuffled. A table of few vectors can be
+carried by the expression itself (``carried``): then a row's mean is a column, and no row is taken apart or moved.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
@@ -19,6 +22,8 @@ from pyspark.sql import functions as F
 from tidemark.operators.lookups import SENT_BYTES, counted_lookup
 
 _ENTRIES = "array<struct<raw_id:bigint,w:double>>"
+# Vectors that go along with every task of a plan, up to so many bytes.
+CARRIED_BYTES = 1 << 20
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -94,10 +99,74 @@ def embed_mean_pool(
     return _pool(lists, key, vectors, dim, 1.0, most_bytes)
 
 
-def _valid(column: str, length: str) -> Column:
+@dataclass(frozen=True)
+class Carried:
+    """Few vectors as constants of an expression: ids and their vectors, by the home that an id's hash names.
+
+    There are as many homes as ids, so looking one up takes as long at any size.
+    """
+
+    ids: Column
+    vectors: Column
+    homes: int
+
+
+def _home(id_: Column, homes: int) -> Column:
+    return F.pmod(F.xxhash64(id_), F.lit(homes).cast("long")).cast("int")
+
+
+def carried(vectors: DataFrame, dim: int, most_bytes: int = CARRIED_BYTES) -> Carried | None:
+    """The vectors for ``embed_mean`` and ``sequence_mean``; None if they take more than ``most_bytes`` or an id has several.
+
+    They pass through the driver, as a table that is sent does. Constants are folded when a query is planned, so the text is read once;
+    a column of them would be copied with every row.
+    """
+    size = vectors.agg(F.count("*").alias("rows"), F.count_distinct("raw_id").alias("ids")).first()
+    if size["rows"] != size["ids"] or size["rows"] * (8 * dim + 96) > most_bytes:
+        return None
+    homes = max(1, size["rows"])
+    raw_id = F.col("raw_id").cast("bigint")
+    ids, found = [[] for _ in range(homes)], [[] for _ in range(homes)]
+    known = vectors.select(_home(raw_id, homes).alias("home"), raw_id.alias("id"), F.col("vector").cast("array<double>").alias("v"))
+    for home, id_, vector in known.collect():
+        ids[home].append(id_)
+        found[home].append(vector)
+    constant = lambda x, of: F.from_json(F.lit(json.dumps(x)), of)
+    return Carried(constant(ids, "array<array<bigint>>"), constant(found, "array<array<array<double>>>"), homes)
+
+
+def _mean(ids: Column, table: Carried, dim: int) -> Column:
+    """Sum of the vectors of ``ids`` over how many ids there are, 1 at least; unknown ids are zero vectors."""
+
+    def mean(ids: Column) -> Column:
+        at = F.transform(ids, lambda x: _home(x, table.homes))
+        found = F.zip_with(
+            ids, at, lambda x, h: F.get(F.get(table.vectors, h), (F.array_position(F.get(table.ids, h), x) - 1).cast("int"))
+        )
+        known = F.filter(found, lambda v: v.isNotNull())
+        zero = F.array_repeat(F.lit(0.0), dim)
+        added = F.aggregate(known, zero, lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+        total = F.greatest(F.size(ids).cast("double"), F.lit(1.0))
+        return F.transform(added, lambda x: x / total)
+
+    return _let(ids, mean)
+
+
+def embed_mean(ids: Column, table: Carried, dim: int) -> Column:
+    """``embed_mean_pool`` of the row's own list, by a ``carried`` table."""
+    ids = F.coalesce(ids.cast("array<bigint>"), F.array().cast("array<bigint>"))
+    return _mean(F.filter(ids, lambda x: x != 0), table, dim)
+
+
+def sequence_mean(ids: Column, length: Column, table: Carried, dim: int) -> Column:
+    """``sequence_mean_pool`` of the row's own list, by a ``carried`` table."""
+    return _mean(_valid(ids, length), table, dim)
+
+
+def _valid(ids: Column, length: Column) -> Column:
     """The entries before the length; a negative or null length has none."""
-    ids = F.coalesce(F.col(column).cast("array<bigint>"), F.array().cast("array<bigint>"))
-    return F.slice(ids, F.lit(1), F.greatest(F.coalesce(F.col(length), F.lit(0)), F.lit(0)).cast("int"))
+    ids = F.coalesce(ids.cast("array<bigint>"), F.array().cast("array<bigint>"))
+    return F.slice(ids, F.lit(1), F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("int"))
 
 
 def sequence_mean_pool(
@@ -110,7 +179,7 @@ def sequence_mean_pool(
     most_bytes: int = SENT_BYTES,
 ) -> DataFrame:
     """Mean vector over the positions before ``length``; at least 1 in the denominator."""
-    ids = _valid(column, length)
+    ids = _valid(F.col(column), F.col(length))
     lists = df.select(*key, F.size(ids).cast("double").alias("total"), counted(ids).alias("entries"))
     return _pool(lists, key, vectors, dim, 1.0, most_bytes)
 
@@ -139,7 +208,7 @@ def time_decay_pool(
     def weight(b: Column) -> Column:
         return F.when(b.isNotNull(), decay_weight(b, strength)).otherwise(F.lit(0.0))
 
-    ids = _valid(column, length)
+    ids = _valid(F.col(column), F.col(length))
     weights = F.transform(ids, lambda x, i: weight(F.get(F.col(bucket), i)))
     entries = F.zip_with(ids, weights, lambda x, w: F.struct(x.alias("raw_id"), w.alias("w")))
     total = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)

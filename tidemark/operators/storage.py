@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,13 +26,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def packed(df: DataFrame) -> DataFrame:
+def packed(df: DataFrame, schema: T.StructType | None = None) -> DataFrame:
     """``df`` written as compressed columns in the shared folder and read back.
 
     For tables of whole examples: a checkpoint would keep their lists as they lie in memory,
-    many times as large.
+    many times as large. ``schema`` reads columns as other types of the same storage, such as an ML vector
+    from the struct behind it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/packed-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)

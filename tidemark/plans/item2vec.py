@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.ml.recommendation import ALS
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.storage import packed, stored
@@ -24,14 +24,19 @@ def window_pairs(rows: DataFrame, window: int) -> DataFrame:
     """``feature``, ``a``, ``b``, ``n``: how often b stands within ``window`` tokens of a.
 
     Every pair counts in both directions. A token meets at most ``window`` later ones, so
-    the rows grow with the tokens; counts are combined map-side.
+    the rows grow with the tokens; counts are combined map-side. A list is set beside itself at every
+    distance, so pairs carry no list, and they are turned round only once they are counted.
     """
-    at = rows.select("feature", "tokens", F.posexplode("tokens").alias("pos", "a"))
-    later = F.slice("tokens", F.col("pos") + 2, F.lit(window))
-    near = at.select("feature", "a", F.explode(later).alias("b"))
+
+    def beside(distance: int) -> Column:
+        n = F.greatest(F.size("tokens") - distance, F.lit(0))
+        return F.arrays_zip(F.slice("tokens", F.lit(1), n), F.slice("tokens", F.lit(distance + 1), n))
+
+    near = rows.select("feature", F.explode(F.concat(*map(beside, range(1, window + 1)))).alias("p"))
+    each = near.groupBy("feature", F.col("p.0").alias("a"), F.col("p.1").alias("b")).agg(F.count("*").alias("n"))
     both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    each = near.select("feature", F.explode(both).alias("p")).select("feature", "p.a", "p.b")
-    return each.groupBy("feature", "a", "b").agg(F.count("*").alias("n"))
+    turned = each.select("feature", "n", F.explode(both).alias("p")).select("feature", "p.a", "p.b", "n")
+    return turned.groupBy("feature", "a", "b").agg(F.sum("n").alias("n"))
 
 
 def shifted_pmi(pairs: DataFrame, shift: float = 1.0) -> DataFrame:
@@ -87,7 +92,7 @@ def fit_item2vec_many(
     keyed = vocab.withColumn("key", F.struct("feature", "compact_id"))
     vocab = stored(dense_ids(keyed, "key", "number").drop("key"))
 
-    near = stored(shifted_pmi(window_pairs(rows, window), shift).where("pmi > 0").drop("n"))
+    near = stored(shifted_pmi(stored(window_pairs(rows, window)), shift).where("pmi > 0").drop("n"))
     side = vocab.select("feature", "raw_id", F.col("number").cast("int").alias("number"))
     a, b = (side.select("feature", F.col("raw_id").alias(c), F.col("number").alias(f"row_{c}")) for c in "ab")
     matrix = stored(near.join(a, ["feature", "a"]).join(b, ["feature", "b"]).select("row_a", "row_b", "pmi"))

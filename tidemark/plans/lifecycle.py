@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.assemble import apply_branch_transform, plan_branches
 from tidemark.operators.dense import dense_stats, zscore_apply
-from tidemark.operators.design import Block, design_vectors, plan_design, pooled_blocks
+from tidemark.operators.design import Block, plan_design, pooled_blocks, stored_design
 from tidemark.operators.filters import filter_time_range
 from tidemark.operators.item_history import item_history
 from tidemark.operators.metrics import evaluate
-from tidemark.operators.pooling import embed_mean_pool, sequence_mean_pool
+from tidemark.operators.pooling import carried, embed_mean, embed_mean_pool, sequence_mean, sequence_mean_pool
 from tidemark.operators.splits import time_cutoff
 from tidemark.operators.storage import packed, stored
 from tidemark.plans.examples import build_examples
@@ -102,7 +102,7 @@ def _scaled(examples: DataFrame, layout: FeatureLayout, how: Transform, stats: D
             raise ValueError("scaling by statistics needs the statistics of the training rows")
         rest = F.slice("user_dense_feats", n + 1, max(1, full.total_dim("user_dense") - n))
         parts = examples.withColumns({"_own": F.slice("user_dense_feats", 1, n), "_rest": rest})
-        scaled = zscore_apply(parts, "_own", "user_dense_presence", stats, how.log1p, how.excluded)
+        scaled = zscore_apply(parts, "_own", "user_dense_presence", stats, how.log1p, how.excluded, n)
         return scaled.withColumn("user_dense_feats", F.concat("_own", "_rest")).drop("_own", "_rest")
     if how.scaling == "branches":
         groups = {"user_dense": how.user_branches, "item_dense": how.item_branches}
@@ -112,8 +112,14 @@ def _scaled(examples: DataFrame, layout: FeatureLayout, how: Transform, stats: D
     return examples
 
 
-def _pooled(examples: DataFrame, layout: FeatureLayout, how: Transform, blocks: Sequence[Block], vectors: DataFrame | None) -> DataFrame:
-    """The examples with the mean vector of every pooled feature; rows are matched by the key."""
+def _pooled(
+    rows: DataFrame, examples: DataFrame, layout: FeatureLayout, how: Transform, blocks: Sequence[Block], vectors: DataFrame | None
+) -> DataFrame:
+    """The examples of ``rows`` with the mean vector of every pooled feature; rows are matched by the key.
+
+    Where no key comes twice and the vectors are few, a mean is a column of its row. Otherwise the
+    lists are taken apart, added up by the key and joined. Rows with a null in their key are left out.
+    """
     wanted = pooled_blocks(blocks)
     if not wanted:
         return examples
@@ -121,36 +127,47 @@ def _pooled(examples: DataFrame, layout: FeatureLayout, how: Transform, blocks:
         raise ValueError("pooled features need a row key and vectors")
     key, domains = list(how.key), {d.name: d for d in layout.domains}
     by_fid = {(f.group, f.fid): f for f in extended_layout(layout, how).features}
+    known = {
+        name: vectors.where((F.col("feature") == name) & (F.col("raw_id") > 0)).select("raw_id", "vector") for name in wanted
+    }
+    keyed = rows.select(*key).dropna()
+    tables = {}
+    if keyed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        tables = {name: carried(known[name], block.width) for name, block in wanted.items()}
+        examples = examples.dropna(subset=key)
+    if any(tables.get(name) is None for name in wanted):
+        examples = packed(examples)  # read for the lists and again for the rows
     for name, block in wanted.items():
-        known = vectors.where((F.col("feature") == name) & (F.col("raw_id") > 0)).select("raw_id", "vector")
+        table = tables.get(name)
         if block.group in domains:
-            ids = F.col(f"{block.group}.{domains[block.group].column(block.fid)}")
-            lists = examples.select(*key, ids.alias("ids"), F.col(f"{block.group}_len").alias("length"))
-            means = sequence_mean_pool(lists, key, "ids", "length", known, block.width)
+            ids, length = F.col(f"{block.group}.{domains[block.group].column(block.fid)}"), F.col(f"{block.group}_len")
+            if table is not None:
+                examples = examples.withColumn(block.pooled, sequence_mean(ids, length, table, block.width))
+                continue
+            lists = examples.select(*key, ids.alias("ids"), length.alias("length"))
+            means = sequence_mean_pool(lists, key, "ids", "length", known[name], block.width)
         else:
             f = by_fid[block.group, block.fid]
             ids = F.slice(f"{block.group}_feats", f.offset + 1, f.length)
-            means = embed_mean_pool(examples.select(*key, ids.alias("ids")), key, "ids", known, block.width)
+            if table is not None:
+                examples = examples.withColumn(block.pooled, embed_mean(ids, table, block.width))
+                continue
+            means = embed_mean_pool(examples.select(*key, ids.alias("ids")), key, "ids", known[name], block.width)
         examples = examples.join(means.withColumnRenamed("pooled", block.pooled), key)
     return examples
 
 
-def _designed(
-    raw: DataFrame, layout: FeatureLayout, how: Transform, blocks: Sequence[Block], stats, vectors, keep: Sequence[str]
-) -> DataFrame:
-    ready = _scaled(_pooled(raw, layout, how, blocks, vectors), layout, how, stats)
-    return design_vectors(ready, extended_layout(layout, how), blocks, how.hash_buckets, keep)
-
-
 def design_rows(
     rows: DataFrame, layout: FeatureLayout, how: Transform = Transform(), stats: DataFrame | None = None,
     vectors: DataFrame | None = None, keep: Sequence[str] = ("user_id",), training: bool = True,
 ) -> DataFrame:
-    """``keep``, ``label`` and the sparse ``features`` of every row, by a transform that is fixed already."""
+    """``keep``, ``label`` and the sparse ``features`` of every row, by a transform that is fixed already.
+
+    The design is stored: fits and metrics read it several times, and making it is most of the work.
+    """
     blocks, raw = _blocks(rows, layout, how), _raw_examples(rows, layout, how, keep, training)
-    if pooled_blocks(blocks):
-        raw = packed(raw)  # read for the lists and again for the rows
-    return _designed(raw, layout, how, blocks, stats, vectors, [*keep, "label"])
+    ready = _scaled(_pooled(rows, raw, layout, how, blocks, vectors), layout, how, stats)
+    return stored_design(ready, extended_layout(layout, how), blocks, how.hash_buckets, [*keep, "label"])
 
 
 @dataclass
@@ -179,7 +196,7 @@ def fit_design(
 ) -> Trained:
     """Fit the transform and a model on the sparse design of ``rows``.
 
-    The examples are stored once; statistics, pooled vectors and the design are made from that table.
+    Statistics are taken from the user values alone, in a pass of their own; then the design is made and stored once.
     Item vectors are fitted on the lists of the same rows.
     """
     blocks = _blocks(rows, layout, how)
@@ -191,12 +208,12 @@ def fit_design(
             for b in wanted.values()
         ]
         vectors = stored(fit_item2vec_many(rows, specs, dim=how.vector_dim))
-    raw = packed(_raw_examples(rows, layout, how, (), True))
     stats = None
     if how.scaling == "zscore" and (n := layout.total_dim("user_dense")):
-        own = raw.select(F.slice("user_dense_feats", 1, n).alias("v"), F.col("user_dense_presence").alias("p"))
+        values = _raw_examples(rows, layout, replace(how, calendar=False, history=False), (), True)
+        own = values.select(F.slice("user_dense_feats", 1, n).alias("v"), F.col("user_dense_presence").alias("p"))
         stats = stored(dense_stats(own, "v", "p", how.log1p, how.excluded))
-    designed = _designed(raw, layout, how, blocks, stats, vectors, ["label"])
+    designed = design_rows(rows, layout, how, stats, vectors, ())
     model = fit_classifier(designed, "features", "label", kind, **options)
     return Trained(layout, how, stats, vectors, model)
 
